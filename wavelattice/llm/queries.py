@@ -7,20 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm import near_dedup
+from wavelattice.llm import exact_dedup, near_dedup, ngram_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a Kneser-Ney model of nine tenths of them."""
+    return ngram_lm.train_and_score(_table(spark, sf_dir, "documents"), folds=10)
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving document of each group of equal texts, for every document."""
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under a five-word shingle similarity of 0.75."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_near_duplicates,)}
+    return {f.__name__: f for f in (op1_lm_scoring, op4_exact_dedup, op9_near_duplicates)}
 
 
 OP9_SQL = r"""
@@ -40,5 +50,12 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN g USING (doc_id)
 """
 
 
+OP4_SQL = """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_near_duplicates": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_near_duplicates": OP9_SQL}
