@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm import exact_dedup, near_dedup, ngram_lm
+from wavelattice.llm import exact_dedup, near_dedup, ngram_lm, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +19,37 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.train_and_score(_table(spark, sf_dir, "documents"), folds=10)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled uniformly into 24 shards of equal row counts."""
+    text = F.coalesce("text", F.lit(""))
+    return sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), 24, seed=20240607).select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving document of each group of equal texts, for every document."""
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under a five-word shingle similarity of 0.75."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op4_exact_dedup, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_sharding, op4_exact_dedup, op5_pii, op9_near_duplicates)}
 
 
 OP9_SQL = r"""
