@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm import exact_dedup, near_dedup, ngram_lm, pii, sharding
+from wavelattice.llm import exact_dedup, html_extract, near_dedup, ngram_lm, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +43,29 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under a five-word shingle similarity of 0.75."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_sharding, op4_exact_dedup, op5_pii, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_sharding, op4_exact_dedup, op5_pii, op7_html_extraction, op8_packing, op9_near_duplicates)}
 
 
 OP9_SQL = r"""
