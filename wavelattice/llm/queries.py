@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm import exact_dedup, html_extract, near_dedup, ngram_lm, packing, pii, sharding
+from wavelattice.llm import exact_dedup, html_extract, near_dedup, ngram_lm, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.train_and_score(_table(spark, sf_dir, "documents"), folds=10)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", 0.3)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled uniformly into 24 shards of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -65,7 +70,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_sharding, op4_exact_dedup, op5_pii, op7_html_extraction, op8_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_sharding, op4_exact_dedup, op5_pii, op7_html_extraction, op8_packing, op9_near_duplicates)}
 
 
 OP9_SQL = r"""
