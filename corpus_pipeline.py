@@ -1,8 +1,61 @@
-"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, packing."""
+"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept and returns the rows it keeps with the columns of documents; the last one
+returns the packed pieces. ``run`` writes and rereads each stage's rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavelattice.llm import decontaminate, exact_dedup, near_dedup, packing, quality, store
+from wavelattice.llm.queries import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the largest doc_id."""
+    return exact_dedup.keep_distinct(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    drop = near_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_near_id"))
+    drop = store.materialise(drop.distinct(), "near-dropped")
+    return docs.join(drop, docs.doc_id == F.col("_near_id"), "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' pieces with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+# A fitted network and a genetic algorithm have no SQL form; the tests follow the stages by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

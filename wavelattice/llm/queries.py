@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm import exact_dedup, html_extract, near_dedup, ngram_lm, packing, pii, quality, sharding
+from wavelattice.llm import decontaminate, exact_dedup, html_extract, licenses, near_dedup, ngram_lm, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -69,8 +74,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_sharding, op4_exact_dedup, op5_pii, op7_html_extraction, op8_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_sharding, op4_exact_dedup, op5_pii, op6_decontamination, op7_html_extraction, op8_packing, op9_near_duplicates, op10_license_scan)}
 
 
 OP9_SQL = r"""
