@@ -9,11 +9,18 @@ signature, none of them capped. At a similarity of 0.75 a pair differs in
 10 symbols on average and in more than 19 with a probability below 0.001.
 
 Documents with equal sets share one representative, so copies never meet in a
-join. Representatives that share a key are not paired with each other at once:
-first each is checked against the smallest one of its key, which joins any
-group of copies in a linear number of pairs. Only pairs that are still in
-different components afterwards are compared, all of them. Every link is
-confirmed on the full sets.
+join. Representatives that share a key are not paired with each other. First
+each is checked against the smallest one of its keys that is near enough, its
+pivot, which joins most of a group of copies in a linear number of checks.
+What is left are pairs of near signatures in different components. Where keys
+still hold some, they are found within the task that holds the key and leave
+it as a spanning forest only; its trees are clusters. Each cluster's documents
+outside its largest component (strays) are then checked, in blocks, against
+all documents of the cluster, again within tasks that return links alone. So
+every pair of near signatures is either within one component or was checked,
+and no table ever holds the pairs of a group. Every link is confirmed on the
+full sets. Large keys, pivots and clusters are split into blocks of bounded
+size.
 
 Rows without doc_id get no component. Rows that repeat a doc_id count as one
 node. Empty and null texts have an empty set and are linked with nothing.
@@ -22,7 +29,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,8 @@ from wavelattice.llm.store import materialise
 
 SYMBOLS, CHUNKS, PER_CHUNK = 40, 10, 4
 MAX_DISTANCE = 19
+KEY_BLOCK, CLUSTER_BLOCK, STRAY_BLOCK, PIVOT_BLOCK = 4096, 2048, 256, 1024
+BROADCAST_ROWS = 1_000_000
 U = np.uint64
 
 _rng = np.random.default_rng(97)
@@ -82,19 +91,6 @@ def _sign(width: int):
     return run
 
 
-def _shingle_sets(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, raw, offsets in kernel.slices(batch.column(1)):
-                sets, bounds = kernel.shingles(*kernel.words(raw, offsets), width)
-                values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), values], schema=schema)
-
-    return run
-
-
 def _distance(a: str, b: str) -> Column:
     """Number of differing 16-bit symbols between the signatures in structs a and b."""
     total = None
@@ -118,18 +114,158 @@ def _keys() -> Column:
     return F.array(*out)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, as links."""
-    pairs = materialise(pairs.distinct(), "near-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ids, "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_shingle_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    return materialise(linked.select("a", "b"), "near-links")
+def _nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the near pairs in different components, of keys sorted together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        # Whole keys only: the last key of what is held waits for the next batch.
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < 50_000:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        group = np.asarray(table.column("group"))
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield from _forest(table.slice(0, cut))
+        rest = table.slice(cut).combine_chunks().to_batches()
+        held, rows = rest, sum(x.num_rows for x in rest)
+    if held:
+        yield from _forest(pa.Table.from_batches(held).combine_chunks())
+
+
+def _forest(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what near pairs in different components connect, for rows sorted by group."""
+    group, rep, component = (np.asarray(table.column(c)) for c in ("group", "rep", "component"))
+    stray = np.asarray(table.column("stray"))
+    symbols = np.stack([np.asarray(table.column(f"s{c}")) for c in range(CHUNKS)], axis=1).view(np.uint16)
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(first, len(group)))
+    found_a, found_b = [], []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        near = np.zeros(len(i), bool)
+        for k in range(0, len(i), 50_000):
+            near[k : k + 50_000] = (symbols[i[k : k + 50_000]] != symbols[j[k : k + 50_000]]).sum(axis=1) <= MAX_DISTANCE
+        found_a.append(rep[i[near]])
+        found_b.append(rep[j[near]])
+
+    small = np.repeat(size <= 64, size)
+    place = np.arange(len(group))
+    for step in range(1, int(min(64, size.max(initial=0)))):
+        i = place[: len(place) - step]
+        j = i + step
+        ok = (group[i] == group[j]) & small[i] & (component[i] != component[j])
+        keep(i[ok], j[ok])
+    for a, n in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        own = place[a : a + n]
+        for x in own[stray[own]].tolist():
+            other = own[component[own] != component[x]]
+            keep(np.full(len(other), x), other)
+            if len(found_a) > 200:
+                found_a[:], found_b[:] = ([part] for part in _span(np.concatenate(found_a), np.concatenate(found_b)))
+    if found_a:
+        a, b = _span(np.concatenate(found_a), np.concatenate(found_b))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the pairs with the smallest node that the pairs connect it to."""
+    nodes, at = np.unique_inverse(np.concatenate([a, b])) if len(a) else (a, a)
+    if not len(nodes):
+        return a, b
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
+
+
+def _with_sets(width: int) -> Callable:
+    """Shingle sets of texts, one row for each of a text's places (group, left, component)."""
+    schema = pa.schema([("group", pa.int64()), ("left", pa.bool_()), ("component", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, ids = batch.column(2), batch.column(0).to_pylist()
+            for first, end, raw, offsets in kernel.slices(batch.column(1)):
+                sets, bounds = kernel.shingles(*kernel.words(raw, offsets), width)
+                rows: list[tuple] = []
+                for i in range(first, end):
+                    blob = sets[bounds[i - first] : bounds[i - first + 1]].tobytes()
+                    rows += [(p["group"], p["left"], p["component"], ids[i], blob) for p in places[i].as_py()]
+                    if len(rows) > 2000 or i + 1 == end and rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows = []
+
+    return run
+
+
+def _check(percent: int) -> Callable:
+    """Links between the left sets of a group (first in order) and all its other sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, left, sketches, up, links = None, [], None, {}, []
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for g, is_left, component, rep, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if g != group:
+                    group, left, sketches, up = g, [], None, {}
+                own = np.frombuffer(blob, np.uint64)
+                symbols = _signatures(own, np.array([0, len(own)]))[0].view(np.uint16)
+                if is_left:
+                    left.append((rep, component, own, symbols))
+                    continue
+                if sketches is None:
+                    sketches = np.concatenate([x[3] for x in left]) if left else np.zeros((0, SYMBOLS), np.uint16)
+                distance = (sketches != symbols).sum(axis=1)
+                for k in np.argsort(distance, kind="stable").tolist():
+                    if distance[k] > MAX_DISTANCE:
+                        break
+                    other, its, theirs, _ = left[k]
+                    if other == rep or root(its) == root(component):
+                        continue
+                    if 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
+                        continue
+                    at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+                    shared = int((theirs[at] == own).sum())
+                    if 100 * shared >= percent * (len(own) + len(theirs) - shared):
+                        up[root(its)] = root(component)
+                        links.append((min(other, rep), max(other, rep)))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                links = []
+
+    return run
+
+
+def _links(places: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) within the groups of ``places`` (rep, group, left, component)."""
+    at = places.groupBy("rep").agg(F.collect_list(F.struct("group", "left", "component")).alias("places"))
+    at = materialise(at, "near-places")
+    rows = at.agg(F.sum(F.size("places"))).first()[0] or 0
+    at = F.broadcast(at) if rows <= BROADCAST_ROWS else at
+    sets = texts.join(at, texts.doc_id == at.rep).select("doc_id", "text", "places")
+    sets = sets.mapInArrow(_with_sets(width), "group long, left boolean, component long, rep long, shingles binary")
+    sets = sets.repartition("group").sortWithinPartitions("group", F.desc("left"))
+    return materialise(sets.mapInArrow(_check(percent), "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -142,39 +278,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"s{c} long" for c in range(CHUNKS))
     signed = materialise(texts.mapInArrow(_sign(width), schema), "near-signatures")
 
+    sig = [f"s{c}" for c in range(CHUNKS)]
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    chunks = [F.first(f"s{c}").alias(f"s{c}") for c in range(CHUNKS)]
-    reps = materialise(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *chunks), "near-representatives")
+    reps = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in sig])
+    reps = materialise(reps, "near-representatives")
 
-    sig = [f"s{c}" for c in range(CHUNKS)]
-    keyed = materialise(reps.select("rep", *sig, F.explode(_keys()).alias("key")).select("rep", "key.m", "key.v"), "near-keys")
+    # Keys that several representatives have, with the smallest of them.
+    keyed = reps.select("rep", F.explode(_keys()).alias("key")).select("rep", "key.m", "key.v")
     firsts = keyed.groupBy("m", "v").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts, "near-pivots")
-    signatures = reps.select("rep", F.struct(*sig).alias("sig"))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(signatures.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-        pairs = pairs.join(signatures.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        return pairs.where(_distance("sa", "sb") <= MAX_DISTANCE).select("a", "b")
+    shared = materialise(keyed.join(firsts, ["m", "v"]), "near-shared")
 
-    stars = keyed.join(firsts, ["m", "v"]).where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    stars = materialise(stars.distinct(), "near-stars")
-    links = _verified(close(stars), texts, width, percent)
+    # Each representative and its smallest near pivot, in blocks of a pivot's members.
+    signatures = reps.select("rep", F.struct(*sig).alias("sig"))
+    stars = shared.where("rep != pivot").select("rep", "pivot").distinct()
+    stars = stars.join(signatures.withColumnRenamed("sig", "sa"), "rep")
+    stars = stars.join(signatures.select(F.col("rep").alias("pivot"), F.col("sig").alias("sb")), "pivot").where(_distance("sa", "sb") <= MAX_DISTANCE)
+    stars = materialise(stars.groupBy("rep").agg(F.min("pivot").alias("pivot")), "near-stars")
+    block = F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("n") / PIVOT_BLOCK), F.lit(1)))
+    sizes = stars.groupBy("pivot").agg(F.count("*").alias("n"))
+    right = stars.join(sizes, "pivot").select("rep", F.xxhash64("pivot", block).alias("group"), F.lit(False).alias("left"), F.col("rep").alias("component"), "pivot")
+    left = right.select(F.col("pivot").alias("rep"), "group", F.lit(True).alias("left"), F.col("pivot").alias("component")).distinct()
+    links = _links(right.drop("pivot").union(left), texts, width, percent)
     labels = connected(links)
 
-    # What is left: pairs with a common key whose ends are in different components.
-    placed = keyed.join(firsts.select("m", "v"), ["m", "v"]).join(labels, keyed.rep == labels.node, "left")
-    placed = placed.select("m", "v", "rep", F.coalesce("label", "rep").alias("component"))
-    mixed = placed.groupBy("m", "v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = materialise(placed.join(mixed, ["m", "v"]).where("rep is not null"), "near-open")
-    # One side holds every member; the other leaves out the members of the key's first component,
-    # so a key with one large group and a few strangers makes few rows.
-    left = open_.where("component != lo").select("m", "v", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("m", "v", F.col("rep").alias("b"), F.col("component").alias("cb"), "lo")
-    rest = left.join(right, ["m", "v"]).where("ca != cb and (cb = lo or a < b)")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(close(rest.distinct().join(stars, ["a", "b"], "left_anti")), texts, width, percent)
-    labels = connected(links.union(more))
+    # Keys whose members are still in different components; strays are those outside the first component.
+    placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("m", "v", "rep", F.coalesce("label", "rep").alias("component"))
+    mixed = placed.groupBy("m", "v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    blocks = F.ceil(F.col("n") / KEY_BLOCK).cast("int")
+    open_ = placed.join(mixed, ["m", "v"]).withColumn("stray", F.col("component") != F.col("lo"))
+    where = F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
+    open_ = open_.select("rep", "component", "stray", F.explode(where).alias("k"), "m", "v")
+    open_ = open_.select("rep", "component", "stray", F.xxhash64("m", "v", "k").alias("group")).join(reps.select("rep", *sig), "rep")
+    near = open_.repartition("group").sortWithinPartitions("group").mapInArrow(_nearby, "a long, b long")
+    clusters = connected(materialise(near, "near-forest"))
+
+    # Strays of each cluster against all its members, block by block.
+    members = clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("component"))
+    members = materialise(members, "near-members")
+    main = members.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n"))
+    members = members.join(main.select("cluster", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray")), "cluster")
+    members = members.withColumn("stray", F.col("component") != F.col("main"))
+    b, s = F.ceil(F.col("n") / CLUSTER_BLOCK).cast("int"), F.ceil(F.col("n_stray") / STRAY_BLOCK).cast("int")
+    members = members.withColumn("b", F.pmod(F.xxhash64("rep"), b).cast("int")).withColumn("s", F.pmod(F.xxhash64("rep", F.lit(1)), s).cast("int"))
+    group = F.xxhash64("cluster", "s", "b").alias("group")
+    right = members.withColumn("s", F.explode(F.sequence(F.lit(0), s - 1))).select("rep", group, F.lit(False).alias("left"), "component")
+    left = members.where("stray").withColumn("b", F.explode(F.sequence(F.lit(0), b - 1))).select("rep", group, F.lit(True).alias("left"), "component")
+    labels = connected(links.union(_links(right.union(left), texts, width, percent)))
 
     # Equal sets first, then linked sets.
     sets = reps.join(labels, reps.rep == labels.node, "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
@@ -184,4 +335,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
-
