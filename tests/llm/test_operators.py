@@ -1,0 +1,309 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from wavelattice.llm import decontaminate, html_extract, licenses, packing, pii, quality, sharding
+from wavelattice.llm.queries import tokenizer_path
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+# Sharding
+
+
+@pytest.mark.parametrize("n,shards,block", [(1000, 24, 16), (7, 24, 4), (300, 1, 64), (0, 3, 8)])
+def test_shards_are_balanced_and_slots_gapless(spark, n, shards, block):
+    docs = frame(spark, [(i, f"t{i}") for i in range(n)]).repartition(5)
+    got = sharding.shuffle_into_shards(docs, shards, seed=3, block_rows=block).collect()
+    assert sorted(r.doc_id for r in got) == list(range(n))
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots[s]) for s in range(shards)]
+    assert not n or max(sizes) - min(sizes) <= 1
+
+
+def test_matrix_rows_have_the_given_sums():
+    parts, blocks = np.array([5, 0, 9, 100, 1]), np.array([40, 40, 35])
+    rows = np.stack([sharding.matrix_row(parts, blocks, p, 8) for p in range(5)])
+    assert (rows.sum(axis=1) == parts).all() and (rows.sum(axis=0) == blocks).all() and (rows >= 0).all()
+
+
+def test_shuffle_is_uniform():
+    """Mean and variance of a cell over many seeds are those of the hypergeometric law."""
+    cells = [sharding.matrix_row(np.array([30, 50, 20]), np.array([25, 75]), 1, s)[0] for s in range(3000)]
+    mean = 50 * 25 / 100
+    assert abs(np.mean(cells) - mean) < 0.2
+    assert abs(np.var(cells) - mean * 0.75 * (50 / 99)) < 0.4
+
+
+def test_large_populations():
+    rng = np.random.default_rng(1)
+    draws = [sharding._hypergeometric(rng, 6 * 10**9, 4 * 10**9, 1000) for _ in range(3000)]
+    assert abs(np.mean(draws) - 600) < 2 and abs(np.std(draws) - 15.5) < 1
+
+
+def test_shuffle_edges(spark):
+    rows = [(1, None, 9), (1, None, 9), (None, "", 9)]
+    got = sharding.shuffle_into_shards(frame(spark, rows, "doc_id long, text string, shard int"), 2).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1] and {r.shard for r in got} == {0, 1}
+
+
+# Personal data
+
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.sub(r"[^0-9]", "", s)) <= 15),
+)
+
+
+def test_base_spans_equal_plain_matching(spark):
+    rng = random.Random(5)
+    bits = ["a@b.co", "x.y+z@d-e.f.g", "@", "a@b", "1.2.3.4", "256.1.1.1", "0001.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234.5678", "+1 2", "é", " ", "\n", "word", ".", "-", "7"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25)))) for i in range(400)] + [(400, None), (401, "a@b.c " * 4000)]
+    got = {r.doc_id: r for r in pii.digest(pii.find_spans(frame(spark, rows))).collect()}
+    for i, text in rows:
+        found = sorted((m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, ok) in enumerate(PATTERNS) for m in re.finditer(p, text or "") if ok(m[0]))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(s[2] for s in found).encode()).hexdigest(), text
+        assert {s[2] for s in found} <= set(got[i].spans.split(","))
+        assert got[i].n_ip == sum(s[1] == 1 for s in found)
+
+
+def test_checksums_and_context(spark):
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB83WEST12345698765432")
+    found = {s[0]: s for s in pii.spans("IBAN GB82 WEST 1234 5698 7654 32, SSN 536-22-8726, order 536-22-8726")}
+    assert found["iban"][3] > 0.9 and found["ssn"]
+    assert not pii.spans("part 536-22-8726") and not pii.spans("")
+    near, far = pii.spans("call +1 415 555 0100")[0][3], pii.spans("build +1 415 555 0100")[0][3]
+    assert near > far
+    docs = frame(spark, [(1, "mail a@b.co now"), (2, None)])
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["mail [EMAIL] now", None]
+    assert pii.digest(pii.find_spans(frame(spark, []))).collect() == []
+
+
+# Decontamination
+
+
+def brute_leaks(docs, items):
+    tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    out = set()
+    for d, text in docs:
+        w = tok(text)
+        for i, item in items:
+            v = tok(item)
+            for shift in range(-len(v), len(w)):
+                s = best = 0
+                for j, x in enumerate(v):
+                    s = max(0, s + (1 if 0 <= shift + j < len(w) and w[shift + j] == x else -2))
+                    best = max(best, s)
+                if best >= decontaminate.MIN_SCORE:
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_with_replaced_words(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(16, 50)))) for i in range(12)] + [(90, "too short"), (91, None), (92, "")]
+    docs = []
+    for i in range(80):
+        body = text(rng.randint(0, 60))
+        if i % 2:
+            words = rng.choice(items[:12])[1].split()
+            for k in range(5, len(words), rng.choice([6, 9, 40])):
+                words[k] = "changed"
+            body = body + words[: rng.choice([8, 14, 99])] + text(rng.randint(0, 20))
+        docs.append((i, rng.choice(["{}", "! {} ?"]).format(", ".join(body).upper() if i % 3 else " ".join(body))))
+    docs += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1]), (None, items[0][1])]
+    got = decontaminate.find_leaks(frame(spark, docs).repartition(3), frame(spark, items, "item_id long, text string"))
+    pairs = {(r.doc_id, r.item_id) for r in got.collect()}
+    want = brute_leaks([d for d in docs if d[0] is not None], items)
+    whole = {(d, i) for d, i in want if d is not None}
+    assert pairs <= whole and len(pairs) >= 0.9 * len(whole)
+    assert {(102, 0)} <= pairs
+    kept = decontaminate.remove_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {d[0] for d in docs} - {d for d, _ in pairs}
+
+
+def test_leaks_of_empty_tables(spark):
+    none = frame(spark, [])
+    items = frame(spark, [(1, "a b c d e f g h i j k l m")], "item_id long, text string")
+    assert decontaminate.find_leaks(none, items).collect() == []
+    assert decontaminate.find_leaks(frame(spark, [(1, "a b c")]), items.limit(0)).collect() == []
+
+
+def test_leaks_stay_native(spark):
+    docs = frame(spark, [(1, "a b c d e f g h i j k l m")])
+    plan = decontaminate.find_leaks(docs, frame(spark, [(1, "a b c d e f g h i j k l m")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# Pages
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (None, ""),
+        ("", ""),
+        ("<nav>menu</nav>", ""),
+        ("plain &amp; simple", "plain & simple"),
+        ("<html><body><article><h1>T</h1><p>One,\n two<p><b>Three<br>four</article><footer>f</footer>", "T\nOne, two\nThree four"),
+        ("<body><div class='sidebar'><p>Buy, now, this, that</p></div><div id=content><p>Long words, here &lt;3.</p><ul><li>a<li>b</ul></div>", "Long words, here <3.\na\nb"),
+        ("<body><main><p>Keep.</p><form><p>no</p></form><script>var t='</p>'</script><div class='comments'><p>bad</p></div><p>Also.</p></main>", "Keep.\nAlso."),
+        ("<article><p>a&#233;&nbsp;b</p><!-- <p>x</p> --><aside>no</aside></article>", "aé b"),
+        ("<body><div role=dialog><p>cookies, all of them, forever</p></div><article><p>x</p></article>", "x"),
+    ],
+)
+def test_main_text(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_pages_with_nulls_and_other_columns(spark):
+    rows = [(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (2, "v", "<p>" * 3000 + "deep" + "<div>" * 3000, "z")]
+    got = html_extract.extract(frame(spark, rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, "a"), (1, ""), (2, "deep")]
+
+
+# Packing
+
+
+def test_pieces_equal_whole_encoding(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["", None, "Hello, World! it's 42x", "ÄÖÜ straße ÉCOLE", "á ́b  x İI Σας", "<|endoftext|> x <|ENDOFTEXT|>", "日本語 テスト!!", "tab\tnew\nline  two", "word " * 5000, "don't I'LL 's"]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = defaultdict(list)
+    for r in packing.tokenise(frame(spark, list(enumerate(texts))), tokenizer_path()).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want = [(k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+        assert sorted(got[i]) == want, text
+
+
+def test_packing_is_complete_and_tight(spark):
+    rng = np.random.default_rng(2)
+    lengths = np.concatenate([rng.integers(1, 101, 400), [100] * 20]).tolist()
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "uid long, length long")
+    got = packing.pack(pieces, capacity=100, district_pieces=120).collect()
+    assert sorted(r.uid for r in got) == list(range(len(lengths)))
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(bins) <= 1.06 * -(-sum(lengths) // 100)
+
+
+def test_genetic_steps_keep_packings_valid():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 60, 300)
+    a = packing.best_fit(lengths, np.full(300, -1), 64)
+    b = packing._renumber(packing.mutate(lengths, a, 64, rng))
+    child = packing.crossover(lengths, packing._renumber(a), b, 64, rng)
+    for x in (a, b, child):
+        assert (x >= 0).all() and packing.fills(lengths, x).max() <= 64
+    best = packing.evolve(lengths, [], 64, [1])[0]
+    assert packing.fitness(lengths, best, 64) >= packing.fitness(lengths, packing._renumber(a), 64)
+
+
+def test_packing_edges(spark):
+    assert packing.pack_documents(frame(spark, []), tokenizer_path()).collect() == []
+    got = packing.pack_documents(frame(spark, [(1, None), (1, None), (None, "a")]), tokenizer_path()).collect()
+    assert sorted(r.length for r in got) == [1, 1, 2] and len({r.sequence_id for r in got}) == 1
+
+
+# Licences
+
+
+def test_base_phrases_by_brute_force(spark):
+    rng = random.Random(3)
+    words = ["mit", "MIT", "license", "License", "apache", "general", "public", "x", "ä", "7", "-", "_"]
+    rows = [(i, rng.choice(["", " ", "("]) + rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    rows += [(300, None), (301, ""), (302, "---"), (303, "mit license " * 500)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, text in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        spots, labels = [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split()
+            at = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            spots += at
+            labels |= {label} if at else set()
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(labels))), text
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_templates_are_found_where_they_lie(spark):
+    rows = [
+        (1, "Some code. Released under the MIT License."),
+        (2, "Licensed under CC BY-NC 4.0."),
+        (3, "This work is licensed under the GNU General Public License, version 3."),
+        (4, "A story about a license to drive and a public library."),
+        (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ] + [(10 + i, "nothing of the kind is here at all") for i in range(30)]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[1] == "mit,mit-license" and got[2] == "cc-by-nc-4.0" and got[3] == "gpl,gpl-3.0" and got[4] == "" and got[5] == "mit-license"
+
+
+def test_license_edges(spark):
+    assert licenses.scan(frame(spark, [])).collect() == []
+    got = licenses.scan(frame(spark, [(None, "MIT License", "z"), (None, "MIT License", "z")], "doc_id long, text string, labels string")).collect()
+    assert [r.base_labels for r in got] == ["mit", "mit"]
+
+
+# Quality
+
+
+def test_held_out_accuracy_and_calibration(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(60)) + "."
+    bad = lambda: rng.choice([good().upper(), good().replace(" ", " ### "), "spam " * 60])
+    rows = [(i, bad() if i % 4 == 0 else good()) for i in range(800)] + [(900, None), (901, "")]
+    labels = [(i, 0 if i % 4 == 0 else 1) for i in range(800)] + [(900, 1), (5, 0), (6, None)]
+    got = quality.classify(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    held = [r for r in got if r.held_out and r.doc_id < 900]
+    assert len(got) == 802 and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 != 0) for r in held]) > 0.95
+    assert all(r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_quality_without_labels_or_rows(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.classify(frame(spark, [(1, "a"), (None, None)]), labels).collect()} == {0.5}
+    assert quality.classify(frame(spark, []), labels).collect() == []
+
+
+def test_gradients_fit_a_separable_problem():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    net = quality.fit(x, y)
+    assert ((net.probabilities(x) > 0.5) == y).mean() > 0.9 and net.temperature > 0
+
+
+def test_counter_of_names_is_stable():
+    from wavelattice.llm import queries
+
+    numbers = Counter(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
+    assert numbers == Counter(range(1, 11))
