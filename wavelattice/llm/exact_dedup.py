@@ -165,10 +165,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows without an id are dropped.
 
-    Where an id is repeated, rows that are equal in all columns count once.
+    Where an id is repeated, its rows are told apart by their texts, and rows
+    that are equal in all columns count once.
     """
-    stay = deduplicate(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
-    stay = materialise(stay, "exact-kept")
-    repeated = not stay.groupBy("_kept_id").count().where("count > 1").isEmpty()
-    out = docs.join(stay.distinct() if repeated else stay, F.col(id_col) == F.col("_kept_id"), "left_semi")
-    return out.distinct() if repeated else out
+    named = deduplicate(docs, id_col, text_col).where("doc_id is not null")
+    named = materialise(named.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "kept"), "exact-kept")
+    stay = named.where("kept").drop("kept")
+    if named.groupBy("_kept_id").count().where("count > 1").isEmpty():
+        return docs.join(stay, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), letters, letters.lower()).cast("binary"), 256)
+    return docs.join(stay, (F.col(id_col) == F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi").distinct()
