@@ -289,3 +289,78 @@ def join_offsets(files: DataFrame) -> DataFrame:
 
 def presentation_end(packets: DataFrame) -> DataFrame:
     return packets.groupBy("source_id", "track_id").agg(F.max(F.col("pts") + F.col("duration")).alias("presentation_end"), F.count("*").alias("n_packets"))
+
+
+def master_playlist(renditions: DataFrame) -> DataFrame:
+    """The master playlist text of each source (order_no, bandwidth, codecs, uri)."""
+    entry = F.format_string('#EXT-X-STREAM-INF:BANDWIDTH=%d,CODECS="%s"\n%s', "bandwidth", "codecs", "uri")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("order_no", entry.alias("e")))), lambda r: r.e)
+    return renditions.groupBy("source_id").agg(F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:7\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("playlist"))
+
+
+def chunk_layout(packets: DataFrame, ticks: int, order: tuple[str, ...]) -> DataFrame:
+    """Chunks of each track, of less than ``ticks`` from their first packet, in the order of their starts.
+
+    A chunk's start depends on where the one before ended, so tracks are read in order.
+    """
+    rows = packets.select("source_id", "track_id", "dts", *[o for o in order if o != "dts"]).repartition("source_id", "track_id").sortWithinPartitions("source_id", "track_id", *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, n = None, 0, 0
+        for pdf in batches:
+            out = []
+            for source, track, dts in zip(pdf["source_id"], pdf["track_id"], pdf["dts"], strict=True):
+                if key != (source, track) or dts - first >= ticks:
+                    if key is not None:
+                        out.append((*key, first, n))
+                    key, first, n = (source, track), dts, 0
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=["source_id", "track_id", "start", "n_samples"])
+        if key is not None:
+            yield pd.DataFrame([(*key, first, n)], columns=["source_id", "track_id", "start", "n_samples"])
+
+    kind = packets.schema["track_id"].dataType.simpleString()
+    chunks = rows.mapInPandas(run, f"source_id string, track_id {kind}, start long, n_samples long")
+    w = Window.partitionBy("source_id").orderBy("start", "track_id")
+    return chunks.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+
+
+def transport_order(packets: DataFrame, segment_ticks: int, arrival: str) -> DataFrame:
+    """Place of each packet in its segment: by decode time, ties by arrival."""
+    segment = F.floor(F.col("dts") / segment_ticks)
+    w = Window.partitionBy("source_id", segment).orderBy("dts", arrival)
+    return packets.withColumn("segment", segment.cast("long")).withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+
+
+def timeline(scenes: DataFrame, rate_num: int, rate_den: int, ticks_per_s: int) -> DataFrame:
+    """First frame and end frame of each scene (scene_no, duration ticks): rounded running ends, a frame each at least."""
+    w = Window.partitionBy("clip_id").orderBy("scene_no")
+    ends = scenes.withColumn("_end", frame_slot(F.sum("duration").over(w.rowsBetween(Window.unboundedPreceding, 0)), rate_num, rate_den, ticks_per_s))
+    # max(prev + 1, end) over all scenes is a running maximum of end - scene index.
+    k = F.row_number().over(w).cast("long")
+    ends = ends.withColumn("_k", k).withColumn("end_frame", F.greatest(F.max(F.col("_end") - F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.col("_k"))
+    return ends.select("clip_id", "scene_no", F.coalesce(F.lag("end_frame").over(w), F.lit(0).cast("long")).alias("first_frame"), "end_frame")
+
+
+def first_at_or_after(frames: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each clip's target time the first frame at or after it, else its last frame."""
+    both = frames.join(F.broadcast(targets), "clip_id")
+    after = F.min_by("frame_no", F.when(F.col("ts") >= F.col("target"), F.col("ts")))
+    return both.groupBy("clip_id", "target").agg(F.coalesce(after, F.max_by("frame_no", "ts")).alias("frame_no"))
+
+
+def config_sessions(packets: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Runs of one codec configuration in each track, with their first time and size."""
+    w = _track(*order)
+    new = (F.col("config_version") != F.coalesce(F.lag("config_version").over(w), F.col("config_version"))).cast("long")
+    runs = packets.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("source_id", "track_id", "session").agg(F.min("dts").alias("start_dts"), F.count("*").alias("n_packets"))
+
+
+def from_frames(frames: DataFrame, rate: int, timescale: int) -> DataFrame:
+    """Packets of encoded audio frames: pts is the running sample count, rescaled."""
+    w = Window.partitionBy("source_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("sample_count").over(w), F.lit(0))
+    pts = rescale(before, rate, timescale)
+    return frames.withColumn("pts", pts).withColumn("dts", F.col("pts")).withColumn("is_keyframe", F.lit(True))

@@ -136,12 +136,6 @@ def hls_config_change(spark, sf_dir):
     return pk.segments(_per_user(spark, sf_dir), 0, 432_000, 1_000_000, ("dts", "event_id"), 1, breaks="config_version").withColumn("duration_s", F.round("duration_s", 6))
 
 
-@query("playlist_text")
-def playlist_text(spark, sf_dir):
-    segments = hls_segment(spark, sf_dir).withColumn("uri", F.format_string("seg%05d.ts", "sequence")).withColumn("discontinuity", F.lit(False))
-    return pk.media_playlist(segments, 432_000)
-
-
 @query("retain_newest", f"{PR}{_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sequence DESC) AS r FROM o) SELECT source_id, sequence FROM r WHERE r <= 2")
 def retain_newest(spark, sf_dir):
     return pk.retain_newest(hls_segment(spark, sf_dir), 2).select("source_id", "sequence")
