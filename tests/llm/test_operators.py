@@ -166,6 +166,8 @@ def test_leaks_stay_native(spark):
         ("<body><div class='sidebar'><p>Buy, now, this, that</p></div><div id=content><p>Long words, here &lt;3.</p><ul><li>a<li>b</ul></div>", "Long words, here <3.\na\nb"),
         ("<body><main><p>Keep.</p><form><p>no</p></form><script>var t='</p>'</script><div class='comments'><p>bad</p></div><p>Also.</p></main>", "Keep.\nAlso."),
         ("<article><p>a&#233;&nbsp;b</p><!-- <p>x</p> --><aside>no</aside></article>", "aé b"),
+        ("<body><div class='wrap has-sidebar'><article class=post><p>In, here.</p><figure><figcaption>cap</figcaption></figure></article><div id=comments><article class='comment-body'><h2>Re</h2><p>No, no, no, no.</p></article></div></div>", "In, here.\ncap"),
+        ("<body><div class='cookie-notice'><p>We use cookies, as all do, here.</p></div><div class=story><h1>T</h1><p>Text, and more.</p></div><section class='reader-comments'><p>Me, too, and me, and her.</p></section>", "T\nText, and more."),
         ("<body><div role=dialog><p>cookies, all of them, forever</p></div><article><p>x</p></article>", "x"),
     ],
 )

@@ -3,7 +3,9 @@
 Each page is read into a tree of elements with the usual rules for unclosed
 paragraphs, list items and cells. Elements that are boilerplate by their tag
 or role, or by a class or id that names one (menus, notices, adverts,
-comments, ...), are left out with all they hold. Each paragraph then passes
+comments, ...), are left out with all they hold; an element that is so only by
+its class or id stays if it holds a main element, a heading of the first level
+or an article that is not so itself (a page's wrapper "with-sidebar", say). Each paragraph then passes
 points to its ancestors: one, one more for each comma and for each hundred
 characters (three at most); the parent gets all, the grandparent half, the
 next one a third and so on. A container's points are discounted by its link
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 OUT = frozenset(
-    "script style noscript template iframe object svg math canvas audio video nav header footer aside form button select "
-    "textarea input label fieldset menu dialog head title map figure".split()
+    "script style noscript template iframe object svg canvas audio video nav header footer aside form button select textarea input "
+    "fieldset menu dialog head title map".split()
 )
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -55,6 +57,7 @@ UNLIKELY = re.compile(
     r"disclaimer|tags?|toc|rating)(?=$|[\s_\d-])",
     re.I,
 )
+_STRONG = re.compile(r"comment|side-?bar|footer|header|nav", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|post|entry|story|text|page)(?=$|[\s_\d-])", re.I)
 
 _MARK = re.compile(r"<(?:!--(?:>|->|.*?--!?>|.*\Z)|(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[!?/][^>]*>?)", re.S)
@@ -64,43 +67,65 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: children are nodes or text; ``out`` marks boilerplate."""
+    """An element: children are nodes or text; ``out`` marks boilerplate, ``named`` that only a name says so."""
 
-    __slots__ = ("children", "links", "out", "parent", "points", "size", "tag")
+    __slots__ = ("children", "links", "named", "out", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is left out by its kind, and whether its class or id says so."""
     if tag in OUT:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+        return True, False
+    if not attrs or tag in ("html", "body", "main"):
+        return False, False
     names = []
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return True, False
         if key == "style" and _HIDE.search(value):
-            return True
+            return True, False
         if key in ("class", "id"):
             names.append(value)
+    if tag == "article":
+        return False, any(UNLIKELY.match(n) for n in names)
     named = " ".join(names)
-    return bool(UNLIKELY.search(named)) and not (tag in ("article", "main") or LIKELY.search(named) and not re.search(r"comment|side-?bar|footer|header|nav", named, re.I))
+    return False, bool(UNLIKELY.search(named)) and not (LIKELY.search(named) and not _STRONG.search(named))
+
+
+def _settle(root: Node) -> None:
+    """Pardon named boilerplate that holds the page's main part; then leave out all that boilerplate holds."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        if not x.out:
+            stack += [c for c in x.children if isinstance(c, Node)]
+    holds: set[int] = set()
+    for x in reversed(order):
+        if not x.out and (id(x) in holds or x.tag in ("main", "h1") or x.tag == "article" and not x.named):
+            x.named = x.named and x.tag == "article"
+            if x.parent is not None and not x.named:
+                holds.add(id(x.parent))
+    for x in order:
+        x.out = x.out or x.named
 
 
 def parse(html: str) -> Node:
     """The tree of a page."""
-    root = Node("#root", None, False)
+    root = Node("#root", None, False, False)
     at, here = 0, root
     while True:
         m = _MARK.search(html, at)
         if not m:
             if at < len(html):
                 here.children.append(html[at:])
+            _settle(root)
             return root
         if m.start() > at:
             here.children.append(html[at : m.start()])
@@ -129,7 +154,7 @@ def parse(html: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        child = Node(tag, here, here.out or _boilerplate(tag, m["attrs"]))
+        child = Node(tag, here, *_boilerplate(tag, m["attrs"]))
         here.children.append(child)
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
             continue
