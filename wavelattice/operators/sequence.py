@@ -95,16 +95,21 @@ def resample(samples: DataFrame, source_rate: int, target_rate: int, half_width:
     return samples.groupBy(*by).applyInPandas(run, schema)
 
 
-def true_peak(samples: DataFrame, half_width: int = 24) -> DataFrame:
-    """Largest absolute value of each clip's fourfold oversampled float signal, in dB (minus infinity if silent)."""
+def oversampling_rows(half_width: int = 24) -> np.ndarray:
+    """Taps of the four phases of the true-peak oversampler, in single precision."""
     x = np.arange(2 * half_width)[None, :] - half_width + 1 - (np.arange(4) / 4)[:, None]
     beta = 0.1102 * (80 - 8.7)
     rows = np.sinc(x) * np.i0(beta * np.sqrt(np.clip(1 - (x / half_width) ** 2, 0, None))) / np.i0(beta)
-    rows = (rows / rows.sum(axis=1, keepdims=True)).astype(np.float32)
+    return (rows / rows.sum(axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+
+
+def true_peak(samples: DataFrame, half_width: int = 24) -> DataFrame:
+    """Largest absolute value of each clip's fourfold oversampled float signal, in dB (minus infinity if silent)."""
+    rows = oversampling_rows(half_width)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("frame")["sample"].to_numpy(np.float32)
-        padded = np.concatenate([np.zeros(half_width - 1, np.float32), v, np.zeros(half_width, np.float32)])
+        v = pdf.sort_values("frame")["sample"].to_numpy(np.float32).astype(np.float64)
+        padded = np.concatenate([np.zeros(half_width - 1), v, np.zeros(half_width)])
         peak = float(np.abs(v).max(initial=0))
         for row in rows[1:]:
             peak = max(peak, float(np.abs(np.convolve(padded, row[::-1], "valid")).max(initial=0)))

@@ -13,6 +13,7 @@ R = f"WITH RECURSIVE {samples_sql()}"
 RATE = 8000
 _RND = "CAST(greatest(least(round_even({x}, 0), 32767), -32768) AS INTEGER)"
 _CUT = "CAST(trunc(greatest(least({x}, {hi}), {lo})) AS INTEGER)"
+_E = "WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS frame FROM embeddings)"
 TAPS = [0.25, 0.5, -0.125, 0.0625]
 
 
@@ -185,7 +186,13 @@ def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("clip_id"), F.posexplode("embedding").alias("frame", "sample"))
 
 
-@query("true_peak")
+_TAPS = ", ".join(f"({p}, {k - 23}, {x!r}::DOUBLE)" for p, row in enumerate(sequence.oversampling_rows().tolist()) if p for k, x in enumerate(row))
+
+
+@query("true_peak", f"""{_E}, t AS (SELECT * FROM (VALUES {_TAPS}) t(phase, k, w)),
+    o AS (SELECT vec_id, t.phase, v.frame - t.k AS n, sum(CAST(x AS DOUBLE) * w) AS y FROM v, t WHERE v.frame - t.k BETWEEN 0 AND 63 GROUP BY ALL),
+    m AS (SELECT vec_id, max(a) AS p FROM (SELECT vec_id, abs(y) AS a FROM o UNION ALL SELECT vec_id, abs(CAST(x AS DOUBLE)) FROM v) GROUP BY vec_id)
+    SELECT CAST(vec_id AS VARCHAR) AS clip_id, round(20 * log10(p), 6) AS peak_db FROM m""")
 def true_peak(spark, sf_dir):
     return sequence.true_peak(_vectors(spark, sf_dir)).withColumn("peak_db", F.round("peak_db", 6))
 

@@ -131,7 +131,21 @@ def _per_user(spark, sf_dir):
     return packets(spark, sf_dir).withColumn("source_id", F.col("track_id").cast("string")).withColumn("track_id", F.lit(0))
 
 
-@query("hls_config_change")
+_CHANGE = """, k AS (SELECT CAST(track_id AS VARCHAR) AS source_id, pts, dts, is_keyframe AS key, config_version AS ver, row_number() OVER (PARTITION BY track_id ORDER BY dts, event_id) AS i FROM p),
+    g AS (SELECT source_id, i, ver, CASE WHEN key THEN pts END AS start, CASE WHEN key THEN pts END AS mx, CAST(NULL AS BIGINT) AS step, CASE WHEN key THEN dts END AS pd, 1 AS n, false AS broken,
+        CAST(NULL AS INTEGER) AS en, CAST(NULL AS BIGINT) AS es, CAST(NULL AS BIGINT) AS ee, false AS eb FROM k WHERE i = 1
+      UNION ALL SELECT source_id, i, ver, s2, CASE WHEN s2 IS NULL THEN mx1 ELSE greatest(coalesce(mx1, pts), pts) END, CASE WHEN s2 IS NULL OR pd1 IS NULL THEN st1 ELSE greatest(dts - pd1, 1) END,
+        CASE WHEN s2 IS NULL THEN pd1 ELSE dts END, n1 + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN false ELSE b1 END,
+        CASE WHEN chg THEN n0 WHEN cut THEN n1 END, CASE WHEN chg THEN s0 WHEN cut THEN s1 END, CASE WHEN chg THEN mx0 + coalesce(st0, 1) WHEN cut THEN pts END, CASE WHEN chg THEN b0 ELSE b1 END
+        FROM (SELECT *, coalesce(key AND s1 IS NOT NULL AND pts - s1 >= 432000000000, false) AS cut, CASE WHEN key AND (s1 IS NULL OR pts - s1 >= 432000000000) THEN pts ELSE s1 END AS s2
+          FROM (SELECT *, CASE WHEN chg THEN NULL ELSE s0 END AS s1, CASE WHEN chg THEN NULL ELSE mx0 END AS mx1, CASE WHEN chg THEN NULL ELSE st0 END AS st1, CASE WHEN chg THEN NULL ELSE pd0 END AS pd1,
+              n0 + CASE WHEN chg THEN 1 ELSE 0 END AS n1, chg OR b0 AS b1
+            FROM (SELECT k.*, g.start AS s0, g.mx AS mx0, g.step AS st0, g.pd AS pd0, g.n AS n0, g.broken AS b0, k.ver <> g.ver AND g.start IS NOT NULL AS chg FROM g JOIN k ON k.source_id = g.source_id AND k.i = g.i + 1)))),
+    o AS (SELECT source_id, en AS sequence, es AS start_pts, ee AS stop, eb AS discontinuity FROM g WHERE en IS NOT NULL
+      UNION ALL SELECT source_id, n, start, mx + coalesce(step, 1), broken FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY i DESC) AS r FROM g) WHERE r = 1 AND start IS NOT NULL)"""
+
+
+@query("hls_config_change", f"{PR}{_CHANGE} SELECT source_id, CAST(sequence AS BIGINT) AS sequence, start_pts, round((stop - start_pts) / 1000000.0::DOUBLE, 6) AS duration_s, discontinuity FROM o")
 def hls_config_change(spark, sf_dir):
     return pk.segments(_per_user(spark, sf_dir), 0, 432_000, 1_000_000, ("dts", "event_id"), 1, breaks="config_version").withColumn("duration_s", F.round("duration_s", 6))
 
