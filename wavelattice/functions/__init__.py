@@ -1 +1 @@
-"""See the README for what is here."""
+"""Operators as SQL functions."""

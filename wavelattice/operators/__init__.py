@@ -1 +1 @@
-"""See the README for what is here."""
+"""Operators over signal DataFrames: point-wise, analysis, alignment, windows, folds, packets, frames."""

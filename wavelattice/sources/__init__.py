@@ -1 +1 @@
-"""See the README for what is here."""
+"""Readers, writers and parsers of media files."""

@@ -1 +1 @@
-"""See the README for what is here."""
+"""Stateful operators for Structured Streaming."""
