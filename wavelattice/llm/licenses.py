@@ -23,9 +23,10 @@ An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm.store import materialise
@@ -65,6 +66,14 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is a literal of the plan."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ",".join(f.replace(" ", ":") for f in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (equal for equal rows) and words, without the empty ones at both ends."""
     all_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -107,7 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Rows with at least two indexed words, and the places of those words.
     some = rows.where(F.size(F.array_intersect("words", _strings(rare))) >= 2).select("key", "words")
     some = materialise(some.dropDuplicates(["key"]), "license-rows")
-    index = F.broadcast(spark.createDataFrame(postings, "word string, idf double, template int, position int, weight double"))
+    index = F.broadcast(_literal_table(spark, postings, "word string, idf double, template int, position int, weight double"))
     places = some.select("key", F.posexplode("words").alias("at", "word")).join(index, "word")
     votes = places.select("key", "template", (F.col("at") - F.col("position")).alias("start"), "position", "idf", "weight").distinct()
     starts = votes.groupBy("key", "template", "start").agg(F.sum("idf").alias("got"), F.first("weight").alias("weight"), F.count("*").alias("n"))
@@ -115,7 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # Mandatory phrases, within the stretch where the template lies.
     shape = [(t, label, len(wording.split()), list(phrases)) for t, (label, wording, phrases) in enumerate(TEMPLATES)]
-    shape = F.broadcast(spark.createDataFrame(shape, "template int, label string, length int, phrases array<string>"))
+    shape = F.broadcast(_literal_table(spark, shape, "template int, label string, length int, phrases array<string>"))
     near = starts.join(some, "key").join(shape, "template")
     near = near.withColumn("stretch", F.expr("concat(' ', array_join(slice(words, greatest(start, 0) + 1, length + least(start, 0)), ' '), ' ')"))
     sure = near.where(F.expr("forall(phrases, p -> contains(stretch, concat(' ', p, ' ')))"))
