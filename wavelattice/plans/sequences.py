@@ -153,8 +153,10 @@ def _k_sql(kind):
     m AS (SELECT clip_id, frame, y AS x FROM r), {two},
     st AS (SELECT clip_id, frame // 400 AS step, avg(y * y) AS e FROM q GROUP BY ALL {kind}),
     b AS (SELECT clip_id, count(*) OVER w AS n, sum(e) OVER w / 4 AS p FROM st WINDOW w AS (PARTITION BY clip_id ORDER BY step ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
-    g AS (SELECT clip_id, p FROM b WHERE n = 4 AND p > pow(10, (-70 + 0.691) / 10)), fl AS (SELECT clip_id, avg(p) * 0.1 AS fl FROM g GROUP BY clip_id)
-    SELECT clip_id, round(10 * log10(avg(p)) - 0.691, 4) AS lufs FROM g JOIN fl USING (clip_id) WHERE p > fl GROUP BY clip_id"""
+    g AS (SELECT clip_id, p FROM b WHERE n = 4 AND p > pow(10, (-70 + 0.691) / 10)), fl AS (SELECT clip_id, avg(p) * 0.1 AS fl FROM g GROUP BY clip_id),
+    ll AS (SELECT clip_id, round(10 * log10(avg(p)) - 0.691, 4) AS lufs FROM g JOIN fl USING (clip_id) WHERE p > fl GROUP BY clip_id),
+    bb AS (SELECT DISTINCT clip_id, true AS measured FROM b WHERE n = 4)
+    SELECT clip_id, coalesce(lufs, CASE WHEN measured THEN CAST('-infinity' AS DOUBLE) END) AS lufs FROM (SELECT DISTINCT clip_id FROM s) LEFT JOIN bb USING (clip_id) LEFT JOIN ll USING (clip_id)"""
 
 
 @query("loudness_integrated", _k_sql(""))
