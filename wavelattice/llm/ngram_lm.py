@@ -6,8 +6,8 @@ within a chunk before anything is shuffled:
 1. vocabulary: distinct word hashes with counts, in shards by hash range; a
    word's id is its place in the sorted hash array;
 2. bigrams: distinct (id, id) keys with counts, in shards by a range of the
-   first id and a salt of the second, so a context that follows nearly every
-   word is spread over about the square root of all shards;
+   first id; a context with more than a quarter of a shard's share of all
+   tokens is dealt by the second id over as many shards as its count asks for;
 3. from the final bigram counts, each word's number of different followers
    with counts 1, 2 and over 2, and its number of different predecessors.
 
@@ -45,6 +45,7 @@ from wavelattice.llm.store import materialise, new_path, posix_path
 U = np.uint64
 END = U(0x5BD1E995A5A5A5A5)
 CHUNK_TOKENS = 2_000_000
+SCORE_TOKENS = 400_000
 SHARD_BYTES = 16 << 20
 
 
@@ -123,7 +124,8 @@ def _map(path: str, dtype) -> np.ndarray:
 
 
 def _by_shard(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(shards, "shard").sortWithinPartitions("shard")
+    """Each shard's rows in a partition of their own."""
+    return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
 
 def hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -141,8 +143,6 @@ class Model:
 
     path: str
     shards: int
-    ranges: int
-    salts: int
     starts: list[int]
     tokens: int
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -184,7 +184,10 @@ class Model:
         return out
 
     def bigram_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a * self.ranges // (self.words + 1) * self.salts + b % self.salts
+        """Shard of each bigram, for first ids in order."""
+        heads, runs = _runs(a)
+        spread = 1 + self.of_ids("word_count", heads, np.uint64).astype(np.int64) * 4 * self.shards // max(self.tokens, 1)
+        return (a * self.shards // (self.words + 1) + b % np.repeat(np.minimum(spread, self.shards), runs)) % self.shards
 
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct keys (first id << 32 | second id)."""
@@ -246,7 +249,8 @@ def _save_words(path: str) -> Callable:
             words, counts = _summed(_joined(rows, "words", np.uint64), _joined(rows, "counts", np.uint32).astype(np.uint64))
             _save(f"{path}/word/{shard}", words)
             _save(f"{path}/word_count/{shard}", counts)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(words)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+            out = {"n": len(words), "total": int(counts.sum()), "ends": int(counts[words == END].sum())}
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), **{k: pa.array([v], pa.int64()) for k, v in out.items()}})
 
     return run
 
@@ -290,6 +294,8 @@ def _count_pairs(model: Model, limit: int) -> Callable:
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of the runs in a sorted array."""
+    if not len(x):
+        return x, x
     first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     return x[first], np.diff(np.append(first, len(x)))
 
@@ -350,17 +356,17 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    salts = max(1, round(shards**0.5))
     path = posix_path(new_path(spark, "ngram"))
 
     parts = _by_shard(texts.mapInArrow(_count_words(shards, chunk_tokens), "shard int, words binary, counts binary"), shards)
-    rows = {r.shard: r for r in parts.mapInArrow(_save_words(path), "shard int, n long, total long").collect()}
+    rows = {r.shard: r for r in parts.mapInArrow(_save_words(path), "shard int, n long, total long, ends long").collect()}
     sizes = [rows[s].n if s in rows else 0 for s in range(shards)]
-    model = Model(path, shards, -(-shards // salts), salts, [0, *np.cumsum(sizes).tolist()], sum(r.total for r in rows.values()))
+    model = Model(path, shards, [0, *np.cumsum(sizes).tolist()], sum(r.total for r in rows.values()))
     if not rows:
         return model
+    _save(f"{path}/word_count/{shards}", np.array([sum(r.ends for r in rows.values())], np.uint64))  # of the start of a text
 
-    pairs = _by_shard(texts.mapInArrow(_count_pairs(model, chunk_tokens), "shard int, heads binary, runs binary, tails binary, counts binary"), model.ranges * salts)
+    pairs = _by_shard(texts.mapInArrow(_count_pairs(model, chunk_tokens), "shard int, heads binary, runs binary, tails binary, counts binary"), shards)
     parts = materialise(pairs.mapInArrow(_save_pairs(model), _PARTS), "ngram-parts")
     high = parts.agg(*(F.sum(F.col("histogram")[k]) for k in range(4))).first()
     low = _by_shard(parts, shards + 1).mapInArrow(_save_sums(model), "total long, histogram array<long>")
@@ -426,7 +432,7 @@ def _score(model: Model, limit: int) -> Callable:
     return run
 
 
-def score(docs: DataFrame, model: Model, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, model: Model, chunk_tokens: int = SCORE_TOKENS) -> DataFrame:
     """n_tokens, n_known, base_score, score and perplexity of the rows (doc_id, held_out, text) of ``docs``."""
     out = docs.select("doc_id", "held_out", "text").mapInArrow(
         _score(model, chunk_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
