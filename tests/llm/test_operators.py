@@ -20,10 +20,10 @@ def frame(spark, rows, schema="doc_id long, text string"):
 # Sharding
 
 
-@pytest.mark.parametrize("n,shards,block", [(1000, 24, 16), (7, 24, 4), (300, 1, 64), (0, 3, 8)])
+@pytest.mark.parametrize("n,shards,block", [(1000, 24, 3), (7, 24, 2), (300, 1, 5), (0, 3, None)])
 def test_shards_are_balanced_and_slots_gapless(spark, n, shards, block):
     docs = frame(spark, [(i, f"t{i}") for i in range(n)]).repartition(5)
-    got = sharding.shuffle_into_shards(docs, shards, seed=3, block_rows=block).collect()
+    got = sharding.shuffle_into_shards(docs, shards, seed=3, blocks_per_shard=block).collect()
     assert sorted(r.doc_id for r in got) == list(range(n))
     slots = defaultdict(list)
     for r in got:

@@ -1,7 +1,7 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Shards differ by at most one row. Each shard is made of blocks of bounded
-size. The matrix says how many rows each input partition sends to each block;
+Shards differ by at most one row. Each shard is made of blocks, in all about
+as many as the input has partitions, each one task's work. The matrix says how many rows each input partition sends to each block;
 its row sums are the partitions' sizes, its column sums the blocks', and it
 follows the law of a uniform random permutation: the blocks' contents are
 split between the two halves of the partitions by a multivariate
@@ -35,7 +35,6 @@ from pyspark.sql import types as T
 
 from wavelattice.llm.store import materialise
 
-BLOCK_ROWS = 1 << 14
 _LIMIT = 10**9  # numpy draws exactly below this many rows
 
 
@@ -111,7 +110,7 @@ def _destinations(sizes: dict[int, int], blocks: np.ndarray, seed: int):
             left = left - now
             to = rng.permutation(np.repeat(np.arange(len(blocks)), now))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(to, pa.int64()), pa.array(rng.integers(0, 2**62, n), pa.int64())], names=[*batch.schema.names, "_block", "_key"]
+                [*batch.columns, pa.array(to, pa.int32()), pa.array(rng.integers(0, 2**62, n), pa.int64())], names=[*batch.schema.names, "_block", "_key"]
             )
         if left is not None and left.sum():
             raise ValueError(f"partition {part} has fewer rows than when they were counted")
@@ -119,25 +118,26 @@ def _destinations(sizes: dict[int, int], blocks: np.ndarray, seed: int):
     return run
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, blocks_per_shard: int | None = None) -> DataFrame:
     """``docs`` with shard (0 to shards - 1) and slot (from 0, gapless in its shard), uniformly at random."""
-    if shards < 1 or block_rows < 1:
-        raise ValueError("shards and block_rows must be positive")
+    if shards < 1 or blocks_per_shard is not None and blocks_per_shard < 1:
+        raise ValueError("shards and blocks must be positive")
     docs = docs.drop("shard", "slot", "grown_shard", "_block", "_key")
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = materialise(docs, "shard-input")
     sizes = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     per_shard = _balanced(sum(sizes.values()), shards)
-    per_block = [_balanced(int(n), max(1, math.ceil(n / block_rows))) for n in per_shard]
+    each = blocks_per_shard or max(1, math.ceil(len(sizes) / shards))
+    per_block = [_balanced(int(n), each) for n in per_shard]
     blocks = np.concatenate(per_block)
     shard = np.repeat(np.arange(shards), [len(b) for b in per_block])
     start = np.concatenate([np.cumsum(b) - b for b in per_block])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_block", T.LongType()), T.StructField("_key", T.LongType())])
-    sent = docs.mapInArrow(_destinations(sizes, blocks, seed), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_block", T.IntegerType()), T.StructField("_key", T.LongType())])
+    sent = docs.mapInArrow(_destinations(sizes, blocks, seed), schema).repartitionById(len(blocks), F.col("_block"))
     at = F.row_number().over(Window.partitionBy("_block").orderBy("_key")) - 1
     place = docs.sparkSession.createDataFrame(
-        [(int(b), int(shard[b]), int(start[b])) for b in range(len(blocks))], "_block long, shard int, _start long"
+        [(int(b), int(shard[b]), int(start[b])) for b in range(len(blocks))], "_block int, shard int, _start long"
     )
     out = sent.withColumn("_at", at).join(F.broadcast(place) if len(blocks) < 100_000 else place, "_block")
     return out.withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_block", "_key", "_at", "_start")
