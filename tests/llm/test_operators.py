@@ -139,6 +139,17 @@ def test_leaks_with_replaced_words(spark):
     assert {r.doc_id for r in kept} == {d[0] for d in docs} - {d for d, _ in pairs}
 
 
+def test_items_shorter_than_a_mask_are_found_whole(spark):
+    items = [(1, "Who wrote the first novel?"), (2, "a b c d e f g h i"), (3, "yes"), (4, "c d"), (5, "who wrote")]
+    docs = [(1, "Q: who wrote, the first novel"), (2, "who wrote the second novel"), (3, "a b c d e f g h i"), (4, "Yes. yes"), (5, "c"), (6, None), (7, "b c d x c d"), (None, "yes")]
+    got = decontaminate.find_leaks(frame(spark, docs).repartition(3), frame(spark, items, "item_id long, text string")).collect()
+    want = {(1, 1, 1, 5, 1), (1, 5, 1, 2, 1), (2, 5, 0, 2, 1), (3, 2, 0, 9, 1), (3, 4, 2, 2, 1), (4, 3, 0, 1, 2), (7, 4, 1, 2, 2)}
+    assert {(r.doc_id, r.item_id, r.first_word, r.n_words, r.n_places) for r in got} == want and len(got) == len(want)
+    assert all(r.score == r.n_equal == r.item_words == r.n_words for r in got)
+    kept = decontaminate.remove_leaks(frame(spark, docs), frame(spark, items[:2], "item_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {2, 4, 5, 6, 7, None}
+
+
 def test_leaks_of_empty_tables(spark):
     none = frame(spark, [])
     items = frame(spark, [(1, "a b c d e f g h i j k l m")], "item_id long, text string")

@@ -10,9 +10,12 @@ an item. Around it the whole item is compared word by word, and the best
 stretch is the one with the highest number of equal words less twice the
 number of replaced ones; a score of ``min_score`` makes it a leak.
 
-The benchmark's seeds are broadcast only after their number was counted and
-found small, else both sides are shuffled. Items shorter than a mask cannot
-reach the score and are not looked for.
+Items shorter than a mask are looked for whole and unchanged: every window of
+an item's length that starts with the words of such an item is joined with the
+items by its hash and compared word by word.
+
+The benchmark's seeds and short items are broadcast only after their number
+was counted and found small, else both sides are shuffled.
 
 Null and empty texts have no leaks. Rows without doc_id are not reported.
 Repeated rows, and items with equal texts, are reported alike. Extra columns
@@ -61,11 +64,35 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _short_leaks(rows: DataFrame, short: DataFrame) -> DataFrame | None:
+    """Whole copies of the items that are shorter than a mask; None where there are no such items."""
+    n = {r.n: r["count"] for r in short.groupBy(F.size("words").alias("n")).count().collect()}
+    if not n:
+        return None
+    # A place goes on only if an item starts with its two words, or is its one word.
+    single, several = F.xxhash64(F.expr("words[at]")), _pair()
+    starts = short.withColumn("at", F.lit(0)).select(F.when(F.size("words") == 1, single).otherwise(several).alias("start"))
+    starts = _small(starts.distinct(), sum(n.values()))
+    places = rows.where(F.size("words") >= min(n)).select("doc_id", "words", F.explode(F.expr(f"sequence(0, size(words) - {min(n)})")).alias("at"))
+    found = []
+    for key, lengths in ((single, [k for k in n if k == 1]), (several, [k for k in n if k > 1])):
+        if lengths:
+            windows = F.filter(F.array(*(F.when(F.col("at") + k <= F.size("words"), F.slice("words", F.col("at") + 1, k)) for k in lengths)), lambda w: w.isNotNull())
+            at = places.join(starts, key == F.col("start"), "left_semi").select("doc_id", "at", F.explode(windows).alias("window"))
+            items = _small(short.select("item_id", F.col("words").alias("item"), F.xxhash64("words").alias("hash")), sum(n.values()))
+            found.append(at.join(items, (F.xxhash64("window") == F.col("hash")) & (F.col("window") == F.col("item"))))
+    both = found[0].union(found[1]) if len(found) > 1 else found[0]
+    out = both.groupBy("doc_id", "item_id").agg(F.min("at").cast("long").alias("first_word"), F.max(F.size("item")).cast("long").alias("n"), F.count("*").alias("n_places"))
+    return out.select("doc_id", "item_id", F.col("n").alias("score"), "first_word", F.col("n").alias("n_words"), F.col("n").alias("n_equal"), F.col("n").alias("item_words"), "n_places")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
     """One row for each document and item that overlap: where, how long and with how many equal words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("words")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.filter(words(F.col("text")), lambda w: w != "").alias("words"))
-    items = materialise(items.where(F.size("words") >= SPAN), "leak-items")
+    items = materialise(items.where(F.size("words") > 0), "leak-items")
+    short = _short_leaks(rows, items.where(F.size("words") < SPAN))
+    items = items.where(F.size("words") >= SPAN)
 
     mine = materialise(_places(items, "item_id").select("item_id", "at", _pair().alias("pair"), F.posexplode(_seeds()).alias("mask", "seed")), "leak-seeds")
     n = mine.count()
@@ -102,7 +129,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     )
     best = F.struct("score", -F.col("first_word"), "n_words", "n_equal", "item_words")
     out = found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"), F.count("*").alias("n_places"))
-    return out.select(
+    out = out.select(
         "doc_id",
         "item_id",
         F.col("b.score").cast("long").alias("score"),
@@ -112,6 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.col("b.item_words").alias("item_words"),
         "n_places",
     )
+    return out if short is None else out.union(short)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
