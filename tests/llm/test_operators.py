@@ -139,6 +139,24 @@ def test_leaks_with_replaced_words(spark):
     assert {r.doc_id for r in kept} == {d[0] for d in docs} - {d for d, _ in pairs}
 
 
+def test_short_items_with_a_fifth_of_the_words_replaced(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(300):
+        n, r = rng.choice([(10, 1), (12, 2), (14, 2), (16, 3), (18, 3), (20, 4), (25, 5)])
+        item = text(n)
+        copy = list(item)
+        for k in rng.sample(range(n), r):
+            copy[k] = "changed"
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(text(rng.randint(0, 30)) + copy + text(rng.randint(0, 30)))))
+        docs.append((1000 + i, " ".join(text(9) + item[: n // 2] + text(9))))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+    assert len({(i, i) for i in range(300)} & got) >= 0.98 * 300
+    assert {p for p in got if p[0] != p[1]} <= {(1000 + i, i) for i, t in items if len(t.split()) // 2 >= decontaminate.MIN_SCORE}
+
+
 def test_items_shorter_than_a_mask_are_found_whole(spark):
     items = [(1, "Who wrote the first novel?"), (2, "a b c d e f g h i"), (3, "yes"), (4, "c d"), (5, "who wrote")]
     docs = [(1, "Q: who wrote, the first novel"), (2, "who wrote the second novel"), (3, "a b c d e f g h i"), (4, "Yes. yes"), (5, "c"), (6, None), (7, "b c d x c d"), (None, "yes")]

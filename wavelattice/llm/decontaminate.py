@@ -2,13 +2,17 @@
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. A
 seed is a fixed mask over ten neighbouring words that ignores three of them,
-so a hit survives replaced words at the ignored places; all masks keep their
-first two words. Every word place of every document is looked at: those whose
+so a hit survives replaced words at the ignored places, or a run of four words
+for short items, where replaced words lie close to both ends; all masks keep
+their first two words. Every word place of every document is looked at: those whose
 first two words also stand side by side in a benchmark item give seeds, which
 are joined with the items' seeds. Each hit is an alignment of a document with
 an item. Around it the whole item is compared word by word, and the best
 stretch is the one with the highest number of equal words less twice the
-number of replaced ones; a score of ``min_score`` makes it a leak.
+number of replaced ones; a score of ``min_score`` makes it a leak. So does, for
+copies of short items with replaced words, more than a ``min_share`` of the
+whole item's words that are equal at one alignment; parts of an item, which
+may be equal by chance, need the score.
 
 Items shorter than a mask are looked for whole and unchanged: every window of
 an item's length that starts with the words of such an item is joined with the
@@ -30,9 +34,10 @@ from pyspark.sql import functions as F
 from wavelattice.llm.store import materialise
 
 # 1 marks a word that counts.
-MASKS = ("1110110101", "1101011011", "1100110111")
+MASKS = ("1110110101", "1101011011", "1100110111", "1111")
 SPAN = 10
 MIN_SCORE = 10
+MIN_SHARE = 0.75
 BROADCAST_ROWS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,17 +52,18 @@ def _pair() -> Column:
 
 
 def _seeds() -> Column:
-    """(mask number, hash of the counted words) for each mask at place ``at``."""
+    """(mask number, hash of the counted words) for each mask at place ``at``; null where it does not fit."""
     out = []
     for m, mask in enumerate(MASKS):
         at = ", ".join(f"get(words, at + {k})" for k, c in enumerate(mask) if c == "1")
-        out.append(f"xxhash64({m}, {at})")
+        out.append(f"if(at + {len(mask)} <= size(words), xxhash64({m}, {at}), null)")
     return F.expr(f"array({', '.join(out)})")
 
 
 def _places(df: DataFrame, *keep: str) -> DataFrame:
-    """One row for each place where a whole mask fits."""
-    return df.where(F.size("words") >= SPAN).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")).alias("at"))
+    """One row for each place where at least the shortest mask fits."""
+    span = min(map(len, MASKS))
+    return df.where(F.size("words") >= span).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {span})")).alias("at"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -86,22 +92,22 @@ def _short_leaks(rows: DataFrame, short: DataFrame) -> DataFrame | None:
     return out.select("doc_id", "item_id", F.col("n").alias("score"), "first_word", F.col("n").alias("n_words"), F.col("n").alias("n_equal"), F.col("n").alias("item_words"), "n_places")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
-    """One row for each document and item that overlap: where, how long and with how many equal words."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = MIN_SCORE, min_share: float = MIN_SHARE) -> DataFrame:
+    """One row for each document and item that overlap: the best stretch, how long it is and with how many equal words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("words")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.filter(words(F.col("text")), lambda w: w != "").alias("words"))
     items = materialise(items.where(F.size("words") > 0), "leak-items")
     short = _short_leaks(rows, items.where(F.size("words") < SPAN))
     items = items.where(F.size("words") >= SPAN)
 
-    mine = materialise(_places(items, "item_id").select("item_id", "at", _pair().alias("pair"), F.posexplode(_seeds()).alias("mask", "seed")), "leak-seeds")
+    mine = materialise(_places(items, "item_id").select("item_id", "at", _pair().alias("pair"), F.posexplode(_seeds()).alias("mask", "seed")).where("seed is not null"), "leak-seeds")
     n = mine.count()
     pairs = _small(mine.select("pair").distinct(), n)
     seeds = _small(mine.select("mask", "seed", "item_id", F.col("at").alias("item_at")), n)
 
     # Only the places that pass the pair test are hashed under the masks.
     places = _places(rows, "doc_id").join(pairs, _pair() == F.col("pair"), "left_semi")
-    hits = places.select("doc_id", "at", F.posexplode(_seeds()).alias("mask", "seed")).join(seeds, ["mask", "seed"])
+    hits = places.select("doc_id", "at", F.posexplode(_seeds()).alias("mask", "seed")).where("seed is not null").join(seeds, ["mask", "seed"])
     hits = materialise(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "leak-hits")
 
     # Alignments are compared word by word; only documents with a hit are read again.
@@ -117,7 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         'best', greatest(s.best, s.sum + if(e, 1, -2)),
         'lo', if(s.sum + if(e, 1, -2) > s.best, s.from, s.lo),
         'hi', if(s.sum + if(e, 1, -2) > s.best, s.i + 1, s.hi)))"""
-    scored = both.withColumn("s", F.expr(stretch)).where(F.col("s.best") >= min_score)
+    share = F.size(F.filter("equal", lambda e: e)) > min_share * F.col("item_words")
+    scored = both.withColumn("s", F.expr(stretch)).where((F.col("s.best") >= min_score) | share)
     found = scored.select(
         "doc_id",
         "item_id",
