@@ -35,5 +35,12 @@ def test_one_row_stays_with_repeated_and_missing_ids(spark):
     assert [tuple(r) for r in exact_dedup.keep_distinct(docs).orderBy("doc_id").collect()] == [(1, "a", 7), (3, "", 7)]
 
 
+def test_rows_without_id_stay_once(spark):
+    for first in ([(1, "a", 7)], [(1, "a", 7), (1, "b", 7)]):
+        rows = [*first, (None, "A", 7), (None, "only", 7), (None, "Two", 7), (None, "two", 8), (None, None, 7), (None, "", 9), (2, "c", 7), (3, "C", 7)]
+        got = exact_dedup.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string, level int").repartition(3)).collect()
+        assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == sorted([(0, ""), (0, "only"), (0, "two"), *((i, t) for i, t, _ in first), (3, "c")])
+
+
 def test_empty_table(spark):
     assert exact_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []

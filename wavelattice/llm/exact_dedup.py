@@ -163,16 +163,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows without an id are dropped.
+    """The rows of ``docs`` that stay, with all their columns.
 
     Where an id is repeated, its rows are told apart by their texts, and rows
-    that are equal in all columns count once.
+    that are equal in all columns count once. Of equal texts that all lack an
+    id, one row stays.
     """
-    named = deduplicate(docs, id_col, text_col).where("doc_id is not null")
+    named = deduplicate(docs, id_col, text_col)
     named = materialise(named.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "kept"), "exact-kept")
     stay = named.where("kept").drop("kept")
-    if named.groupBy("_kept_id").count().where("count > 1").isEmpty():
-        return docs.join(stay, F.col(id_col) == F.col("_kept_id"), "left_semi")
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), letters, letters.lower()).cast("binary"), 256)
-    return docs.join(stay, (F.col(id_col) == F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi").distinct()
+    if named.where("_kept_id is not null").groupBy("_kept_id").count().where("count > 1").isEmpty():
+        out = docs.join(stay, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    else:
+        out = docs.join(stay, (F.col(id_col) == F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi").distinct()
+    lone = stay.where("_kept_id is null")
+    if lone.isEmpty():
+        return out
+    nameless = docs.where(F.col(id_col).cast("long").isNull()).withColumn("_row_sha", sha)
+    nameless = nameless.join(lone, F.col("_row_sha") == F.col("_kept_sha"), "left_semi").dropDuplicates(["_row_sha"]).drop("_row_sha")
+    return out.unionByName(materialise(nameless, "exact-nameless"))
