@@ -204,6 +204,17 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_siblings_of_the_best_container_stay():
+    long, short = "Words, of the, larger, section, one, two, three, four, five, six.", "Other, real, paragraph, of the page, too."
+    two = f"<section><p>{long}</p></section><section><p>{short}</p></section>"
+    want = f"{long}\n{short}"
+    assert html_extract.main_text(f"<body><div>{two}</div></body>") == want
+    assert html_extract.main_text("<body>" + two.replace("<section>", "<div><section>").replace("</section>", "</section></div>") + "</body>") == want
+    for block in ("<ul><li>a</ul>", "<table><tr><td>a</table>", "<pre>a</pre>", "<blockquote>a</blockquote>", "<dl><dd>a</dl>"):
+        assert html_extract.main_text(f"<body><div><section><p>{long}</p></section>{block}</div></body>") == f"{long}\na"
+    assert html_extract.main_text(f"<body><div><section><p>{long}</p></section><ul><li><a href=x>link</a></ul></div></body>") == long
+
+
 def test_pages_with_nulls_and_other_columns(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (2, "v", "<p>" * 3000 + "deep" + "<div>" * 3000, "z")]
     got = html_extract.extract(frame(spark, rows, "page_id long, url string, html string, text string")).collect()

@@ -10,7 +10,9 @@ points to its ancestors: one, one more for each comma and for each hundred
 characters (three at most); the parent gets all, the grandparent half, the
 next one a third and so on. A container's points are discounted by its link
 density. The best container is kept, and siblings of it whose points reach a
-fifth of its own, or which are long paragraphs with few links. An article or
+fifth of its own, or which are blocks of any kind with few links, the short
+ones with none. A container that holds all the text of its parent gives way to
+the parent first, so that siblings of wrappers count too. An article or
 main element that holds the best container takes its place.
 
 Character references are decoded, white space inside a block becomes one
@@ -266,6 +268,8 @@ def main_text(html: str | None) -> str:
             best = up
             break
         up = up.parent
+    while best.tag not in ("article", "main") and best.parent is not None and best.parent.size == best.size:
+        best = best.parent
     top, parent = best.points * (1 - density(best)), best.parent
     if parent is None or best.tag in ("article", "main"):
         others = [c for c in (parent.children if parent else []) if isinstance(c, Node) and c.tag == best.tag == "article" and not c.out]
@@ -275,9 +279,9 @@ def main_text(html: str | None) -> str:
         for c in parent.children:
             if not isinstance(c, Node) or c.out:
                 continue
-            if c is best or c.points * (1 - density(c)) >= max(10, top * 0.2):
+            if c is best or c.points * (1 - density(c)) >= top * 0.2 > 0:
                 keep.append(c)
-            elif c.tag == "p" and (c.size > 80 and density(c) < 0.25 or 0 < c.size <= 80 and not c.links):
+            elif c.tag in BLOCK and (c.size > 80 and density(c) < 0.25 or 0 < c.size <= 80 and not c.links):
                 keep.append(c)
             elif c.tag[0] == "h" and len(c.tag) == 2 and not c.links:
                 keep.append(c)
