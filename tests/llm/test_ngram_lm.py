@@ -67,6 +67,49 @@ def test_many_shards_and_small_chunks_change_nothing(spark):
     assert {r.doc_id: round(r.score, 9) for r in one} == {r.doc_id: round(r.score, 9) for r in many}
 
 
+def brute_trigrams(rows, held=()):
+    tok = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</s>"] for i, t in rows}
+    grams = lambda w: zip(["<s>", "<s>", *w[:-2]] if len(w) > 1 else ["<s>"], ["<s>", *w[:-1]], w, strict=True)
+    tri = Counter(g for i, w in tok.items() if i not in held for g in grams(w))
+    levels = [tri, Counter((b, c) for _, b, c in tri)]
+    levels.append(Counter((c,) for _, c in levels[1]))
+    ds = [(0, *ngram_lm.discounts([sum(c == k for c in n.values()) for k in (1, 2, 3, 4)])) for n in levels]
+    sums, reserved = Counter(), Counter()
+    for n, d in zip(levels, ds, strict=True):
+        for g, c in n.items():
+            sums[len(g), g[:-1]] += c
+            reserved[len(g), g[:-1]] += d[min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[2]) + 1)
+        key = len(g), g[:-1]
+        if not sums[key]:
+            return p(g[1:])
+        n, d = levels[3 - len(g)][g], ds[3 - len(g)]
+        return (n - d[min(n, 3)]) / sums[key] + reserved[key] / sums[key] * p(g[1:])
+
+    for g in (("<s>", "<s>"), ("the", "of"), ("never", "seen")):
+        assert sum(p((*g, w)) for (w,) in levels[2]) + p((*g, "unknown")) == pytest.approx(1)
+    return {i: pytest.approx(sum(math.log10(p(g)) for g in grams(w))) for i, w in tok.items()}
+
+
+def test_trigram_scores_follow_the_definition(spark):
+    words = "the of and a to in is you that it he was for on are".split()
+    rows = [(i, " ".join(words[(i * k * k + k) % 15] for k in range(i % 40))) for i in range(150)]
+    rows += [(201, ""), (202, "The OF unseen Wörter Ä ä"), (204, "a " * 3000), (205, "the of the and"), (206, "the of it"), (207, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "false as held_out", "text")
+    train = docs.where("doc_id not in (202, 206, 30)").select("text")
+    want = brute_trigrams(rows, {202, 206, 30})
+    for options, chunk in (({}, 1000), ({"shard_bytes": 512, "chunk_tokens": 100}, 50)):
+        model = ngram_lm.train(train, order=3, **options)
+        got = {r.doc_id: r.score for r in ngram_lm.score(docs.repartition(3), model, chunk_tokens=chunk).collect()}
+        assert got == want
+    assert ngram_lm.score(docs, ngram_lm.train(train.limit(0), order=3)).count() == len(rows)
+    with pytest.raises(ValueError):
+        ngram_lm.train(train, order=4)
+
+
 def test_empty_table_and_no_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.train_and_score(empty).collect() == []

@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped for scoring.
 
 Three passes over the training texts' words, each reduced to sorted arrays
 within a chunk before anything is shuffled:
@@ -11,6 +11,14 @@ within a chunk before anything is shuffled:
 3. from the final bigram counts, each word's number of different followers
    with counts 1, 2 and over 2, and its number of different predecessors.
 
+Order 3 counts trigrams (a, b, c) in the second pass, dealt like the bigrams
+(b, c), so that a shard has all trigrams that end in one of its bigrams; a
+bigram's count is then its number of different predecessors. A shard keeps its
+trigrams as a tree b, a, c of sorted arrays with ends; the sums over c that a
+context (a, b) needs are kept where it has many followers, else added up when
+asked for. A context whose b is dealt over several shards is summed over them.
+Texts start with two start tokens; an unseen context (a, b) falls back to b.
+
 Shards are raw sorted arrays in the shared folder, written under a temporary
 name and renamed, so a repeated task leaves the same file. Scoring workers
 memory-map them and look up sorted keys; nothing of the model is broadcast or
@@ -47,6 +55,9 @@ END = U(0x5BD1E995A5A5A5A5)
 CHUNK_TOKENS = 2_000_000
 SCORE_TOKENS = 400_000
 SHARD_BYTES = 16 << 20
+ORDERS = (2, 3)
+WIDE = 8
+TREE = ("head", "head_end", "context", "context_end", "third", "over_at", "over", "wide", "wide_sums")
 
 
 def _token_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +160,8 @@ class Model:
     low_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_total: int = 0
     low_mass: float = 1.0
+    order: int = 2
+    top_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -203,6 +216,119 @@ class Model:
         return out
 
 
+    def _context_at(self, s: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the contexts (a, b) in a shard's tree; and which are there."""
+        head = self.array("head", s, np.uint32)
+        if not len(head):
+            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+        h, there = _find(head, np.zeros(len(b), np.int64), np.full(len(b), len(head)), b)
+        lo, hi = _range(self.array("head_end", s, np.uint32), h)
+        at, found = _find(self.array("context", s, np.uint32), lo, np.where(there, hi, lo), a)
+        return at, found
+
+    def _third(self, s: int, at: np.ndarray) -> np.ndarray:
+        """Counts of the trigrams at the given places of a shard."""
+        out = self.array("third_count", s, np.uint8)[at].astype(np.int64)
+        over = np.flatnonzero(out == 255)
+        if len(over):
+            out[over] = self.array("over", s, np.uint32)[np.searchsorted(self.array("over_at", s, np.uint32), at[over])]
+        return out
+
+    def trigram_counts(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Counts of trigrams in the order of b."""
+        out = np.zeros(len(a), np.int64)
+        shard = self.bigram_shard(b, c)
+        order = np.argsort(shard, kind="stable")
+        for s, i, j in _spans(shard[order]):
+            mine = order[i:j]
+            at, found = self._context_at(s, a[mine], b[mine])
+            mine, at = mine[found], at[found]
+            if len(mine):
+                lo, hi = _range(self.array("context_end", s, np.uint32), at)
+                at, found = _find(self.array("third", s, np.uint32), lo, hi, c[mine])
+                out[mine[found]] = self._third(s, at[found])
+        return out
+
+    def context_sums(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows (tokens, followers with counts 1, 2 and over 2) of contexts in the order of b."""
+        out = np.zeros((4, len(a)), np.int64)
+        heads, runs = _runs(b)
+        spread = 1 + self.of_ids("word_count", heads, np.uint64).astype(np.int64) * 4 * self.shards // max(self.tokens, 1)
+        spread = np.repeat(np.minimum(spread, self.shards), runs)
+        for k in range(int(spread.max(initial=0))):
+            some = np.flatnonzero(spread > k)
+            shard = (b[some] * self.shards // (self.words + 1) + k) % self.shards
+            order = np.argsort(shard, kind="stable")
+            for s, i, j in _spans(shard[order]):
+                mine = some[order[i:j]]
+                at, found = self._context_at(s, a[mine], b[mine])
+                mine, at = mine[found], at[found]
+                if not len(mine):
+                    continue
+                lo, hi = _range(self.array("context_end", s, np.uint32), at)
+                wide = hi - lo > WIDE
+                if wide.any():
+                    sums = self.array("wide_sums", s, np.uint32).reshape(4, -1)
+                    out[:, mine[wide]] += sums[:, np.searchsorted(self.array("wide", s, np.uint32), at[wide])].astype(np.int64)
+                mine, lo, n = mine[~wide], lo[~wide], (hi - lo)[~wide]
+                if len(mine):
+                    first = np.cumsum(n) - n
+                    counts = self._third(s, np.repeat(lo - first, n) + np.arange(n.sum()))
+                    out[:, mine] += _sums(counts, first)
+        return out
+
+
+def _find(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x in its own sorted range of ``values``; and which are there."""
+    lo, top, end = lo.astype(np.int64), hi.astype(np.int64), hi
+    last = len(values) - 1
+    while (lo < top).any():
+        mid = (lo + top) >> 1
+        less = (values[np.minimum(mid, last)] < x) & (lo < top)
+        lo, top = np.where(less, mid + 1, lo), np.where(less, top, np.maximum(np.minimum(mid, top), lo))
+    return lo, (lo < end) & (values[np.minimum(lo, last)] == x)
+
+
+def _range(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end place of the given groups."""
+    at = np.minimum(at, len(ends) - 1)
+    return np.where(at > 0, ends[np.maximum(at - 1, 0)], 0).astype(np.int64), ends[at].astype(np.int64)
+
+
+def _sums(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum, ones, twos and more of the runs of counts that start at ``first``."""
+    return np.stack([np.add.reduceat(v.astype(np.int64), first) for v in (counts, counts == 1, counts == 2, counts > 2)])
+
+
+def _sorted_by(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the next; as one integer where the keys fit."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 64:
+        return np.lexsort(keys[::-1])
+    packed = keys[0].astype(np.uint64)
+    for k, n in zip(keys[1:], bits[1:], strict=True):
+        packed = packed << U(n) | k.astype(np.uint64)
+    return np.argsort(packed)
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where one of the sorted keys differs from the row before."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes by their weight, which compress better."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(rows: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[name], np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0] for r in rows])
+
+
 def _spans(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(shard, first, end) of each run in sorted shard numbers."""
     if len(shard):
@@ -292,6 +418,60 @@ def _count_pairs(model: Model, limit: int) -> Callable:
     return run
 
 
+def _count_triples(model: Model, limit: int) -> Callable:
+    def run(batches):
+        for tokens, bounds in _chunks(batches, 0, limit):
+            distinct, at = _local_ids(tokens, model)
+            ids = np.append(distinct, model.words)
+            b = _contexts(at, bounds, len(distinct))
+            a = _contexts(b, bounds, len(distinct))
+            order = _sorted_by(b, a, at)
+            b, a, c = b[order], a[order], at[order]
+            first = _changes(b, a, c)
+            counts = np.diff(np.append(first, len(c)))
+            b, a, c = ids[b[first]], ids[a[first]], ids[c[first]]
+            shard = model.bigram_shard(b, c)
+            order = np.argsort(shard, kind="stable")
+            shard, b, a, c, counts = shard[order], b[order], a[order], c[order], counts[order]
+            out = {"shard": [], "b": [], "b_runs": [], "a": [], "a_runs": [], "c": [], "counts": []}
+            for s, i, j in _spans(shard):
+                at_a = _changes(b[i:j], a[i:j])
+                heads, runs = _runs(b[i:j][at_a])
+                a_runs = np.diff(np.append(at_a, j - i))
+                out["shard"].append(s)
+                for name, x in (("b", heads), ("b_runs", runs), ("a", a[i:j][at_a]), ("a_runs", a_runs), ("c", c[i:j]), ("counts", counts[i:j])):
+                    out[name].append(_planes(x))
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in out.items()})
+
+    return run
+
+
+def _save_tree(path: str, shard: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Save a shard's final trigrams; its bigrams with their numbers of predecessors, and the counts of counts."""
+    a_runs = _from_planes(rows, "a_runs")
+    b = np.repeat(np.repeat(_from_planes(rows, "b"), _from_planes(rows, "b_runs")), a_runs)
+    a = np.repeat(_from_planes(rows, "a"), a_runs)
+    c, counts = _from_planes(rows, "c"), _from_planes(rows, "counts")
+    rows.clear()
+    order = _sorted_by(b, a, c)
+    b, a, c, counts = b[order], a[order], c[order], counts[order]
+    first = _changes(b, a, c)
+    counts = np.add.reduceat(counts.astype(np.int64), first)
+    b, a, c = b[first], a[first], c[first]
+    context = _changes(b, a)
+    head = _changes(b[context])
+    over = np.flatnonzero(counts >= 255)
+    followers = np.diff(np.append(context, len(c)))
+    wide = np.flatnonzero(followers > WIDE)
+    heads = b[context][head], np.append(head[1:], len(context))
+    arrays = (*heads, a[context], np.append(context[1:], len(c)), c, over, counts[over], wide, _sums(counts, context)[:, wide])
+    for name, x in zip(TREE, arrays, strict=True):
+        _save(f"{path}/{name}/{shard}", np.ascontiguousarray(x, np.uint32))
+    _save(f"{path}/third_count/{shard}", np.minimum(counts, 255).astype(np.uint8))
+    keys, preceding = _counted(b.astype(np.uint64) << U(32) | c)
+    return keys, preceding, [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of the runs in a sorted array."""
     if not len(x):
@@ -305,19 +485,23 @@ def _save_pairs(model: Model) -> Callable:
 
     def run(batches):
         for shard, rows in _groups(batches):
-            first = np.repeat(_joined(rows, "heads", np.uint32), _joined(rows, "runs", np.uint32)).astype(np.uint64)
-            keys, counts = _summed(first << U(32) | _joined(rows, "tails", np.uint32), _joined(rows, "counts", np.uint32).astype(np.int64))
+            top = [0] * 4
+            if model.order == 3:
+                keys, counts, top = _save_tree(model.path, shard, rows)
+            else:
+                first = np.repeat(_joined(rows, "heads", np.uint32), _joined(rows, "runs", np.uint32)).astype(np.uint64)
+                keys, counts = _summed(first << U(32) | _joined(rows, "tails", np.uint32), _joined(rows, "counts", np.uint32).astype(np.int64))
             _save(f"{model.path}/pair/{shard}", keys)
             _save(f"{model.path}/pair_count/{shard}", counts.astype(np.uint32))
             heads, *follow = _summed(keys >> U(32), counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
             tails, preceding = _counted(keys & U(0xFFFFFFFF))
-            histogram = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+            histogram = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + top
             for kind, ids, values in ((0, heads, follow), (1, tails, [preceding])):
                 out = np.minimum(np.searchsorted(model.starts, ids.astype(np.int64), side="right") - 1, model.shards)
                 part = _sharded(out, ids=ids.astype(np.uint32), **{f"v{i}": (values[i] if i < len(values) else np.zeros(0)).astype(np.uint32) for i in range(4)})
                 n = part.num_rows
                 part = part.append_column("kind", pa.array([kind] * n, pa.int32()))
-                yield part.append_column("histogram", pa.array([histogram if kind == i == 0 else [0] * 4 for i in range(n)], pa.list_(pa.int64())))
+                yield part.append_column("histogram", pa.array([histogram if kind == i == 0 else [0] * 8 for i in range(n)], pa.list_(pa.int64())))
 
     return run
 
@@ -350,28 +534,39 @@ def _save_sums(model: Model) -> Callable:
     return run
 
 
-def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int = CHUNK_TOKENS) -> Model:
+def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int = CHUNK_TOKENS, order: int = 2) -> Model:
     """Count a model over all rows of ``texts`` (one string column)."""
+    if order not in ORDERS:
+        raise ValueError(f"order {order}: must be one of {ORDERS}")
     texts = texts.select(F.col(texts.columns[0]).alias("text"))
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     path = posix_path(new_path(spark, "ngram"))
 
+    kinds = ["word", "word_count", "pair", "pair_count"] + ([*TREE, "third_count"] if order == 3 else [])
+    for s in range(shards):  # empty until a task replaces them, as a shard may have no words
+        for kind in kinds:
+            _save(f"{path}/{kind}/{s}", np.zeros(0))
+
     parts = _by_shard(texts.mapInArrow(_count_words(shards, chunk_tokens), "shard int, words binary, counts binary"), shards)
     rows = {r.shard: r for r in parts.mapInArrow(_save_words(path), "shard int, n long, total long, ends long").collect()}
     sizes = [rows[s].n if s in rows else 0 for s in range(shards)]
-    model = Model(path, shards, [0, *np.cumsum(sizes).tolist()], sum(r.total for r in rows.values()))
+    model = Model(path, shards, [0, *np.cumsum(sizes).tolist()], sum(r.total for r in rows.values()), order=order)
     if not rows:
         return model
     _save(f"{path}/word_count/{shards}", np.array([sum(r.ends for r in rows.values())], np.uint64))  # of the start of a text
 
-    pairs = _by_shard(texts.mapInArrow(_count_pairs(model, chunk_tokens), "shard int, heads binary, runs binary, tails binary, counts binary"), shards)
+    if order == 3:
+        pairs = texts.mapInArrow(_count_triples(model, chunk_tokens), "shard int, b binary, b_runs binary, a binary, a_runs binary, c binary, counts binary")
+    else:
+        pairs = texts.mapInArrow(_count_pairs(model, chunk_tokens), "shard int, heads binary, runs binary, tails binary, counts binary")
+    pairs = _by_shard(pairs, shards)
     parts = materialise(pairs.mapInArrow(_save_pairs(model), _PARTS), "ngram-parts")
-    high = parts.agg(*(F.sum(F.col("histogram")[k]) for k in range(4))).first()
+    high = parts.agg(*(F.sum(F.col("histogram")[k]) for k in range(8))).first()
     low = _by_shard(parts, shards + 1).mapInArrow(_save_sums(model), "total long, histogram array<long>")
     low = materialise(low, "ngram-sums").agg(F.sum("total"), *(F.sum(F.col("histogram")[k]) for k in range(5))).first()
-    model.discounts = discounts(list(high))
+    model.discounts, model.top_discounts = discounts(list(high[:4])), discounts(list(high[4:]))
     model.low_discounts = discounts(list(low[1:5]))
     model.low_total = low[0]
     d = model.low_discounts
@@ -380,7 +575,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
 
 
 def _probabilities(model: Model, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 bigram and base probabilities of all tokens, and which tokens are known."""
+    """log10 model and base probabilities of all tokens, and which tokens are known."""
     if not model.words:
         p = np.zeros(len(tokens))  # a vocabulary of nothing but the unknown word
         return p, p, np.zeros(len(tokens), bool)
@@ -412,9 +607,34 @@ def _probabilities(model: Model, tokens: np.ndarray, bounds: np.ndarray) -> tupl
     p = mass[before] * low[at]
     hit = counts > 0
     p[hit] += (counts[hit] - _discount(counts[hit], model.discounts)) / total[before[hit]]
+    if model.order == 3:
+        p = _trigram(model, p, context, at, before, bounds)
     return np.log10(p), base[at], known[at]
 
 
+def _trigram(model: Model, p: np.ndarray, context: np.ndarray, at: np.ndarray, before: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Trigram probabilities of all tokens from the bigram ones; ``context`` has the ids of the words, then of the start."""
+    a, b = _contexts(before, bounds, len(context) - 1), before
+    seen = np.flatnonzero((context[a] >= 0) & (context[b] >= 0))
+    order = seen[_sorted_by(b[seen], a[seen], at[seen])]
+    if not len(order):
+        return p
+    a, b, c = a[order], b[order], at[order]
+    first = _changes(b, a)
+    sums = model.context_sums(context[a[first]], context[b[first]])
+    sums = np.repeat(sums, np.diff(np.append(first, len(order))), axis=1)
+    first = _changes(b, a, c)
+    hit = first[context[c[first]] >= 0]
+    counts = np.zeros(len(order), np.int64)
+    counts[hit] = model.trigram_counts(context[a[hit]], context[b[hit]], context[c[hit]])
+    counts = np.repeat(counts[first], np.diff(np.append(first, len(order))))
+    total = np.maximum(sums[0], 1)
+    mass = np.where(sums[0] > 0, sum(d * sums[k + 1] for k, d in enumerate(model.top_discounts)) / total, 1.0)
+    out = p.copy()
+    out[order] = (counts - _discount(counts, model.top_discounts)) / total + mass * p[order]
+    return out
+
+
 def _score(model: Model, limit: int) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -445,7 +665,7 @@ def held_out_fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """Learn from the rows outside the held-out fold and score every row."""
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2) -> DataFrame:
+    """Learn a model of the given order from the rows outside the held-out fold and score every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out_fold(id_col, folds).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return score(rows, train(rows.where("not held_out").select("text")))
+    return score(rows, train(rows.where("not held_out").select("text"), order=order))

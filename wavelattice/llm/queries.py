@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a Kneser-Ney model of nine tenths of them."""
-    return ngram_lm.train_and_score(_table(spark, sf_dir, "documents"), folds=10)
+    return ngram_lm.train_and_score(_table(spark, sf_dir, "documents"), folds=10, order=3)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
