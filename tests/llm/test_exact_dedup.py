@@ -26,13 +26,16 @@ def test_naming_equals_comparing(spark):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == brute(rows)
 
 
-def test_one_row_stays_with_repeated_and_missing_ids(spark):
+def test_one_row_stays_with_repeated_and_missing_ids(spark, tmp_path):
     rows = [(1, "a", 7), (1, "a", 7), (None, "A", 7), (None, None, 7), (3, "", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, level int")
     got = exact_dedup.deduplicate(docs).collect()
     assert sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in got) == [(0, 1, 3), (0, 3, 2), (1, 1, 3), (1, 1, 3), (3, 3, 2)]
     assert sum(r.kept for r in got) == 2
     assert [tuple(r) for r in exact_dedup.keep_distinct(docs).orderBy("doc_id").collect()] == [(1, "a", 7), (3, "", 7)]
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    assert [tuple(r) for r in exact_dedup.keep_distinct(spark.read.parquet(path)).orderBy("doc_id").collect()] == [(1, "a", 7), (3, "", 7)]
 
 
 def test_rows_without_id_stay_once(spark):
@@ -44,3 +47,22 @@ def test_rows_without_id_stay_once(spark):
 
 def test_empty_table(spark):
     assert exact_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_lone_row_without_id_stays_beside_clashing_columns(spark):
+    rows = [(1, "a", 1, "x", 5), (None, "unique text", 2, "y", 6), (2, "a", 3, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_at int, _row_file string, row long")
+    got = exact_dedup.keep_distinct(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "unique text"), (2, "a")]
+
+
+def test_hot_groups_are_joined_whole(spark, monkeypatch):
+    from wavelattice.llm import store
+
+    monkeypatch.setattr(store, "HOT_ROWS", 5)
+    monkeypatch.setattr(store, "HOT_KEYS", 20)
+    long = "0123456789" * 5
+    rows = [(i, "hot") for i in range(60)] + [(100 + i, long) for i in range(60)] + [(200 + i, f"{long}{i % 20}") for i in range(40)]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == brute(rows) and len(got) == len(rows)

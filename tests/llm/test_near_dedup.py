@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from wavelattice.llm import near_dedup, store
 from wavelattice.llm.near_dedup import near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,7 +40,14 @@ def check(spark, rows):
 
 
 @pytest.mark.parametrize("edit", [0.02, 0.045, 0.07])
-def test_groups_of_near_copies_and_shared_passages(spark, edit):
+@pytest.mark.parametrize("block", [4096, 16])
+def test_groups_of_near_copies_and_shared_passages(spark, monkeypatch, edit, block):
+    if block < 4096:  # many blocks and hot keys in a small table
+        if edit > 0.05:
+            pytest.skip("one edit rate of each kind")
+        for name in ("KEY_BLOCK", "CLUSTER_BLOCK", "STRAY_BLOCK", "PIVOT_BLOCK"):
+            monkeypatch.setattr(near_dedup, name, block)
+        monkeypatch.setattr(store, "HOT_ROWS", 10)
     rng = random.Random(int(edit * 1000))
     vocabulary = [f"w{i}" for i in range(4000)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -63,6 +71,13 @@ def test_missing_ids_repeated_rows_and_other_columns(spark):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, False), (2, 2, True), (5, 2, False), (5, 2, False)]
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "1 2 3 4 5 6 7"
+    rows = [(7, a, 1), (3, a + " end", 2), (7, b, 3), (None, b, 4), (None, "only here, of all rows, once", 5), (None, "9 9 9 9 9 9", 6), (None, "9 9 9 9 9 9", 7), (8, None, 8), (9, "", 9)]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(2)).collect()
+    assert sorted(r.row for r in got if r.row not in (6, 7)) == [2, 3, 5, 8, 9] and len(got) == 6
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

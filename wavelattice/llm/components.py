@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelattice.llm.store import materialise
+from wavelattice.llm.store import discard, join_groups, materialise
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -14,20 +14,22 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, in which every node's
     neighbours are hung on its smallest one. The rounds grow with the logarithm
     of the longest path; each round is written to the shared folder. Groups are
-    only ever aggregated to their minimum, so a hot node costs no memory.
+    only ever aggregated to their minimum, and a hub's edges are not moved to
+    join that, so a hot node costs neither memory nor a slow task.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
     before = _state(edges)
-    while True:
+    while before[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = low.select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, low, ["u"], "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.where("u != v").distinct(), "cc-large")
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, down, ["u"], "n", before[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         after = materialise(small.where("u != v").distinct(), "cc")
+        discard(edges, large)
         state, edges = _state(after), after
         if state == before:
             break

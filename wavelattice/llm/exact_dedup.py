@@ -13,6 +13,9 @@ costs one row a chunk. Each partition numbers its blocks in sorted order from
 an offset of its own; the numbering is written to the shared folder, hence the
 same for all later readers.
 
+Rows of a hot text, pairs of hot names and blocks of a chunk are joined by
+``join_groups``, which leaves the rows of hot keys where they are.
+
 Null text counts as empty and all empty texts are equal. Of equal texts the
 row with the largest doc_id stays; among rows that repeat this doc_id, one.
 Null doc_ids rank lowest. Extra columns are ignored.
@@ -27,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelattice.llm.store import materialise
+from wavelattice.llm.store import discard, join_groups, materialise, with_row_key
 
 BLOCK_BYTES = 4096
 CHUNK_BYTES = 8 << 20
@@ -45,12 +48,11 @@ def _split(block_bytes: int, chunk_bytes: int):
     """Cut texts to blocks; number the blocks of a chunk in the order of their first use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << _SHIFT
         seen: dict[bytes, int] = {}
-        held, row, chunk = 0, part, part
+        held, chunk = 0, TaskContext.get().partitionId() << _SHIFT
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            out = {name: [] for name in _CHUNKED.names}
+            texts, carried = batch.column(1), [batch.column(i) for i in (0, 2)]
+            out = {name: [] for name in _CHUNKED.names[2:]}
             size, first = 0, 0
             for i in range(len(texts)):
                 text = (texts[i].as_py() or "").encode().lower()
@@ -67,18 +69,16 @@ def _split(block_bytes: int, chunk_bytes: int):
                         held += len(block) + 64
                         size += len(block)
                     names.append(name)
-                out["row"].append(row)
+                held += 8 * len(names) + 64
                 out["sha"].append(hashlib.sha256(text).hexdigest())
                 out["chunk"].append(chunk)
                 out["locals"].append(names)
                 out["fresh"].append(fresh)
                 out["blocks"].append(blocks)
-                row += 1
                 if size > chunk_bytes or i + 1 == len(texts):
-                    out["doc_id"] = ids.slice(first, i + 1 - first)
-                    columns = [out["doc_id"]] + [pa.array(out[f.name], f.type) for f in list(_CHUNKED)[1:]]
+                    columns = [c.slice(first, i + 1 - first) for c in carried] + [pa.array(out[f.name], f.type) for f in list(_CHUNKED)[2:]]
                     yield pa.RecordBatch.from_arrays(columns, schema=_CHUNKED)
-                    out = {name: [] for name in _CHUNKED.names}
+                    out = {name: [] for name in _CHUNKED.names[2:]}
                     size, first = 0, i + 1
 
     return run
@@ -107,7 +107,7 @@ def _number(keys: list[str], carry: list[str]):
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, row, sha, level and name for each row of ``docs`` (doc_id, text).
+    """doc_id, row, sha, level and name for each row of ``docs`` (doc_id, text, row).
 
     ``row`` is unique; (level, name) is equal for two rows exactly if their
     normalised texts are.
@@ -123,7 +123,9 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk_bytes: int
     names = materialise(names.withColumnRenamed("fresh", "local"), "exact-names")
     placed = cut.select("row", "chunk", F.size("locals").alias("n"), F.posexplode("locals").alias("pos", "local"))
     placed = placed.join(names, ["chunk", "local"]).select("row", "n", "pos", "name")
+    rows = materialise(cut.select("doc_id", "row", "sha"), "exact-rows")
     placed = materialise(placed, "exact-level")
+    discard(cut, names)
 
     level, found = 0, []
     while True:
@@ -137,23 +139,30 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk_bytes: int
             F.max(F.when(side == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(side == 1, F.col("name"))), F.lit(-1)).alias("b")
         )
         pairs = materialise(pairs, "exact-pairs")
-        named = pairs.select("a", "b").distinct().repartition("a", "b").sortWithinPartitions("a", "b")
-        named = materialise(named.mapInArrow(_number(["a", "b"], ["a", "b"]), "a long, b long, name long"), "exact-names")
-        placed = pairs.join(named, ["a", "b"]).select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name")
-        placed = materialise(placed, "exact-level")
+        named = pairs.groupBy("a", "b").agg(F.count("*").alias("size")).repartition("a", "b").sortWithinPartitions("a", "b")
+        named = materialise(named.mapInArrow(_number(["a", "b"], ["a", "b", "size"]), "a long, b long, size long, name long"), "exact-names")
+        placed = join_groups(pairs, named, ["a", "b"], "size", pairs.count())
+        placed = materialise(placed.select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name"), "exact-level")
+        discard(pairs, named)
 
     done = found[0]
     for more in found[1:]:
         done = done.union(more)
-    return cut.select("doc_id", "row", "sha").join(done, "row")
+    return rows.join(done, "row")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _ranked(docs: DataFrame, id_col: str, text_col: str, row: Column, **options: int) -> DataFrame:
+    """identities of ``docs`` with best (doc_id and row of the row that stays) and group_size."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     named = materialise(identities(texts, **options), "exact-identities")
     groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
-    return named.join(groups, ["level", "name"]).select(
+    groups = materialise(groups, "exact-groups")
+    return join_groups(named, groups, ["level", "name"], "group_size", named.count())
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row of ``docs``."""
+    return _ranked(docs, id_col, text_col, F.monotonically_increasing_id(), **options).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
@@ -162,25 +171,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each group of equal texts.
 
-    Where an id is repeated, its rows are told apart by their texts, and rows
-    that are equal in all columns count once. Of equal texts that all lack an
-    id, one row stays.
+    Rows are told apart by their place, whatever their ids: rows without an id
+    and rows that repeat one stay if their group has no other row to keep.
     """
-    named = deduplicate(docs, id_col, text_col)
-    named = materialise(named.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "kept"), "exact-kept")
-    stay = named.where("kept").drop("kept")
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), letters, letters.lower()).cast("binary"), 256)
-    if named.where("_kept_id is not null").groupBy("_kept_id").count().where("count > 1").isEmpty():
-        out = docs.join(stay, F.col(id_col) == F.col("_kept_id"), "left_semi")
-    else:
-        out = docs.join(stay, (F.col(id_col) == F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi").distinct()
-    lone = stay.where("_kept_id is null")
-    if lone.isEmpty():
-        return out
-    nameless = docs.where(F.col(id_col).cast("long").isNull()).withColumn("_row_sha", sha)
-    nameless = nameless.join(lone, F.col("_row_sha") == F.col("_kept_sha"), "left_semi").dropDuplicates(["_row_sha"]).drop("_row_sha")
-    return out.unionByName(materialise(nameless, "exact-nameless"))
+    keyed, key = with_row_key(docs)
+    stay = _ranked(keyed, id_col, text_col, F.col(key), **options).where(F.col("row") == F.col("best.row"))
+    stay = materialise(stay.select(F.col("row").alias(key)), "exact-stay")
+    return keyed.join(stay, key, "left_semi").select(*docs.columns)

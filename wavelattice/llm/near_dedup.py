@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 
 from wavelattice.llm import kernel
 from wavelattice.llm.components import connected
-from wavelattice.llm.store import materialise
+from wavelattice.llm.store import join_groups, materialise, with_row_key
 
 SYMBOLS, CHUNKS, PER_CHUNK = 40, 10, 4
+KEYS = SYMBOLS  # masked chunks of a signature
 MAX_DISTANCE = 19
 KEY_BLOCK, CLUSTER_BLOCK, STRAY_BLOCK, PIVOT_BLOCK = 4096, 2048, 256, 1024
 BROADCAST_ROWS = 1_000_000
@@ -56,6 +57,9 @@ _SIGNATURES = pa.schema(
 )
 
 
+_NO_SKETCH = np.zeros((0, SYMBOLS), np.uint16)
+
+
 def _signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunk words (rows by CHUNKS) and two 64-bit digests for each nonempty set."""
     starts = bounds[:-1]
@@ -212,10 +216,10 @@ def _with_sets(width: int) -> Callable:
 
 
 def _check(percent: int) -> Callable:
-    """Links between the left sets of a group (first in order) and all its other sets."""
+    """Links between the left sets of a group (first in order) and all its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, left, sketches, up, links = None, [], None, {}, []
+        group, left, sketches, up, links = None, [], _NO_SKETCH, {}, []
 
         def root(x: int) -> int:
             while up.setdefault(x, x) != x:
@@ -226,19 +230,14 @@ def _check(percent: int) -> Callable:
         for batch in batches:
             for g, is_left, component, rep, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if g != group:
-                    group, left, sketches, up = g, [], None, {}
+                    group, left, sketches, up = g, [], _NO_SKETCH, {}
                 own = np.frombuffer(blob, np.uint64)
                 symbols = _signatures(own, np.array([0, len(own)]))[0].view(np.uint16)
-                if is_left:
-                    left.append((rep, component, own, symbols))
-                    continue
-                if sketches is None:
-                    sketches = np.concatenate([x[3] for x in left]) if left else np.zeros((0, SYMBOLS), np.uint16)
                 distance = (sketches != symbols).sum(axis=1)
                 for k in np.argsort(distance, kind="stable").tolist():
                     if distance[k] > MAX_DISTANCE:
                         break
-                    other, its, theirs, _ = left[k]
+                    other, its, theirs = left[k]
                     if other == rep or root(its) == root(component):
                         continue
                     if 100 * min(len(own), len(theirs)) < percent * max(len(own), len(theirs)):
@@ -248,6 +247,9 @@ def _check(percent: int) -> Callable:
                     if 100 * shared >= percent * (len(own) + len(theirs) - shared):
                         up[root(its)] = root(component)
                         links.append((min(other, rep), max(other, rep)))
+                if is_left:
+                    left.append((rep, component, own))
+                    sketches = np.concatenate([sketches, symbols])
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -256,6 +258,22 @@ def _check(percent: int) -> Callable:
     return run
 
 
+def _grid(rows: DataFrame, block: int, strays: int) -> DataFrame:
+    """The places (s, b) of rows (rep, n, n_stray, stray) in their group's grid of blocks of strays and of members.
+
+    Every member is in its own block b once for each block s of strays, and
+    every stray is a stray in its own block s once for each b, so each stray
+    meets each member in one place and a place holds about ``block`` members
+    and ``strays`` strays.
+    """
+    rows = rows.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("ns", F.ceil(F.col("n_stray") / strays).cast("int"))
+    rows = rows.withColumn("own_b", F.pmod(F.xxhash64("rep"), "nb").cast("int")).withColumn("own_s", F.pmod(F.xxhash64("rep", F.lit(1)), "ns").cast("int"))
+    member = "transform(sequence(0, ns - 1), x -> named_struct('s', x, 'b', own_b, 'stray', stray and x = own_s))"
+    stray = "if(stray, transform(filter(sequence(0, nb - 1), x -> x != own_b), x -> named_struct('s', own_s, 'b', x, 'stray', true)), array())"
+    rows = rows.withColumn("at", F.explode(F.expr(f"concat({member}, {stray})")))
+    return rows.withColumn("s", F.col("at.s")).withColumn("b", F.col("at.b")).withColumn("stray", F.col("at.stray"))
+
+
 def _links(places: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) within the groups of ``places`` (rep, group, left, component)."""
     at = places.groupBy("rep").agg(F.collect_list(F.struct("group", "left", "component")).alias("places"))
@@ -268,6 +286,23 @@ def _links(places: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return materialise(sets.mapInArrow(_check(percent), "a long, b long"), "near-links")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, with all its columns: the one with the smallest id.
+
+    Rows are told apart by their place: rows that repeat an id are compared by
+    their own texts, and of a group in which all lack an id one row stays.
+    """
+    keyed, key = with_row_key(docs)
+    found = near_duplicates(keyed.select(F.col(key).alias("row"), F.col(text_col).alias("text")), "row", "text", **options)
+    found = materialise(found.select(F.col("doc_id").alias("row"), "component_id"), "near-found")
+    grouped = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    several = materialise(join_groups(found, grouped, ["component_id"], "n", found.count()).select("row", "component_id"), "near-several")
+    ids = several.join(keyed.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("id")), "row")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    drop = materialise(several.join(best, "row", "left_anti").select(F.col("row").alias(key)), "near-dropped")
+    return keyed.join(drop, key, "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -280,36 +315,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sig = [f"s{c}" for c in range(CHUNKS)]
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in sig])
+    reps = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in sig])
     reps = materialise(reps, "near-representatives")
 
     # Keys that several representatives have, with the smallest of them.
     keyed = reps.select("rep", F.explode(_keys()).alias("key")).select("rep", "key.m", "key.v")
     firsts = keyed.groupBy("m", "v").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts, "near-pivots")
-    shared = materialise(keyed.join(firsts, ["m", "v"]), "near-shared")
+    shared = materialise(join_groups(keyed, firsts, ["m", "v"], "n", KEYS * reps.count()), "near-shared")
 
     # Each representative and its smallest near pivot, in blocks of a pivot's members.
     signatures = reps.select("rep", F.struct(*sig).alias("sig"))
     stars = shared.where("rep != pivot").select("rep", "pivot").distinct()
+    stars = materialise(stars, "near-candidates")
+    pivots = stars.groupBy("pivot").agg(F.count("*").alias("n")).join(signatures.select(F.col("rep").alias("pivot"), F.col("sig").alias("sb")), "pivot")
     stars = stars.join(signatures.withColumnRenamed("sig", "sa"), "rep")
-    stars = stars.join(signatures.select(F.col("rep").alias("pivot"), F.col("sig").alias("sb")), "pivot").where(_distance("sa", "sb") <= MAX_DISTANCE)
+    stars = join_groups(stars, pivots, ["pivot"], "n", reps.count()).where(_distance("sa", "sb") <= MAX_DISTANCE)
     stars = materialise(stars.groupBy("rep").agg(F.min("pivot").alias("pivot")), "near-stars")
     block = F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("n") / PIVOT_BLOCK), F.lit(1)))
     sizes = stars.groupBy("pivot").agg(F.count("*").alias("n"))
-    right = stars.join(sizes, "pivot").select("rep", F.xxhash64("pivot", block).alias("group"), F.lit(False).alias("left"), F.col("rep").alias("component"), "pivot")
+    right = join_groups(stars, sizes, ["pivot"], "n", reps.count()).select("rep", F.xxhash64("pivot", block).alias("group"), F.lit(False).alias("left"), F.col("rep").alias("component"), "pivot")
     left = right.select(F.col("pivot").alias("rep"), "group", F.lit(True).alias("left"), F.col("pivot").alias("component")).distinct()
     links = _links(right.drop("pivot").union(left), texts, width, percent)
     labels = connected(links)
 
-    # Keys whose members are still in different components; strays are those outside the first component.
+    # Keys whose members are still in different components; strays are those outside the largest one.
     placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("m", "v", "rep", F.coalesce("label", "rep").alias("component"))
-    mixed = placed.groupBy("m", "v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / KEY_BLOCK).cast("int")
-    open_ = placed.join(mixed, ["m", "v"]).withColumn("stray", F.col("component") != F.col("lo"))
-    where = F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
-    open_ = open_.select("rep", "component", "stray", F.explode(where).alias("k"), "m", "v")
-    open_ = open_.select("rep", "component", "stray", F.xxhash64("m", "v", "k").alias("group")).join(reps.select("rep", *sig), "rep")
+    placed = materialise(placed, "near-placed")
+    parts = placed.groupBy("m", "v", "component").agg(F.count("*").alias("count"))
+    mixed = parts.groupBy("m", "v").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n")).where("x.count < n")
+    mixed = materialise(mixed.select("m", "v", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray")), "near-mixed")
+    open_ = join_groups(placed, mixed, ["m", "v"], "n", KEYS * reps.count()).withColumn("stray", F.col("component") != F.col("main"))
+    open_ = _grid(open_, KEY_BLOCK, STRAY_BLOCK)
+    open_ = open_.select("rep", "component", "stray", F.xxhash64("m", "v", "s", "b").alias("group")).join(reps.select("rep", *sig), "rep")
     near = open_.repartition("group").sortWithinPartitions("group").mapInArrow(_nearby, "a long, b long")
     clusters = connected(materialise(near, "near-forest"))
 
@@ -318,20 +356,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("component"))
     members = materialise(members, "near-members")
     main = members.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n"))
-    members = members.join(main.select("cluster", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray")), "cluster")
-    members = members.withColumn("stray", F.col("component") != F.col("main"))
-    b, s = F.ceil(F.col("n") / CLUSTER_BLOCK).cast("int"), F.ceil(F.col("n_stray") / STRAY_BLOCK).cast("int")
-    members = members.withColumn("b", F.pmod(F.xxhash64("rep"), b).cast("int")).withColumn("s", F.pmod(F.xxhash64("rep", F.lit(1)), s).cast("int"))
-    group = F.xxhash64("cluster", "s", "b").alias("group")
-    right = members.withColumn("s", F.explode(F.sequence(F.lit(0), s - 1))).select("rep", group, F.lit(False).alias("left"), "component")
-    left = members.where("stray").withColumn("b", F.explode(F.sequence(F.lit(0), b - 1))).select("rep", group, F.lit(True).alias("left"), "component")
-    labels = connected(links.union(_links(right.union(left), texts, width, percent)))
+    main = main.select("cluster", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray"))
+    members = join_groups(members, main, ["cluster"], "n", members.count()).withColumn("stray", F.col("component") != F.col("main"))
+    places = _grid(members, CLUSTER_BLOCK, STRAY_BLOCK).select("rep", F.xxhash64("cluster", "s", "b").alias("group"), F.col("stray").alias("left"), "component")
+    labels = connected(links.union(_links(places, texts, width, percent)))
 
     # Equal sets first, then linked sets.
-    sets = reps.join(labels, reps.rep == labels.node, "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(sets, ["d1", "d2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
+    sets = reps.join(labels, reps.rep == labels.node, "left").select("d1", "d2", "copies", F.coalesce("label", "rep").alias("component_id"))
+    sets = materialise(sets, "near-sets")
+    out = join_groups(known.select("doc_id", "n_shingles", "d1", "d2"), sets, ["d1", "d2"], "copies", known.count()).select("doc_id", "n_shingles", "component_id")
+    rest = signed.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
