@@ -8,7 +8,6 @@ returns the packed pieces. ``run`` writes and rereads each stage's rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wavelattice.llm import decontaminate, exact_dedup, near_dedup, packing, quality, store
 from wavelattice.llm.queries import tokenizer_path
@@ -26,9 +25,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    drop = near_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_near_id"))
-    drop = store.materialise(drop.distinct(), "near-dropped")
-    return docs.join(drop, docs.doc_id == F.col("_near_id"), "left_anti")
+    return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
