@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +95,50 @@ def test_checksums_and_context(spark):
     assert pii.digest(pii.find_spans(frame(spark, []))).collect() == []
 
 
+def test_ibans_end_where_their_country_says():
+    german = "DE89 3704 0044 0532 0130 00"
+    for tail in ("", " BIC COBADEFFXXX", " 4711", f" {german}", ",", "."):
+        found = [s for s in pii.spans(f"IBAN {german}{tail}") if s[0] == "iban"]
+        assert found[0][1:3] == (5, 5 + len(german)) and len(found) == 1 + (tail[1:] == german)
+    for text in (german + "X", "X" + german, german[:-1] + "1", "ZZ89 3704 0044 0532 0130 00", german[:-3]):
+        assert not [s for s in pii.spans("IBAN " + text) if s[0] == "iban"]
+    plain = lambda s: pii.mod97(s)
+    rng = random.Random(1)
+    for _ in range(2000):  # every start and every country's length, by brute force
+        text = "".join(rng.choice(["DE", "NO", "89", "3704", "0044", " ", "X", "9386011117947"]) for _ in range(12))
+        want, done = [], 0
+        for i in range(len(text)):
+            size = pii.IBAN_LENGTHS.get(text[i : i + 2])
+            if not size or i < done or i and text[i - 1].isalnum() or not re.fullmatch("[0-9]{2}", text[i + 2 : i + 4]):
+                continue
+            end = next((j for j in range(i + 4, len(text) + 1) if len(text[i:j].replace(" ", "")) == size), None)
+            if end and "  " not in text[i:end] and not (end < len(text) and text[end].isalnum()) and plain(text[i:end].replace(" ", "")):
+                want.append((i, end))
+                done = end
+        assert [s[1:3] for s in pii.spans(text) if s[0] == "iban"] == want, text
+
+
+def test_social_security_numbers_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["536-22-8726", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "-", "1", " ", " ssn ", "social security ", "x" * 60]) for _ in range(4))
+        want = []
+        for i in range(len(text)):
+            s = text[i : i + 11]
+            if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s) and not re.match("[0-9-]", text[i - 1 : i]) and not re.match("[0-9-]", text[i + 11 : i + 12]):
+                near = re.search(r"\b(ssn|social security)\b", text[max(0, i - 48) : i + 11 + 48])
+                if s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" and near:
+                    want.append((i, i + 11))
+        assert [s[1:3] for s in pii.spans(text) if s[0] == "ssn"] == want, text
+
+
+@pytest.mark.parametrize("unit", ["1", "1.", "1.2.", "1-", "+1 ", "a@", "a@b", "a.", "AB12 ", "123-45-", "DE89", "x"])
+def test_a_megabyte_of_one_pattern_is_read_in_linear_time(unit):
+    started = time.time()
+    pii.spans(unit * (1_000_000 // len(unit)))
+    assert time.time() - started < 20
+
+
 # Decontamination
 
 

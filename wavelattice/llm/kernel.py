@@ -3,11 +3,14 @@
 Texts are handled as UTF-8 bytes in slices of about a megabyte, so memory is
 bounded by the slice (or by the longest single text) and temporaries stay in
 cache. Word hashes are 64-bit: a polynomial over random byte codes, which is
-computed for all words of a slice from one running sum, then mixed.
+computed for all words of a slice from one running sum, then mixed. Such a
+polynomial has known collisions between long words; words of more than
+``LONG_RUN`` bytes are therefore hashed with BLAKE2b one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow as pa
 
 U = np.uint64
 SLICE_BYTES = 1 << 20
+LONG_RUN = 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -97,13 +101,18 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """One hash for each run of bytes, equal for equal runs of coded bytes."""
+    """One hash for each run of bytes, equal for equal runs of coded bytes (LOWER_CODES or EXACT_CODES)."""
     n = len(raw)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(codes[raw] * _power(_BASE, n)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    h = mix((total[ends] - total[starts]) * _power(_INVERSE, n)[starts] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG_RUN).tolist():
+        run = raw[starts[i] : ends[i]]
+        run = (LOWER[run] if codes is LOWER_CODES else run).tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little")
+    return h
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

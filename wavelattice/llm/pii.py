@@ -2,7 +2,7 @@
 
 Base kinds are found leftmost and without overlap within a kind; a proposed
 span that fails its check is dropped and not tried again. Beyond them:
-``iban`` (country code, check digits and mod-97) and ``ssn`` (grouped digits
+``iban`` (country code, the length that the country uses, and mod-97) and ``ssn`` (grouped digits
 that lie outside the ranges never given out, and only next to a word that
 names them).
 
@@ -29,14 +29,26 @@ KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 WINDOW = 48
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match begins where a run of digits does, as matches end with one; so no run is read twice.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_CHAR = re.compile(r"\x20?[A-Z0-9]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 # Prior score of a confirmed span, and words that speak for a kind or against all kinds.
 PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 FOR = {
@@ -80,8 +92,23 @@ def _phone(s: str) -> bool:
     return 10 <= len(_NOT_DIGIT.sub("", s)) <= 15
 
 
-def _iban(s: str) -> bool:
-    return mod97(s.replace(" ", ""))
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, in one piece or with single spaces, that leave 1 modulo 97."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        size, end = IBAN_LENGTHS.get(m[1], 0), m.end()
+        if m.start() < done or not size:
+            continue
+        for _ in range(size - 4):
+            c = _IBAN_CHAR.match(text, end)
+            if not c:
+                break
+            end = c.end()
+        else:
+            # A following space ends it, whatever comes next; a letter or digit that touches it does not.
+            if not (end < len(text) and text[end].isalnum()) and mod97(text[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                done = end
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -114,7 +141,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
             out += [(kind, *m.span()) for m in pattern.finditer(text) if check(m[0])]
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if _phone(m[0])]
-        out += [("iban", *m.span()) for m in _IBAN.finditer(text) if _iban(m[0])]
+        out += [("iban", *s) for s in _ibans(text)]
         for m in _SSN.finditer(text):
             area, group, serial = m[0].split("-")
             near = text[max(0, m.start() - WINDOW) : m.end() + WINDOW]
