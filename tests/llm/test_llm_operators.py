@@ -249,6 +249,35 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_points_choose_the_container_inside_an_article():
+    text = "Words, of the, larger, section, one, two, three, four, five, six."
+    body = f"<h1>T</h1><div class=body><p>{text}</p><p>{text}</p></div><p>Short <a href=x>link</a> at the end.</p>"
+    menu = "<div>" + "".join(f"<a href={i}>menu entry</a> " for i in range(20)) + "</div>"
+    assert html_extract.main_text(f"<body><article>{body}{menu}</article></body>") == f"T\n{text}\n{text}\nShort link at the end."
+    for name in ("rating", "legal"):
+        assert html_extract.main_text(f"<article><p>{text}</p><div class={name}><p>{text}</p></div></article>") == f"{text}\n{text}"
+    assert html_extract.main_text("<article><p>Some, text.</p><figure><figcaption>one</figcaption><figcaption>two</figcaption></figure></article>") == "Some, text.\none\ntwo"
+
+
+def test_trees_agree_with_plain_reading():
+    """Random well-formed articles: the text of all their blocks, in order, however they are nested."""
+    rng = random.Random(4)
+    for _ in range(300):
+        blocks = [", ".join(rng.choice(["alpha", "béta", "gamma &amp; co", "x < y"]) for _ in range(rng.randint(4, 30))) for _ in range(rng.randint(1, 8))]
+        html = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<blockquote>{}</blockquote>", "<p><b>{}</b><br></p>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>"]).format(b) for b in blocks)
+        noise = ["<nav><ul><li><a href=/>Home, and, more</a></ul></nav>", "<!-- <p>no</p> -->", "<script>'<p>no</p>'</script>", "<footer>no, no, no</footer>", "<div class='ad'>buy, now</div>"]
+        page = "<!DOCTYPE html><html><body>" + "".join(rng.sample(noise, 3)) + rng.choice(["<article>{}</article>", "<main><div>{}</div></main>"]).format(html) + "".join(rng.sample(noise, 3))
+        assert html_extract.main_text(page) == "\n".join(b.replace("&amp;", "&") for b in blocks), page
+
+
+@pytest.mark.parametrize("unit", ["<a", "<a ", "<a '", '<a b="', "<div>", "<div>x", "<b>", "<i></b>", "<td><i></b>", "<li>", "<p>x", "<option>", "<!--", "<!", "</p>", "<", "&", "<script>", "<li><i>", "<table><td>"])
+def test_a_megabyte_of_broken_markup_is_read_in_linear_time(unit):
+    started = time.time()
+    html_extract.main_text(unit * (1_000_000 // len(unit)))
+    html_extract.main_text(unit * (500_000 // len(unit)) + "'>")
+    assert time.time() - started < 60
+
+
 def test_siblings_of_the_best_container_stay():
     long, short = "Words, of the, larger, section, one, two, three, four, five, six.", "Other, real, paragraph, of the page, too."
     two = f"<section><p>{long}</p></section><section><p>{short}</p></section>"
