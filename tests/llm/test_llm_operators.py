@@ -342,6 +342,28 @@ def test_genetic_steps_keep_packings_valid():
     assert packing.fitness(lengths, best, 64) >= packing.fitness(lengths, packing._renumber(a), 64)
 
 
+def test_crossovers_beat_best_fit_where_few_pieces_fill_a_bin():
+    """Bins that exactly three pieces fill: best fit alone wastes bins, the islands save some of them."""
+    rng = np.random.default_rng(12)
+    a = rng.integers(380, 491, 60)
+    b = rng.integers(250, (1000 - a) // 2)
+    lengths = np.concatenate([a, b, 1000 - a - b])
+    plain = int(packing.best_fit(lengths, np.full(180, -1), 1000).max()) + 1
+    best, islands = plain, [[], []]
+    for epoch in range(6):
+        islands = [packing.evolve(lengths, pool, 1000, [epoch, i], 12, 60) for i, pool in enumerate(islands)]
+        islands = [[islands[1 - i][0], *islands[i][:-1]] for i in range(2)]
+        best = min(best, *(int(p[0].max()) + 1 for p in islands))
+    assert best < plain and packing.fills(lengths, islands[0][0]).max() <= 1000
+
+
+def test_long_chunks_are_not_cached():
+    encode = packing.ChunkEncoder(tokenizer_path(), cache_bytes=20_000)
+    for i in range(300):
+        encode(f"word{i} a{i}b " + "x" * 5000)
+        assert max(map(len, encode.cache)) <= packing.LONG_CHUNK and encode.used <= 20_000
+
+
 def test_packing_edges(spark):
     assert packing.pack_documents(frame(spark, []), tokenizer_path()).collect() == []
     got = packing.pack_documents(frame(spark, [(1, None), (1, None), (None, "a")]), tokenizer_path()).collect()

@@ -10,11 +10,17 @@ are taken apart and their remaining pieces put back by best fit, longest
 first. Mutation takes the worst-filled bins apart. After each epoch an
 island's elite migrates to the next island of its district. The best packing
 of a district wins. What then lies in bins that are not well filled is dealt
-into fewer districts and packed again.
+into fewer districts and packed again. An island that has a packing of as few
+bins as the volume of its pieces fills stops, as none can be better.
+
+The numbers of islands, epochs, packings of an island and children of an epoch
+are parameters of ``pack``. Documents, most of which are short against a
+sequence, mostly reach the volume's bound by best fit alone; the crossovers
+decide where few pieces go into a bin.
 
 Tokens are looked up chunk by chunk (between ASCII white space, which no token
-crosses) in a bounded cache of each worker, and give the same ids as encoding
-whole texts.
+crosses) in a cache of each worker that holds short chunks only and is emptied
+at CACHE_BYTES, and give the same ids as encoding whole texts.
 
 Null text counts as empty: one piece, the end id. Rows without doc_id and
 repeated rows are packed like others. An empty table gives no pieces. Extra
@@ -27,6 +33,7 @@ import functools
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +45,20 @@ from wavelattice.llm.store import materialise
 
 CAPACITY = 2048
 DISTRICT_PIECES = 8192
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 4, 6
+ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 3, 8, 16
 WELL_FILLED = 0.995
-CACHE_ENTRIES = 800_000
+CACHE_BYTES, LONG_CHUNK, ENTRY_BYTES = 160 << 20, 64, 180
 _END = bytes(4)
 
 
 class ChunkEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers, with a bounded cache of chunks."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.entries = entries
+        self.limit, self.used = cache_bytes, 0
         self.cache: dict[bytes, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
         steps = [s["type"] for s in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
@@ -78,15 +85,20 @@ class ChunkEncoder:
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
         tail = chunk[len(core) :]
         if tail:
-            if tail not in self.cache:
-                self._whole([tail])
-            ids += self.cache[tail]
+            ids += self._whole([tail])[tail]
         return ids
 
-    def _whole(self, chunks: list[bytes]) -> None:
+    def _whole(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        for c, e in zip(chunks, found, strict=True):
-            self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
+
+    def _keep(self, found: dict[bytes, bytes]) -> None:
+        short = {c: ids for c, ids in found.items() if len(c) <= LONG_CHUNK}
+        self.used += sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in short.items())
+        if self.used > self.limit:
+            self.cache.clear()
+            self.used = 0
+        self.cache |= short
 
     def __call__(self, text: str) -> bytes:
         raw = text.encode()
@@ -99,19 +111,19 @@ class ChunkEncoder:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
             pass
-        if len(self.cache) > self.entries:
-            self.cache.clear()
-        slow = []
+        found, slow = {}, []
         for c in set(chunks):
-            if c not in self.cache:
-                ids = self._word(c) if self.by_word else None
-                if ids is None:
-                    slow.append(c)
-                else:
-                    self.cache[c] = ids
+            ids = self.cache.get(c)
+            if ids is None and self.by_word:
+                ids = self._word(c)
+            if ids is None:
+                slow.append(c)
+            else:
+                found[c] = ids
         if slow:
-            self._whole(slow)
-        return b"".join(map(self.cache.__getitem__, chunks))
+            found |= self._whole(slow)
+        self._keep({c: ids for c, ids in found.items() if c not in self.cache})
+        return b"".join(map(found.__getitem__, chunks))
 
 
 @functools.lru_cache(maxsize=2)
@@ -235,22 +247,20 @@ def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: l
     rng = np.random.default_rng(seed)
     if not len(lengths):
         return [np.zeros(0, np.int64)]
-    pool = list(elites)
+    floor = -(-int(lengths.sum()) // capacity)
+    none = np.full(len(lengths), -1, np.int64)
+    pool = list(elites) or [_renumber(best_fit(lengths, none, capacity))]
+    if min(int(p.max()) for p in pool) + 1 <= floor:
+        return sorted(pool, key=lambda p: int(p.max()))
     while len(pool) < population:
-        # The first is best fit of the whole; the others start from a random part of it.
-        start = np.full(len(lengths), -1, np.int64)
-        if pool:
-            late = rng.random(len(lengths)) < 0.3
-            start = best_fit(lengths[~late], np.full(int((~late).sum()), -1), capacity)
-            both = np.full(len(lengths), -1, np.int64)
-            both[~late] = start
-            start = both
+        # Beside best fit of the whole, packings that start from a random part of it.
+        start, early = none.copy(), rng.random(len(lengths)) >= 0.3
+        start[early] = best_fit(lengths[early], none[early], capacity)
         pool.append(_renumber(best_fit(lengths, start, capacity)))
     scored = sorted(((fitness(lengths, p, capacity), i) for i, p in enumerate(pool)), reverse=True)
     pool = [(s, pool[i]) for s, i in scored][:population]
-    floor = -(-int(lengths.sum()) // capacity)
     for _ in range(offspring):
-        if int(pool[0][1].max()) + 1 <= floor:
+        if min(int(p.max()) for _, p in pool) + 1 <= floor:
             break
         i, j = rng.choice(len(pool), 2, replace=False) if len(pool) > 1 else (0, 0)
         child = _renumber(crossover(lengths, pool[i][1], pool[j][1], capacity, rng))
@@ -258,7 +268,7 @@ def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: l
         pool.append((fitness(lengths, child, capacity), child))
         pool.sort(key=lambda x: -x[0])
         pool = pool[:population]
-    return [p for _, p in pool]
+    return sorted((p for _, p in pool), key=lambda p: int(p.max()))
 
 
 _STATE = "district long, island int, uids array<long>, lengths array<int>, elites array<array<int>>"
@@ -267,13 +277,23 @@ _STATE_ARROW = pa.schema(
 )
 
 
-def _epoch(capacity: int, epoch: int, seed: int):
+@dataclass(frozen=True)
+class Islands:
+    """Sizes of the genetic algorithm: islands a district, epochs, packings an island, children an epoch."""
+
+    islands: int = ISLANDS
+    epochs: int = EPOCHS
+    population: int = POPULATION
+    offspring: int = OFFSPRING
+
+
+def _epoch(capacity: int, epoch: int, seed: int, sizes: Islands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
                 elites = [np.array(e, np.int64) for e in row["elites"]]
-                best = evolve(lengths, elites, capacity, [seed, epoch, row["district"], row["island"]])
+                best = evolve(lengths, elites, capacity, [seed, epoch, row["district"], row["island"]], sizes.population, sizes.offspring)
                 row["elites"] = [b.tolist() for b in best]
                 yield pa.RecordBatch.from_pylist([row], schema=_STATE_ARROW)
 
@@ -301,25 +321,25 @@ def _place(capacity: int):
     return run
 
 
-def _solve(pieces: DataFrame, districts: int, capacity: int, seed: int, spread: int) -> DataFrame:
+def _solve(pieces: DataFrame, districts: int, capacity: int, seed: int, spread: int, sizes: Islands) -> DataFrame:
     """uid, district, bin, offset and the bin's fill for pieces (uid, length)."""
     dealt = pieces.groupBy(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(districts)).alias("district")).agg(
         F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("p")
     )
     state = dealt.select(
         "district",
-        F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
+        F.explode(F.sequence(F.lit(0), F.lit(sizes.islands - 1))).alias("island"),
         F.col("p.uid").alias("uids"),
         F.col("p.length").alias("lengths"),
         F.array().cast("array<array<int>>").alias("elites"),
     )
-    for epoch in range(EPOCHS):
-        state = state.repartition(spread, "district", "island").mapInArrow(_epoch(capacity, epoch, seed), _STATE)
+    for epoch in range(sizes.epochs):
+        state = state.repartition(spread, "district", "island").mapInArrow(_epoch(capacity, epoch, seed, sizes), _STATE)
         state = materialise(state, "pack-islands")
-        if epoch + 1 < EPOCHS:
-            guests = state.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.slice("elites", 1, 1).alias("guests"))
+        if epoch + 1 < sizes.epochs:
+            guests = state.select("district", F.pmod(F.col("island") + 1, F.lit(sizes.islands)).cast("int").alias("island"), F.slice("elites", 1, 1).alias("guests"))
             state = state.join(guests, ["district", "island"]).select(
-                "district", "island", "uids", "lengths", F.concat("guests", F.slice("elites", 1, POPULATION - 1)).alias("elites")
+                "district", "island", "uids", "lengths", F.concat("guests", F.slice("elites", 1, max(sizes.population - 1, 1))).alias("elites")
             )
     best = state.select("district", "island", "uids", "lengths", F.element_at("elites", 1).alias("best"))
     bins = F.array_max("best")
@@ -327,7 +347,7 @@ def _solve(pieces: DataFrame, districts: int, capacity: int, seed: int, spread:
     return best.mapInArrow(_place(capacity), "uid long, district long, bin long, offset long, fill long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, district_pieces: int = DISTRICT_PIECES, seed: int = 1) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, district_pieces: int = DISTRICT_PIECES, seed: int = 1, sizes: Islands = Islands()) -> DataFrame:
     """``pieces`` (uid and length among its columns) with sequence_id and offset.
 
     No sequence is longer than ``capacity`` and its pieces lie in it without gaps.
@@ -339,17 +359,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, district_pieces: int = DIS
     spread = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     districts = max(1, -(-small.count() // district_pieces))
-    first = materialise(_solve(small, districts, capacity, seed, spread), "pack-first")
+    first = materialise(_solve(small, districts, capacity, seed, spread, sizes), "pack-first")
     well = F.col("fill") >= int(WELL_FILLED * capacity)
     ids = lambda k: (F.lit(k << 60) + F.col("district") * (1 << 32) + F.col("bin")).alias("sequence_id")
     placed = [whole, first.where(well).select("uid", ids(1), "offset")]
     again = small.join(first.where(~well).select("uid"), "uid", "left_semi")
-    left = again.count()
-    if left and districts > 1:
-        again = materialise(_solve(again, max(1, -(-left // district_pieces)), capacity, seed + 1, spread), "pack-second")
-        placed.append(again.select("uid", ids(2), "offset"))
-    else:
-        placed.append(first.where(~well).select("uid", ids(1), "offset"))
+    again = materialise(_solve(again, max(1, -(-again.count() // district_pieces)), capacity, seed + 1, spread, sizes), "pack-second")
+    placed.append(again.select("uid", ids(2), "offset"))
     places = placed[0].union(placed[1]).union(placed[2])
     return pieces.join(places, "uid")
 
