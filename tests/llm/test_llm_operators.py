@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from wavelattice.llm import decontaminate, html_extract, licenses, packing, pii, quality, sharding
+from wavelattice.llm import decontaminate, html_extract, licenses, packing, pii, quality, sharding, store
 from wavelattice.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -54,6 +55,62 @@ def test_large_populations():
     assert abs(np.mean(draws) - 600) < 2 and abs(np.std(draws) - 15.5) < 1
 
 
+def test_log_factorials_and_close_decisions(monkeypatch):
+    import decimal
+
+    with decimal.localcontext(sharding._DIGITS):
+        for n in (0, 1, 5, 9999, 10_000, 10_007):
+            product = 1
+            for k in range(2, n + 1):
+                product *= k
+            assert abs(sharding._log_factorial(n) - decimal.Decimal(product).ln()) < decimal.Decimal("1e-45")
+    # The sampler above the limit follows the law: exact probabilities of a small population.
+    monkeypatch.setattr(sharding, "LIMIT", 1)
+    rng = np.random.default_rng(2)
+    draws = np.bincount([sharding._hypergeometric(rng, 9, 6, 7) for _ in range(20_000)], minlength=8) / 20_000
+    want = [math.comb(9, k) * math.comb(6, 7 - k) / math.comb(15, 7) for k in range(8)]
+    assert np.abs(draws - want).max() < 0.012
+
+
+def test_large_splits_change_nothing(monkeypatch):
+    parts, blocks = np.array([5, 0, 9, 100, 1, 40, 45]), np.array([80, 60, 60])
+    rows = [sharding.matrix_row(parts, blocks, p, 8).tolist() for p in range(7)]
+    monkeypatch.setattr(sharding, "LIMIT", 50)
+    known = sharding.large_splits(parts, blocks, 8)
+    rows2 = [sharding.matrix_row(parts, blocks, p, 8, known).tolist() for p in range(7)]
+    assert known and np.sum(rows2, axis=0).tolist() == blocks.tolist() and np.sum(rows2, axis=1).tolist() == parts.tolist() == np.sum(rows, axis=1).tolist()
+
+
+def test_all_arrangements_are_equally_likely(spark):
+    """Four rows in two partitions: each of the 24 orders, over many seeds of the whole algorithm by hand."""
+    counts = Counter()
+    for seed in range(6000):
+        parts, blocks = np.array([1, 3]), np.array([2, 2])
+        order, first = [[], []], 0
+        for p, n in enumerate(parts):
+            rng = np.random.default_rng([seed, p, 7])
+            to = rng.permutation(np.repeat(np.arange(2), sharding.matrix_row(parts, blocks, p, seed)))
+            keys = rng.integers(0, 2**62, n)
+            for i in range(n):
+                order[to[i]].append((keys[i], first + i))
+            first += n
+        counts[tuple(r for b in order for _, r in sorted(b))] += 1
+    assert len(counts) == 24 and max(counts.values()) < 330 and min(counts.values()) > 180
+
+
+def test_shuffle_does_not_depend_on_batches_or_names(spark):
+    docs = frame(spark, [(i, f"t{i}", i % 3, None, 7) for i in range(500)], "doc_id long, _start string, _at int, block string, sent int").repartition(4)
+    path = store.materialise(docs, "test")
+    got = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = sharding.shuffle_into_shards(path, 5, seed=1)
+        assert out.columns == [*docs.columns, "shard", "slot"]
+        got.append(sorted(map(tuple, out.select("doc_id", "_start", "shard", "slot").collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and all(r[1] == f"t{r[0]}" for r in got[0])
+
+
 def test_shuffle_edges(spark):
     rows = [(1, None, 9), (1, None, 9), (None, "", 9)]
     got = sharding.shuffle_into_shards(frame(spark, rows, "doc_id long, text string, shard int"), 2).collect()
@@ -220,6 +277,21 @@ def test_leaks_of_empty_tables(spark):
     assert decontaminate.find_leaks(frame(spark, [(1, "a b c")]), items.limit(0)).collect() == []
 
 
+def test_leaks_are_the_same_when_seeds_are_shuffled(spark, monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: [f"v{rng.randrange(500)}" for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(3, 30)))) for i in range(40)]
+    docs = [(i, " ".join(text(20) + (items[i % 40][1].split() if i % 3 else []) + text(5)), i) for i in range(120)]
+    got = []
+    for rows in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        found = decontaminate.find_leaks(frame(spark, docs, "doc_id long, text string, _leak_id int"), frame(spark, items, "item_id long, text string"))
+        got.append(sorted(map(tuple, found.collect())))
+    assert got[0] == got[1] and len(got[0]) >= 80
+    kept = decontaminate.remove_leaks(frame(spark, docs, "doc_id long, text string, _leak_id int"), frame(spark, items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(120) if i not in {g[0] for g in got[0]}}
+
+
 def test_leaks_stay_native(spark):
     docs = frame(spark, [(1, "a b c d e f g h i j k l m")])
     plan = decontaminate.find_leaks(docs, frame(spark, [(1, "a b c d e f g h i j k l m")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()

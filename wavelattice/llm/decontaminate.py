@@ -19,7 +19,13 @@ an item's length that starts with the words of such an item is joined with the
 items by its hash and compared word by word.
 
 The benchmark's seeds and short items are broadcast only after their number
-was counted and found small, else both sides are shuffled.
+was counted and found small, else both sides are shuffled; then the documents'
+places travel as hashes, without their words.
+
+Seeds find every copy with one replaced word in ten, but may miss alignments
+that reach the score with more: of the ways to replace two inner words of a
+16-word item 1 in 91 is missed, three of 19 words 17 in 680, four of 22 words
+60 in 4,845.
 
 Null and empty texts have no leaks. Rows without doc_id are not reported.
 Repeated rows, and items with equal texts, are reported alike. Extra columns
@@ -31,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelattice.llm.store import materialise
+from wavelattice.llm.store import materialise, unused
 
 # 1 marks a word that counts.
 MASKS = ("1110110101", "1101011011", "1100110111", "1111")
@@ -84,7 +90,8 @@ def _short_leaks(rows: DataFrame, short: DataFrame) -> DataFrame | None:
     for key, lengths in ((single, [k for k in n if k == 1]), (several, [k for k in n if k > 1])):
         if lengths:
             windows = F.filter(F.array(*(F.when(F.col("at") + k <= F.size("words"), F.slice("words", F.col("at") + 1, k)) for k in lengths)), lambda w: w.isNotNull())
-            at = places.join(starts, key == F.col("start"), "left_semi").select("doc_id", "at", F.explode(windows).alias("window"))
+            at = places.join(starts, key == F.col("start"), "left_semi") if sum(n.values()) <= BROADCAST_ROWS else places
+            at = at.select("doc_id", "at", F.explode(windows).alias("window"))
             items = _small(short.select("item_id", F.col("words").alias("item"), F.xxhash64("words").alias("hash")), sum(n.values()))
             found.append(at.join(items, (F.xxhash64("window") == F.col("hash")) & (F.col("window") == F.col("item"))))
     both = found[0].union(found[1]) if len(found) > 1 else found[0]
@@ -105,9 +112,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     pairs = _small(mine.select("pair").distinct(), n)
     seeds = _small(mine.select("mask", "seed", "item_id", F.col("at").alias("item_at")), n)
 
-    # Only the places that pass the pair test are hashed under the masks.
-    places = _places(rows, "doc_id").join(pairs, _pair() == F.col("pair"), "left_semi")
-    hits = places.select("doc_id", "at", F.posexplode(_seeds()).alias("mask", "seed")).where("seed is not null").join(seeds, ["mask", "seed"])
+    places = _places(rows, "doc_id")
+    if n <= BROADCAST_ROWS:  # only the places that pass the pair test are hashed under the masks
+        places = places.join(pairs, _pair() == F.col("pair"), "left_semi").select("doc_id", "at", _seeds().alias("seeds"))
+    else:
+        places = places.select("doc_id", "at", _pair().alias("pair"), _seeds().alias("seeds")).join(pairs, "pair", "left_semi")
+    hits = places.select("doc_id", "at", F.posexplode("seeds").alias("mask", "seed")).where("seed is not null").join(seeds, ["mask", "seed"])
     hits = materialise(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "leak-hits")
 
     # Alignments are compared word by word; only documents with a hit are read again.
@@ -151,5 +161,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns; rows without an id stay."""
-    leaks = materialise(find_leaks(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_leak_id")).distinct(), "leak-ids")
-    return docs.join(leaks, F.col(id_col) == F.col("_leak_id"), "left_anti")
+    leaked = unused(docs, "_leak_id")
+    leaks = materialise(find_leaks(docs, benchmark, id_col, **options).select(F.col("doc_id").alias(leaked)).distinct(), "leak-ids")
+    return docs.join(leaks, F.col(id_col).cast("long") == F.col(leaked), "left_anti")

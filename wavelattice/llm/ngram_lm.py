@@ -22,7 +22,10 @@ Texts start with two start tokens; an unseen context (a, b) falls back to b.
 Shards are raw sorted arrays in the shared folder, written under a temporary
 name and renamed, so a repeated task leaves the same file. Scoring workers
 memory-map them and look up sorted keys; nothing of the model is broadcast or
-held in memory. The number of shards follows the size of the texts.
+held in memory. The number of shards follows the size of the texts up to
+MAX_SHARDS; beyond, shards grow. The driver gets three numbers a shard. Counts
+and places are kept in 32 bits where they fit; a number that does not is an
+error, never a wrong count.
 
 The bigram probability is (c - D(c)) / c(context) plus the context's reserved
 mass times the continuation probability of the word, which is discounted
@@ -55,6 +58,7 @@ END = U(0x5BD1E995A5A5A5A5)
 CHUNK_TOKENS = 2_000_000
 SCORE_TOKENS = 400_000
 SHARD_BYTES = 16 << 20
+MAX_SHARDS = 1 << 16
 ORDERS = (2, 3)
 WIDE = 8
 TREE = ("head", "head_end", "context", "context_end", "third", "over_at", "over", "wide", "wide_sums")
@@ -130,6 +134,13 @@ def _save(path: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
+def _u32(x: np.ndarray) -> np.ndarray:
+    """``x`` in 32 bits; an error where it does not fit."""
+    if len(x) and int(x.max()) >> 32:
+        raise OverflowError(f"{int(x.max())}: more than 32 bits; use more shards")
+    return x.astype(np.uint32)
+
+
 def _map(path: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
@@ -322,7 +333,7 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes by their weight, which compress better."""
-    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return _u32(x).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _from_planes(rows: list[dict], name: str) -> np.ndarray:
@@ -355,7 +366,7 @@ def _count_words(shards: int, limit: int) -> Callable:
     def run(batches):
         for tokens, _ in _chunks(batches, 0, limit):
             words, counts = _counted(tokens)
-            yield _sharded(hash_shard(words, shards), words=words, counts=counts.astype(np.uint32))
+            yield _sharded(hash_shard(words, shards), words=words, counts=_u32(counts))
 
     return run
 
@@ -409,10 +420,10 @@ def _count_pairs(model: Model, limit: int) -> Callable:
             for s, a, b in _spans(shard):
                 heads, runs = _runs(first[a:b])
                 rows["shard"].append(s)
-                rows["heads"].append(heads.astype(np.uint32).tobytes())
-                rows["runs"].append(runs.astype(np.uint32).tobytes())
-                rows["tails"].append(second[a:b].astype(np.uint32).tobytes())
-                rows["counts"].append(counts[a:b].astype(np.uint32).tobytes())
+                rows["heads"].append(_u32(heads).tobytes())
+                rows["runs"].append(_u32(runs).tobytes())
+                rows["tails"].append(_u32(second[a:b]).tobytes())
+                rows["counts"].append(_u32(counts[a:b]).tobytes())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in rows.items()})
 
     return run
@@ -466,7 +477,7 @@ def _save_tree(path: str, shard: int, rows: list[dict]) -> tuple[np.ndarray, np.
     heads = b[context][head], np.append(head[1:], len(context))
     arrays = (*heads, a[context], np.append(context[1:], len(c)), c, over, counts[over], wide, _sums(counts, context)[:, wide])
     for name, x in zip(TREE, arrays, strict=True):
-        _save(f"{path}/{name}/{shard}", np.ascontiguousarray(x, np.uint32))
+        _save(f"{path}/{name}/{shard}", _u32(np.ascontiguousarray(x).ravel()))
     _save(f"{path}/third_count/{shard}", np.minimum(counts, 255).astype(np.uint8))
     keys, preceding = _counted(b.astype(np.uint64) << U(32) | c)
     return keys, preceding, [int((counts == k).sum()) for k in (1, 2, 3, 4)]
@@ -492,13 +503,13 @@ def _save_pairs(model: Model) -> Callable:
                 first = np.repeat(_joined(rows, "heads", np.uint32), _joined(rows, "runs", np.uint32)).astype(np.uint64)
                 keys, counts = _summed(first << U(32) | _joined(rows, "tails", np.uint32), _joined(rows, "counts", np.uint32).astype(np.int64))
             _save(f"{model.path}/pair/{shard}", keys)
-            _save(f"{model.path}/pair_count/{shard}", counts.astype(np.uint32))
+            _save(f"{model.path}/pair_count/{shard}", _u32(counts))
             heads, *follow = _summed(keys >> U(32), counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
             tails, preceding = _counted(keys & U(0xFFFFFFFF))
             histogram = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + top
             for kind, ids, values in ((0, heads, follow), (1, tails, [preceding])):
                 out = np.minimum(np.searchsorted(model.starts, ids.astype(np.int64), side="right") - 1, model.shards)
-                part = _sharded(out, ids=ids.astype(np.uint32), **{f"v{i}": (values[i] if i < len(values) else np.zeros(0)).astype(np.uint32) for i in range(4)})
+                part = _sharded(out, ids=_u32(ids), **{f"v{i}": _u32(values[i] if i < len(values) else np.zeros(0)) for i in range(4)})
                 n = part.num_rows
                 part = part.append_column("kind", pa.array([kind] * n, pa.int32()))
                 yield part.append_column("histogram", pa.array([histogram if kind == i == 0 else [0] * 8 for i in range(n)], pa.list_(pa.int64())))
@@ -541,7 +552,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
     texts = texts.select(F.col(texts.columns[0]).alias("text"))
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = min(MAX_SHARDS, max(1, -(-size // shard_bytes)))
     path = posix_path(new_path(spark, "ngram"))
 
     kinds = ["word", "word_count", "pair", "pair_count"] + ([*TREE, "third_count"] if order == 3 else [])
@@ -553,6 +564,8 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
     rows = {r.shard: r for r in parts.mapInArrow(_save_words(path), "shard int, n long, total long, ends long").collect()}
     sizes = [rows[s].n if s in rows else 0 for s in range(shards)]
     model = Model(path, shards, [0, *np.cumsum(sizes).tolist()], sum(r.total for r in rows.values()), order=order)
+    if model.words >> 32:
+        raise OverflowError(f"{model.words} different words: ids have 32 bits")
     if not rows:
         return model
     _save(f"{path}/word_count/{shards}", np.array([sum(r.ends for r in rows.values())], np.uint64))  # of the start of a text
