@@ -14,7 +14,7 @@ within a chunk before anything is shuffled:
 Order 3 counts trigrams (a, b, c) in the second pass, dealt like the bigrams
 (b, c), so that a shard has all trigrams that end in one of its bigrams; a
 bigram's count is then its number of different predecessors. A shard keeps its
-trigrams as a tree b, a, c of sorted arrays with ends; the sums over c that a
+trigrams as a tree b, a, c of sorted arrays with ends, its bigrams as a tree a, b; the sums over c that a
 context (a, b) needs are kept where it has many followers, else added up when
 asked for. A context whose b is dealt over several shards is summed over them.
 Texts start with two start tokens; an unseen context (a, b) falls back to b.
@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelattice.llm import kernel
-from wavelattice.llm.store import materialise, new_path, posix_path
+from wavelattice.llm.store import discard, materialise, new_path, posix_path
 
 U = np.uint64
 END = U(0x5BD1E995A5A5A5A5)
@@ -61,7 +61,8 @@ SHARD_BYTES = 16 << 20
 MAX_SHARDS = 1 << 16
 ORDERS = (2, 3)
 WIDE = 8
-TREE = ("head", "head_end", "context", "context_end", "third", "over_at", "over", "wide", "wide_sums")
+PAIRS = ("pair_head", "pair_end", "pair_end_wrap", "pair_tail", "pair_count", "pair_count_at", "pair_count_over")
+TREE = ("head", "head_end", "head_end_wrap", "context", "context_end", "context_end_wrap", "third", "third_count", "third_count_at", "third_count_over", "wide", "wide_sums")
 
 
 def _token_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +142,40 @@ def _u32(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32)
 
 
+def _save_ints(path: str, x: np.ndarray) -> None:
+    """Numbers from 0 in the fewest bytes that hold the largest; their number tells the reader how many."""
+    top = int(x.max(initial=0))
+    _save(path, x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)))
+
+
+def _save_ends(path: str, name: str, shard: int, ends: np.ndarray) -> None:
+    """Ascending numbers as their lower 16 bits, and the places where the upper ones go up by one."""
+    _save(f"{path}/{name}/{shard}", (ends & 0xFFFF).astype(np.uint16))
+    high = ends >> 16
+    _save(f"{path}/{name}_wrap/{shard}", _u32(np.searchsorted(high, np.arange(1, int(high[-1]) + 1)) if len(ends) else ends))
+
+
+def _save_counts(path: str, name: str, shard: int, counts: np.ndarray) -> None:
+    """Counts in a byte each, those of 255 and more beside them."""
+    over = np.flatnonzero(counts >= 255)
+    _save(f"{path}/{name}/{shard}", np.minimum(counts, 255).astype(np.uint8))
+    _save(f"{path}/{name}_at/{shard}", _u32(over))
+    _save(f"{path}/{name}_over/{shard}", counts[over].astype(np.uint64))
+
+
+class _Ends:
+    """Reads what _save_ends wrote."""
+
+    def __init__(self, low: np.ndarray, wrap: np.ndarray):
+        self.low, self.wrap = low, wrap
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.wrap, at, side="right") << 16 | self.low[at].astype(np.int64)
+
+
 def _map(path: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
@@ -188,6 +223,26 @@ class Model:
             self._open[key] = _map(f"{self.path}/{kind}/{shard}", dtype)
         return self._open[key]
 
+    def ints(self, kind: str, shard: int) -> np.ndarray:
+        """An array kept by id, in whatever width it was saved."""
+        key = kind, shard
+        if key not in self._open:
+            path = f"{self.path}/{kind}/{shard}"
+            n = self.starts[shard + 1] - self.starts[shard] if shard < self.shards else 1
+            self._open[key] = _map(path, f"u{os.path.getsize(path) // max(n, 1) or 1}")
+        return self._open[key]
+
+    def ends(self, kind: str, shard: int) -> _Ends:
+        return _Ends(self.array(kind, shard, np.uint16), self.array(f"{kind}_wrap", shard, np.uint32))
+
+    def counts(self, kind: str, shard: int, at: np.ndarray) -> np.ndarray:
+        """What _save_counts wrote, at the given places."""
+        out = self.array(kind, shard, np.uint8)[at].astype(np.int64)
+        over = np.flatnonzero(out == 255)
+        if len(over):
+            out[over] = self.array(f"{kind}_over", shard, np.uint64)[np.searchsorted(self.array(f"{kind}_at", shard, np.uint32), at[over])]
+        return out
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; -1 where unknown."""
         out = np.full(len(hashes), -1, np.int64)
@@ -199,51 +254,42 @@ class Model:
                 out[a:b] = np.where(known[at] == hashes[a:b], at + self.starts[s], -1)
         return out
 
-    def of_ids(self, kind: str, ids: np.ndarray, dtype) -> np.ndarray:
+    def of_ids(self, kind: str, ids: np.ndarray) -> np.ndarray:
         """Values of sorted ids (below V + 1) from an array kept by id."""
-        out = np.zeros(len(ids), dtype)
+        out = np.zeros(len(ids), np.int64)
         shard = np.minimum(np.searchsorted(self.starts, ids, side="right") - 1, self.shards)
         for s, a, b in _spans(shard):
-            out[a:b] = self.array(kind, s, dtype)[ids[a:b] - self.starts[s]]
+            out[a:b] = self.ints(kind, s)[ids[a:b] - self.starts[s]]
         return out
 
     def bigram_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Shard of each bigram, for first ids in order."""
         heads, runs = _runs(a)
-        spread = 1 + self.of_ids("word_count", heads, np.uint64).astype(np.int64) * 4 * self.shards // max(self.tokens, 1)
+        spread = 1 + self.of_ids("word_count", heads) * 4 * self.shards // max(self.tokens, 1)
         return (a * self.shards // (self.words + 1) + b % np.repeat(np.minimum(spread, self.shards), runs)) % self.shards
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct keys (first id << 32 | second id)."""
-        out = np.zeros(len(keys), np.int64)
-        shard = self.bigram_shard((keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64))
+    def bigram_counts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Counts of bigrams in the order of a."""
+        out = np.zeros(len(a), np.int64)
+        shard = self.bigram_shard(a, b)
         order = np.argsort(shard, kind="stable")
-        for s, a, b in _spans(shard[order]):
-            known = self.array("pair", s, np.uint64)
-            if len(known):
-                mine = order[a:b]
-                at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
-                out[mine] = np.where(known[at] == keys[mine], self.array("pair_count", s, np.uint32)[at], 0)
+        for s, i, j in _spans(shard[order]):
+            mine = order[i:j]
+            h, there = _place(self.array("pair_head", s, np.uint32), a[mine])
+            mine, h = mine[there], h[there]
+            if len(mine):
+                lo, hi = _range(self.ends("pair_end", s), h)
+                at, found = _find(self.array("pair_tail", s, np.uint32), lo, hi, b[mine])
+                out[mine[found]] = self.counts("pair_count", s, at[found])
         return out
 
-
     def _context_at(self, s: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the contexts (a, b) in a shard's tree; and which are there."""
-        head = self.array("head", s, np.uint32)
-        if not len(head):
-            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-        h, there = _find(head, np.zeros(len(b), np.int64), np.full(len(b), len(head)), b)
-        lo, hi = _range(self.array("head_end", s, np.uint32), h)
-        at, found = _find(self.array("context", s, np.uint32), lo, np.where(there, hi, lo), a)
-        return at, found
-
-    def _third(self, s: int, at: np.ndarray) -> np.ndarray:
-        """Counts of the trigrams at the given places of a shard."""
-        out = self.array("third_count", s, np.uint8)[at].astype(np.int64)
-        over = np.flatnonzero(out == 255)
-        if len(over):
-            out[over] = self.array("over", s, np.uint32)[np.searchsorted(self.array("over_at", s, np.uint32), at[over])]
-        return out
+        """Places of the contexts (a, b) in a shard's tree, in the order of b; and which are there."""
+        h, there = _place(self.array("head", s, np.uint32), b)
+        if not there.any():
+            return h, there
+        lo, hi = _range(self.ends("head_end", s), h)
+        return _find(self.array("context", s, np.uint32), lo, np.where(there, hi, lo), a)
 
     def trigram_counts(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Counts of trigrams in the order of b."""
@@ -255,16 +301,16 @@ class Model:
             at, found = self._context_at(s, a[mine], b[mine])
             mine, at = mine[found], at[found]
             if len(mine):
-                lo, hi = _range(self.array("context_end", s, np.uint32), at)
+                lo, hi = _range(self.ends("context_end", s), at)
                 at, found = _find(self.array("third", s, np.uint32), lo, hi, c[mine])
-                out[mine[found]] = self._third(s, at[found])
+                out[mine[found]] = self.counts("third_count", s, at[found])
         return out
 
     def context_sums(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rows (tokens, followers with counts 1, 2 and over 2) of contexts in the order of b."""
         out = np.zeros((4, len(a)), np.int64)
         heads, runs = _runs(b)
-        spread = 1 + self.of_ids("word_count", heads, np.uint64).astype(np.int64) * 4 * self.shards // max(self.tokens, 1)
+        spread = 1 + self.of_ids("word_count", heads) * 4 * self.shards // max(self.tokens, 1)
         spread = np.repeat(np.minimum(spread, self.shards), runs)
         for k in range(int(spread.max(initial=0))):
             some = np.flatnonzero(spread > k)
@@ -276,7 +322,7 @@ class Model:
                 mine, at = mine[found], at[found]
                 if not len(mine):
                     continue
-                lo, hi = _range(self.array("context_end", s, np.uint32), at)
+                lo, hi = _range(self.ends("context_end", s), at)
                 wide = hi - lo > WIDE
                 if wide.any():
                     sums = self.array("wide_sums", s, np.uint32).reshape(4, -1)
@@ -284,20 +330,30 @@ class Model:
                 mine, lo, n = mine[~wide], lo[~wide], (hi - lo)[~wide]
                 if len(mine):
                     first = np.cumsum(n) - n
-                    counts = self._third(s, np.repeat(lo - first, n) + np.arange(n.sum()))
+                    counts = self.counts("third_count", s, np.repeat(lo - first, n) + np.arange(n.sum()))
                     out[:, mine] += _sums(counts, first)
         return out
 
 
+def _place(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x in the sorted distinct values; and which are there."""
+    if not len(values):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(values, x.astype(values.dtype)), len(values) - 1)
+    return at, values[at] == x
+
+
 def _find(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each x in its own sorted range of ``values``; and which are there."""
-    lo, top, end = lo.astype(np.int64), hi.astype(np.int64), hi
-    last = len(values) - 1
-    while (lo < top).any():
-        mid = (lo + top) >> 1
-        less = (values[np.minimum(mid, last)] < x) & (lo < top)
-        lo, top = np.where(less, mid + 1, lo), np.where(less, top, np.maximum(np.minimum(mid, top), lo))
-    return lo, (lo < end) & (values[np.minimum(lo, last)] == x)
+    lo, top = lo.astype(np.int64), hi.astype(np.int64)
+    open_ = np.flatnonzero(lo < top)
+    while len(open_):
+        mid = (lo[open_] + top[open_]) >> 1
+        less = values[mid] < x[open_]
+        lo[open_[less]] = mid[less] + 1
+        top[open_[~less]] = mid[~less]
+        open_ = open_[lo[open_] < top[open_]]
+    return lo, (lo < hi) & (values[np.minimum(lo, len(values) - 1)] == x)
 
 
 def _range(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +441,7 @@ def _save_words(path: str) -> Callable:
         for shard, rows in _groups(batches):
             words, counts = _summed(_joined(rows, "words", np.uint64), _joined(rows, "counts", np.uint32).astype(np.uint64))
             _save(f"{path}/word/{shard}", words)
-            _save(f"{path}/word_count/{shard}", counts)
+            _save_ints(f"{path}/word_count/{shard}", counts)
             out = {"n": len(words), "total": int(counts.sum()), "ends": int(counts[words == END].sum())}
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), **{k: pa.array([v], pa.int64()) for k, v in out.items()}})
 
@@ -471,14 +527,13 @@ def _save_tree(path: str, shard: int, rows: list[dict]) -> tuple[np.ndarray, np.
     b, a, c = b[first], a[first], c[first]
     context = _changes(b, a)
     head = _changes(b[context])
-    over = np.flatnonzero(counts >= 255)
     followers = np.diff(np.append(context, len(c)))
     wide = np.flatnonzero(followers > WIDE)
-    heads = b[context][head], np.append(head[1:], len(context))
-    arrays = (*heads, a[context], np.append(context[1:], len(c)), c, over, counts[over], wide, _sums(counts, context)[:, wide])
-    for name, x in zip(TREE, arrays, strict=True):
+    _save_ends(path, "head_end", shard, np.append(head[1:], len(context)))
+    _save_ends(path, "context_end", shard, np.append(context[1:], len(c)))
+    _save_counts(path, "third_count", shard, counts)
+    for name, x in (("head", b[context][head]), ("context", a[context]), ("third", c), ("wide", wide), ("wide_sums", _sums(counts, context)[:, wide])):
         _save(f"{path}/{name}/{shard}", _u32(np.ascontiguousarray(x).ravel()))
-    _save(f"{path}/third_count/{shard}", np.minimum(counts, 255).astype(np.uint8))
     keys, preceding = _counted(b.astype(np.uint64) << U(32) | c)
     return keys, preceding, [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -502,8 +557,11 @@ def _save_pairs(model: Model) -> Callable:
             else:
                 first = np.repeat(_joined(rows, "heads", np.uint32), _joined(rows, "runs", np.uint32)).astype(np.uint64)
                 keys, counts = _summed(first << U(32) | _joined(rows, "tails", np.uint32), _joined(rows, "counts", np.uint32).astype(np.int64))
-            _save(f"{model.path}/pair/{shard}", keys)
-            _save(f"{model.path}/pair_count/{shard}", _u32(counts))
+            heads, runs = _runs(keys >> U(32))
+            _save(f"{model.path}/pair_head/{shard}", _u32(heads))
+            _save(f"{model.path}/pair_tail/{shard}", (keys & U(0xFFFFFFFF)).astype(np.uint32))
+            _save_ends(model.path, "pair_end", shard, np.cumsum(runs))
+            _save_counts(model.path, "pair_count", shard, counts)
             heads, *follow = _summed(keys >> U(32), counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
             tails, preceding = _counted(keys & U(0xFFFFFFFF))
             histogram = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + top
@@ -536,7 +594,7 @@ def _save_sums(model: Model) -> Callable:
                 else:
                     sums[4][at] += np.frombuffer(r["v0"], np.uint32)
             for name, x in zip(("follow", "follow1", "follow2", "follow3", "precede"), sums, strict=True):
-                _save(f"{model.path}/{name}/{shard}", x)
+                _save_ints(f"{model.path}/{name}/{shard}", x)
             low = sums[4]
             yield pa.RecordBatch.from_pydict(
                 {"total": pa.array([int(low.sum())], pa.int64()), "histogram": pa.array([[int((low == k).sum()) for k in (1, 2, 3, 4)] + [int((low > 2).sum())]], pa.list_(pa.int64()))}
@@ -555,7 +613,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
     shards = min(MAX_SHARDS, max(1, -(-size // shard_bytes)))
     path = posix_path(new_path(spark, "ngram"))
 
-    kinds = ["word", "word_count", "pair", "pair_count"] + ([*TREE, "third_count"] if order == 3 else [])
+    kinds = ["word", "word_count", *PAIRS] + (list(TREE) if order == 3 else [])
     for s in range(shards):  # empty until a task replaces them, as a shard may have no words
         for kind in kinds:
             _save(f"{path}/{kind}/{s}", np.zeros(0))
@@ -568,7 +626,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
         raise OverflowError(f"{model.words} different words: ids have 32 bits")
     if not rows:
         return model
-    _save(f"{path}/word_count/{shards}", np.array([sum(r.ends for r in rows.values())], np.uint64))  # of the start of a text
+    _save_ints(f"{path}/word_count/{shards}", np.array([sum(r.ends for r in rows.values())]))  # of the start of a text
 
     if order == 3:
         pairs = texts.mapInArrow(_count_triples(model, chunk_tokens), "shard int, b binary, b_runs binary, a binary, a_runs binary, c binary, counts binary")
@@ -579,6 +637,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, chunk_tokens: int =
     high = parts.agg(*(F.sum(F.col("histogram")[k]) for k in range(8))).first()
     low = _by_shard(parts, shards + 1).mapInArrow(_save_sums(model), "total long, histogram array<long>")
     low = materialise(low, "ngram-sums").agg(F.sum("total"), *(F.sum(F.col("histogram")[k]) for k in range(5))).first()
+    discard(parts)
     model.discounts, model.top_discounts = discounts(list(high[:4])), discounts(list(high[4:]))
     model.low_discounts = discounts(list(low[1:5]))
     model.low_total = low[0]
@@ -596,18 +655,18 @@ def _probabilities(model: Model, tokens: np.ndarray, bounds: np.ndarray) -> tupl
     known = distinct >= 0
     ids = distinct[known]  # in order, as hashes and ids are
     low, word = np.zeros((2, len(distinct)))
-    n = model.of_ids("precede", ids, np.int64)
+    n = model.of_ids("precede", ids)
     low[known] = (n - _discount(n, model.low_discounts)) / model.low_total
     low += model.low_mass / (model.words + 1)
-    word[known] = model.of_ids("word_count", ids, np.uint64)
+    word[known] = model.of_ids("word_count", ids)
     base = np.log10((word + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
 
     # Contexts: the distinct words and, last, the start of a text.
     context = np.append(distinct, model.words)
     total, mass = np.zeros(len(context)), np.ones(len(context))
     seen = np.flatnonzero(context >= 0)
-    total[seen] = model.of_ids("follow", context[seen], np.int64)
-    reserved = sum(d * model.of_ids(f"follow{k + 1}", context[seen], np.int64) for k, d in enumerate(model.discounts))
+    total[seen] = model.of_ids("follow", context[seen])
+    reserved = sum(d * model.of_ids(f"follow{k + 1}", context[seen]) for k, d in enumerate(model.discounts))
     mass[seen] = np.where(total[seen] > 0, reserved / np.maximum(total[seen], 1), 1.0)
 
     before = _contexts(at, bounds, len(distinct))
@@ -616,7 +675,8 @@ def _probabilities(model: Model, tokens: np.ndarray, bounds: np.ndarray) -> tupl
     keys = a[both].astype(np.uint64) << U(32) | b[both].astype(np.uint64)
     distinct_keys, _ = _counted(keys)
     counts = np.zeros(len(tokens), np.int64)
-    counts[both] = model.bigram_counts(distinct_keys)[np.searchsorted(distinct_keys, keys)]
+    found = model.bigram_counts((distinct_keys >> U(32)).astype(np.int64), (distinct_keys & U(0xFFFFFFFF)).astype(np.int64))
+    counts[both] = found[np.searchsorted(distinct_keys, keys)]
     p = mass[before] * low[at]
     hit = counts > 0
     p[hit] += (counts[hit] - _discount(counts[hit], model.discounts)) / total[before[hit]]
