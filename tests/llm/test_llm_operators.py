@@ -476,6 +476,59 @@ def test_templates_are_found_where_they_lie(spark):
     assert got[1] == "mit,mit-license" and got[2] == "cc-by-nc-4.0" and got[3] == "gpl,gpl-3.0" and got[4] == "" and got[5] == "mit-license"
 
 
+def brute_labels(rows):
+    """Every template at every alignment, scored with the same rare words, without an index."""
+    tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    texts = [tok(t) for _, t in rows]
+    found = Counter(w for t in texts for w in set(t))
+    postings = defaultdict(list)
+    for word, idf, template, position, weight in licenses.rare_postings(len(rows), found):
+        postings[template].append((word, idf, position, weight))
+    out = {}
+    for (i, _), text in zip(rows, texts, strict=True):
+        labels = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(text)} "}
+        for t, (label, wording, phrases) in enumerate(licenses.TEMPLATES):
+            size = len(wording.split())
+            for start in range(-size, len(text)):
+                hits = [x for x in postings[t] if 0 <= start + x[2] < len(text) and text[start + x[2]] == x[0]]
+                stretch = f" {' '.join(text[max(start, 0) : max(start + size, 0)])} "
+                if len(hits) >= 2 and sum(x[1] for x in hits) >= licenses.MIN_WEIGHT * hits[0][3] and all(f" {p} " in stretch for p in phrases):
+                    labels.add(label)
+        out[i] = ",".join(sorted(labels))
+    return out
+
+
+def test_labels_by_brute_force(spark):
+    rng = random.Random(11)
+    filler = [f"w{i}" for i in range(50)] + ["license", "the", "of", "software", "copyright", "version", "2", "0"]
+    rows = []
+    for i in range(150):
+        body = [rng.choice(filler) for _ in range(rng.randint(0, 30))]
+        if i % 3:
+            body += rng.choice(licenses.PARAGRAPHS)[1].split() if i % 2 else f"SPDX-License-Identifier: {rng.choice(licenses.SPDX)}".split()
+            if i % 5 == 0:
+                del body[rng.randrange(len(body))]
+        rows.append((i, " ".join(body + [rng.choice(filler) for _ in range(rng.randint(0, 10))])))
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == brute_labels(rows)
+    assert sum(bool(v) for v in got.values()) > 80
+
+
+def test_every_full_template_is_found(spark):
+    rows = list(enumerate(text for _, text, _ in licenses.PARAGRAPHS)) + [(1000 + i, f"// SPDX-License-Identifier: {x}") for i, x in enumerate(licenses.SPDX)]
+    rows += [(2000 + i, f"clean text number {i} about a software license") for i in range(200)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(label in got[i] for i, (label, _, _) in enumerate(licenses.PARAGRAPHS))
+    assert all(label in got[1000 + i] for i, (label, _, _) in enumerate(licenses.TEMPLATES[len(licenses.PARAGRAPHS) :]))
+    assert all(got[2000 + i] == [""] for i in range(200))
+
+
+def test_licenses_stay_native(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_license_edges(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
     got = licenses.scan(frame(spark, [(None, "MIT License", "z"), (None, "MIT License", "z")], "doc_id long, text string, labels string")).collect()

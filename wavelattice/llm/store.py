@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _KEY = "spark.checkpoint.dir"
 HOT_KEYS = 20_000
 HOT_ROWS = 1024
-FILES = 50_000
+FILES = 20_000
 
 _fallback: list[str] = []
 _paths: dict[str, None] = {}
@@ -98,6 +98,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is a literal of the plan."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ",".join(f.replace(" ", ":") for f in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with a column of numbers that tell all its rows apart however often it is read, and its name.
 
@@ -110,7 +118,7 @@ def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
         paths = [r[0] for r in df.select("_metadata.file_path").distinct().orderBy("file_path").limit(FILES + 1).collect()]
         if len(paths) <= FILES:
             file, base = unused(df, "_row_file"), unused(df, "_row_base")
-            numbers = df.sparkSession.createDataFrame([(x, i << 36) for i, x in enumerate(paths)], T.StructType().add(file, "string").add(base, "long"))
+            numbers = literal_table(df.sparkSession, [(x, i << 36) for i, x in enumerate(paths)], f"{file} string, {base} long")
             keyed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(key))
             keyed = keyed.join(F.broadcast(numbers), file)
             return keyed.select(*df.columns, (F.col(base) + F.col(key)).alias(key)), key
