@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm import decontaminate, exact_dedup, html_extract, licenses, near_dedup, ngram_lm, packing, pii, quality, sharding
+from wavelattice.llm import decontaminate, exact_dedup, html_extract, licenses, near_dedup, ngram_lm, oracles, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,36 +76,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_quality, op3_sharding, op4_exact_dedup, op5_pii, op6_decontamination, op7_html_extraction, op8_packing, op9_near_duplicates, op10_license_scan)}
 
 
-OP9_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x20\x09-\x0D]+') AS t FROM documents),
-sh AS (
-  SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM w WHERE len(t) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
-e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
-g AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
-FROM documents d LEFT JOIN n USING (doc_id) JOIN g USING (doc_id)
-"""
-
-
-OP4_SQL = """
-WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-FROM n WINDOW w AS (PARTITION BY t)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_near_duplicates": OP9_SQL}
+    return oracles.oracle_sql()
