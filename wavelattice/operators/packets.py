@@ -7,6 +7,7 @@ Segmenting and gap filling are recurrences and run source by source.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,6 +75,20 @@ def unwrap32(packets: DataFrame, column: str, order: list[str]) -> DataFrame:
     return packets.withColumn("_d", F.coalesce(d, raw)).withColumn("time", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
+def decode_times(pts: list[int], depth: int = 16) -> list[int]:
+    """reconstruct_dts of one track's presentation times in arrival order."""
+    heap, out, shift = [], [], None
+    for i, p in enumerate(pts):
+        heapq.heappush(heap, p)
+        if len(heap) > depth or i + 1 == len(pts):
+            if shift is None:
+                shift = max(0, max(a - b for a, b in zip(sorted(heap), pts, strict=False)))
+            out.append(heapq.heappop(heap) - shift)
+    while heap:
+        out.append(heapq.heappop(heap) - shift)
+    return out
+
+
 def reconstruct_dts(frames: DataFrame, depth: int = 16) -> DataFrame:
     """Decode times from presentation times in arrival order, by a reorder buffer of ``depth``.
 
@@ -81,23 +96,10 @@ def reconstruct_dts(frames: DataFrame, depth: int = 16) -> DataFrame:
     less the shift that keeps the first packets' decode times at or below
     their presentation times. Exact while reordering fits the buffer.
     """
-    import heapq
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival")
-        pts = pdf["pts"].tolist()
-        heap, out, shift = [], [], None
-        for i, p in enumerate(pts):
-            heapq.heappush(heap, p)
-            if len(heap) > depth or i + 1 == len(pts):
-                if shift is None:
-                    known = sorted(heap)
-                    shift = max((a - b for a, b in zip(known, pts, strict=False)), default=0)
-                    shift = max(shift, 0)
-                out.append(heapq.heappop(heap) - shift)
-        while heap:
-            out.append(heapq.heappop(heap) - shift)
-        pdf["dts"] = out
+        pdf["dts"] = decode_times(pdf["pts"].tolist(), depth)
         return pdf[["source_id", "arrival", "pts", "dts"]]
 
     return frames.groupBy("source_id").applyInPandas(run, "source_id string, arrival long, pts long, dts long")
@@ -140,8 +142,8 @@ def segments(packets: DataFrame, cut_track: int | None, target_s: float, timesca
     """HLS segments of each source: cut at key packets of the cut track once the target is reached.
 
     Packets before the first cut point are dropped. With ``breaks`` a change in
-    that column ends the segment and the next key packet starts a discontinuous
-    one. The rows of a source are read one after the other, nothing is kept of
+    that column from one packet of a track to its next ends the segment, and
+    the next key packet starts a discontinuous one. The rows of a source are read one after the other, nothing is kept of
     them but the segment in work.
     """
     columns = ["source_id", "track_id", "pts", "dts", "is_keyframe", *order, *([breaks] if breaks else [])]
@@ -163,14 +165,14 @@ def segments(packets: DataFrame, cut_track: int | None, target_s: float, timesca
                 if r.source_id != source:
                     finish()
                     source = r.source_id
-                    state = {"n": 1, "start": None, "max": None, "step": None, "dts": None, "broken": False, "version": None}
+                    state = {"n": 1, "start": None, "max": None, "step": None, "dts": None, "broken": False, "versions": {}}
                 version = getattr(r, breaks) if breaks else None
                 on_track = cut_track is None or r.track_id == cut_track
                 point = on_track and (cut_track is None or r.is_keyframe)
-                if breaks and state["version"] is not None and version != state["version"] and state["start"] is not None:
+                if breaks and state["versions"].get(r.track_id, version) != version and state["start"] is not None and state["max"] is not None:
                     close(state["max"] + (state["step"] or default_duration), False)
                     state |= {"start": None, "max": None, "step": None, "dts": None, "broken": True}
-                state["version"] = version
+                state["versions"][r.track_id] = version
                 if point:
                     if state["start"] is None:
                         state["start"] = r.pts

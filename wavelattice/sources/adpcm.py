@@ -1,7 +1,9 @@
-"""ADPCM decoding: IMA and Microsoft blocks, and the continuous Yamaha form."""
+"""ADPCM both ways: IMA and Microsoft blocks, the continuous Yamaha form, and QuickTime's IMA4 sub-blocks."""
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 # Fixed values of the three formats.
@@ -15,19 +17,30 @@ MS_ADAPT = (230, 230, 230, 230, 307, 409, 512, 614, 768, 614, 512, 409, 307, 230
 MS_COEFFICIENTS = ((256, 0), (512, -256), (0, 0), (192, 64), (240, 0), (460, -208), (392, -232))
 YAMAHA_DIFF = (1, 3, 5, 7, 9, 11, 13, 15)
 YAMAHA_SCALE = (230, 230, 230, 230, 307, 409, 512, 614)
+BLOCK_BYTES, MS_FIRST_DELTA, IMA4_BYTES, IMA4_FRAMES = 1024, 16, 34, 64
 
 
 def _clip(x: int) -> int:
     return max(-32768, min(32767, x))
 
 
+def ima_size(step: int, n: int) -> int:
+    """How far a nibble moves the predictor."""
+    return (step >> 3) + (step if n & 4 else 0) + (step >> 1 if n & 2 else 0) + (step >> 2 if n & 1 else 0)
+
+
 def ima_nibble(predictor: int, index: int, n: int) -> tuple[int, int]:
     """The next sample and step index."""
-    step = IMA_STEPS[index]
-    d = (step >> 3) + (step if n & 4 else 0) + (step >> 1 if n & 2 else 0) + (step >> 2 if n & 1 else 0)
+    d = ima_size(IMA_STEPS[index], n)
     return _clip(predictor - d if n & 8 else predictor + d), max(0, min(88, index + IMA_INDEX[n & 7]))
 
 
+def ima_code(predictor: int, index: int, sample: int) -> int:
+    """The nibble whose step comes nearest to a sample, the smaller of two."""
+    d = _clip(sample) - predictor
+    return (8 if d < 0 else 0) | min(range(8), key=lambda n: abs(abs(d) - ima_size(IMA_STEPS[index], n)))
+
+
 def ima_block(block: bytes, channels: int, frames: int) -> np.ndarray:
     out = np.zeros((frames, channels), np.int32)
     body = block[4 * channels :]
@@ -45,70 +58,178 @@ def ima_block(block: bytes, channels: int, frames: int) -> np.ndarray:
     return out
 
 
-def ms_block(block: bytes, channels: int, frames: int) -> np.ndarray:
+def _quotient(a: int, b: int) -> int:
+    """a / b towards zero."""
+    return a // b if (a < 0) == (b < 0) else -(-a // b)
+
+
+class MsState:
+    """One channel of Microsoft ADPCM."""
+
+    def __init__(self, coefficients: tuple[int, int], delta: int, last: int, before: int):
+        self.a, self.b = coefficients
+        self.delta, self.last, self.before = delta, last, before
+
+    def predicted(self) -> int:
+        return _quotient(self.last * self.a + self.before * self.b, 256)
+
+    def expand(self, n: int) -> int:
+        s = _clip(self.predicted() + (n - 16 if n > 7 else n) * self.delta)
+        self.before, self.last = self.last, s
+        self.delta = max(16, MS_ADAPT[n] * self.delta >> 8)
+        return s
+
+    def code(self, sample: int) -> int:
+        """The nibble nearest to a sample; the state moves on."""
+        d = _clip(sample) - self.predicted()
+        half = self.delta // 2
+        n = max(-8, min(7, _quotient(d + half if d >= 0 else d - half, self.delta))) & 15
+        self.expand(n)
+        return n
+
+
+def ms_block(block: bytes, channels: int, frames: int, coefficients: tuple = MS_COEFFICIENTS) -> np.ndarray:
     out = np.zeros((frames, channels), np.int32)
     k = channels
     short = lambda at: int.from_bytes(block[at : at + 2], "little", signed=True)
-    kinds = [min(block[c], 6) for c in range(k)]
-    delta = [short(k + 2 * c) for c in range(k)]
-    last = [short(3 * k + 2 * c) for c in range(k)]
-    before = [short(5 * k + 2 * c) for c in range(k)]
-    out[0], out[1:2] = before, last
+    states = []
+    for c in range(k):
+        pair = coefficients[min(block[c], len(coefficients) - 1)]
+        states.append(MsState(pair, short(k + 2 * c), short(3 * k + 2 * c), short(5 * k + 2 * c)))
+        out[0, c] = states[c].before
+        out[1:2, c] = states[c].last
     at = 2 * k
     for b in block[7 * k :]:
         for n in (b >> 4, b & 15):
             frame, c = divmod(at, k)
             if frame >= frames:
                 break
-            a1, a2 = MS_COEFFICIENTS[kinds[c]]
-            s = _clip(((last[c] * a1 + before[c] * a2) >> 8) + (n - 16 if n > 7 else n) * delta[c])
-            before[c], last[c] = last[c], s
-            delta[c] = max(16, MS_ADAPT[n] * delta[c] >> 8)
-            out[frame, c] = s
+            out[frame, c] = states[c].expand(n)
             at += 1
     return out
 
 
+def ms_encode_block(pcm: np.ndarray, deltas: list[int]) -> bytes:
+    """One block of at least two frames by channels under the first predictor; ``deltas`` holds and keeps the step sizes."""
+    channels = pcm.shape[1]
+    rows = np.clip(pcm, -32768, 32767).tolist()
+    states = [MsState(MS_COEFFICIENTS[0], max(16, min(32767, deltas[c])), rows[1][c], rows[0][c]) for c in range(channels)]
+    short = lambda v: int(v).to_bytes(2, "little", signed=True)
+    head = bytes(channels) + b"".join(short(s.delta) for s in states) + b"".join(short(x) for x in rows[1]) + b"".join(short(x) for x in rows[0])
+    codes = [s.code(x) for row in rows[2:] for s, x in zip(states, row, strict=True)]
+    codes += [0] * (len(codes) % 2)
+    deltas[:] = [s.delta for s in states]
+    return head + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+
+
+class YamahaState:
+    def __init__(self):
+        self.last, self.step = 0, 127
+
+    def expand(self, n: int) -> int:
+        d = self.step * YAMAHA_DIFF[n & 7] // 8
+        self.last = _clip(self.last - d if n & 8 else self.last + d)
+        self.step = max(127, min(24576, self.step * YAMAHA_SCALE[n & 7] >> 8))
+        return self.last
+
+    def code(self, sample: int) -> int:
+        d = _clip(sample) - self.last
+        n = min(7, abs(d) * 4 // self.step) + (8 if d < 0 else 0)
+        self.expand(n)
+        return n
+
+
 def yamaha(raw: bytes, channels: int) -> np.ndarray:
-    state = [[0, 127] for _ in range(channels)]
-    out = np.zeros(len(raw) * 2, np.int32)
-    for i, b in enumerate(raw):
-        for j, n in enumerate((b & 15, b >> 4)):
-            s = state[(2 * i + j) % channels]
-            d = s[1] * YAMAHA_DIFF[n & 7] // 8
-            s[0] = _clip(s[0] - d if n & 8 else s[0] + d)
-            s[1] = max(127, min(24576, s[1] * YAMAHA_SCALE[n & 7] >> 8))
-            out[2 * i + j] = s[0]
-    return out[: len(out) // channels * channels].reshape(-1, channels)
-
-
-def decode(raw: bytes, kind: str, channels: int, block: int, frames: int) -> np.ndarray:
-    """All frames of a stream of blocks; a last block may be shorter."""
+    states = [YamahaState() for _ in range(channels)]
+    codes = [n for b in raw for n in (b & 15, b >> 4)]
+    codes = codes[: len(codes) // channels * channels]
+    return np.array([states[i % channels].expand(n) for i, n in enumerate(codes)], np.int32).reshape(-1, channels)
+
+
+def yamaha_encode(pcm: np.ndarray) -> bytes:
+    """The low nibble of a byte comes first; a last lone nibble is followed by a zero."""
+    states = [YamahaState() for _ in range(pcm.shape[1])]
+    codes = [s.code(x) for row in pcm.tolist() for s, x in zip(states, row, strict=True)]
+    codes += [0] * (len(codes) % 2)
+    return bytes(a | b << 4 for a, b in zip(codes[::2], codes[1::2], strict=True))
+
+
+def ima4(raw: bytes, channels: int) -> np.ndarray:
+    """Sub-blocks of 64 samples a channel; the state runs on from the first and the preambles are not read."""
+    states, parts = [(0, 0)] * channels, []
+    for at in range(0, len(raw) - IMA4_BYTES * channels + 1, IMA4_BYTES * channels):
+        own = np.zeros((IMA4_FRAMES, channels), np.int32)
+        for c in range(channels):
+            p, i = states[c]
+            body = raw[at + IMA4_BYTES * c + 2 : at + IMA4_BYTES * (c + 1)]
+            for k, n in enumerate(n for b in body for n in (b & 15, b >> 4)):
+                p, i = ima_nibble(p, i, n)
+                own[k, c] = p
+            states[c] = p, i
+        parts.append(own)
+    return np.concatenate(parts) if parts else np.zeros((0, channels), np.int32)
+
+
+def ima4_encode(pcm: np.ndarray) -> bytes:
+    """Whole sub-blocks, the last filled up with its last frame; a preamble is the state's upper 9 bits and its index."""
+    channels = pcm.shape[1]
+    states, out = [(0, 0)] * channels, b""
+    for a in range(0, len(pcm), IMA4_FRAMES):
+        rows = pcm[a : a + IMA4_FRAMES]
+        rows = np.concatenate([rows, np.repeat(rows[-1:], IMA4_FRAMES - len(rows), axis=0)])
+        for c in range(channels):
+            p, i = states[c]
+            out += ((p & 0xFF80) | i).to_bytes(2, "big")
+            codes = []
+            for x in rows[:, c].tolist():
+                codes.append(ima_code(p, i, x))
+                p, i = ima_nibble(p, i, codes[-1])
+            states[c] = p, i
+            out += bytes(x | y << 4 for x, y in zip(codes[::2], codes[1::2], strict=True))
+    return out
+
+
+def frames_per_block(kind: str, channels: int, block: int = BLOCK_BYTES) -> int:
+    if kind == "ima":
+        return (block - 4 * channels) * 8 // (4 * channels) + 1
+    return 2 + (block - 7 * channels) * 2 // channels
+
+
+def encode(pcm: np.ndarray, kind: str, block: int = BLOCK_BYTES) -> bytes:
+    """All frames by channels; the last block is filled up with silence."""
+    pcm = np.asarray(pcm)
+    channels = pcm.shape[1]
     if kind == "yamaha":
-        return yamaha(raw, channels)
-    one = ima_block if kind == "ima" else ms_block
+        return yamaha_encode(pcm)
+    size = frames_per_block(kind, channels, block)
+    state, out = [0 if kind == "ima" else MS_FIRST_DELTA] * channels, b""
+    for a in range(0, len(pcm), size):
+        rows = pcm[a : a + size]
+        rows = np.concatenate([rows, np.zeros((size - len(rows), channels), rows.dtype)])
+        out += ima_encode_block(rows, state) if kind == "ima" else ms_encode_block(rows, state)
+    return out
+
+
+def decode(raw: bytes, kind: str, channels: int, block: int, frames: int, coefficients: tuple = ()) -> np.ndarray:
+    """All frames of a stream of blocks; a last block may be shorter."""
+    if kind in ("yamaha", "ima4"):
+        return (yamaha if kind == "yamaha" else ima4)(raw, channels)
+    one = ima_block if kind == "ima" else functools.partial(ms_block, coefficients=coefficients or MS_COEFFICIENTS)
     parts = [one(raw[a : a + block], channels, frames) for a in range(0, len(raw), block) if len(raw[a : a + block]) >= (4 if kind == "ima" else 7) * channels]
     return np.concatenate(parts) if parts else np.zeros((0, channels), np.int32)
 
 
 def ima_encode_block(pcm: np.ndarray, index: list[int]) -> bytes:
     """One block of frames by channels; ``index`` holds and keeps each channel's step index."""
-    frames, channels = pcm.shape
+    channels = pcm.shape[1]
     head, codes = b"", []
     for c in range(channels):
-        p, i = int(pcm[0, c]), index[c]
+        p, i = _clip(int(pcm[0, c])), index[c]
         head += p.to_bytes(2, "little", signed=True) + bytes([i, 0])
         own = []
         for x in pcm[1:, c].tolist():
-            step, d, n = IMA_STEPS[i], x - p, 0
-            if d < 0:
-                n, d = 8, -d
-            for bit, size in ((4, step), (2, step >> 1), (1, step >> 2)):
-                if d >= size:
-                    n |= bit
-                    d -= size
-            p, i = ima_nibble(p, i, n)
-            own.append(n)
+            own.append(ima_code(p, i, x))
+            p, i = ima_nibble(p, i, own[-1])
         index[c] = i
         codes.append(own + [0] * (-len(own) % 8))
     body = b""

@@ -1,4 +1,4 @@
-"""Containers as tables of packets: FLV, Ogg, MP4 and Matroska files read through Spark.
+"""Containers as tables of packets: FLV, Ogg, MP4, fragmented MP4, Matroska and AVI files read through Spark.
 
 ``packets(files)`` takes rows of format binaryFile and gives one row a packet:
 source_id, track_id, codec, timescale, pts, dts, is_keyframe, config_version,
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wavelattice.operators.packets import decode_times
 from wavelattice.sources import bits
 
 SCHEMA = "source_id string, track_id int, codec string, timescale int, pts long, dts long, is_keyframe boolean, config_version int, payload binary"
@@ -193,9 +194,21 @@ def _table(raw: bytes, span: tuple[int, int] | None, row: str) -> list[tuple]:
     return [struct.unpack_from(row, raw, span[0] + 8 + size * i) for i in range(n)]
 
 
+def edit_shift(edits: list[tuple], movie_scale: int, timescale: int) -> int:
+    """What an edit list takes from a track's times: the start of its first media edit, less the empty edits before it."""
+    empty = 0
+    for length, start, _ in edits:
+        if start >= 0:
+            return start - (empty * timescale // movie_scale if movie_scale else 0)
+        empty += length
+    return 0
+
+
 def mp4_tracks(raw: bytes) -> list[dict]:
     """Each track's codec, timescale, sample offsets, sizes, times and sync samples."""
     out, moov = [], find_box(raw, "moov")
+    mvhd = find_box(raw, "moov/mvhd")
+    movie = struct.unpack_from(">I", raw, mvhd[0] + (20 if raw[mvhd[0]] == 1 else 12))[0] if mvhd else 0
     for kind, a, b in boxes(raw, *(moov or (0, 0))):
         if kind != b"trak":
             continue
@@ -209,10 +222,11 @@ def mp4_tracks(raw: bytes) -> list[dict]:
         sizes = [fixed] * n if fixed else [x[0] for x in struct.iter_unpack(">I", raw[stsz[0] + 12 : stsz[0] + 12 + 4 * n])]
         chunks = [x[0] for x in (_table(raw, part("stco"), ">I") or _table(raw, part("co64"), ">Q"))]
         runs = _table(raw, part("stsc"), ">III")
-        offsets, k = [], 0
+        offsets, k, run = [], 0, -1
         for c, at in enumerate(chunks, 1):
-            per = next((r[1] for r in reversed(runs) if r[0] <= c), 0)
-            for _ in range(per):
+            while run + 1 < len(runs) and runs[run + 1][0] <= c:
+                run += 1
+            for _ in range(runs[run][1] if run >= 0 else 0):
                 if k < len(sizes):
                     offsets.append(at)
                     at += sizes[k]
@@ -224,7 +238,7 @@ def mp4_tracks(raw: bytes) -> list[dict]:
         shift = [o for count, o in _table(raw, part("ctts"), ">Ii") for _ in range(count)] or [0] * len(sizes)
         sync = {x[0] for x in _table(raw, part("stss"), ">I")} if part("stss") else None
         edits = find_box(raw, "edts/elst", a, b)
-        media = next((e[1] for e in _table(raw, edits, ">IiI") if e[1] >= 0), 0)
+        media = edit_shift(_table(raw, edits, ">QqI" if edits and raw[edits[0]] == 1 else ">IiI"), movie, timescale)
         codec = raw[stsd[0] + 12 : stsd[0] + 16].decode("latin-1") if stsd else ""
         out.append({"codec": codec, "timescale": timescale, "offsets": offsets, "sizes": sizes, "dts": dts[:-1], "shift": shift, "sync": sync, "start": media})
     return out
@@ -289,8 +303,22 @@ _MASTER = {0x18538067, 0x1F43B675, 0x1654AE6B, 0xAE, 0xA0, 0x1549A966}
 _CODECS = {"V_MPEG4/ISO/AVC": "h264", "A_AAC": "aac", "A_OPUS": "opus", "A_MPEG/L3": "mp3", "V_VP9": "vp9", "V_AV1": "av1", "V_MPEGH/ISO/HEVC": "h265"}
 
 
+_REORDERED = ("h264", "h265")
+
+
 def matroska_packets(raw: bytes) -> Iterator[tuple]:
-    """Blocks in file order; dts is the pts, as the file has no other time."""
+    """Blocks in file order; the file has presentation times only, decode times of reordered video are rebuilt."""
+    rows = list(_matroska_blocks(raw))
+    times: dict[int, list[int]] = {}
+    for track, codec, _, pts, *_ in rows:
+        if codec in _REORDERED:
+            times.setdefault(track, []).append(pts)
+    decode = {track: iter(decode_times(pts)) for track, pts in times.items()}
+    for row in rows:
+        yield (*row[:4], next(decode[row[0]]), *row[5:]) if row[0] in decode else row
+
+
+def _matroska_blocks(raw: bytes) -> Iterator[tuple]:
     at, scale, cluster, tracks, number, group = 0, 1_000_000, 0, {}, 0, None
     while at < len(raw):
         try:
@@ -311,7 +339,9 @@ def matroska_packets(raw: bytes) -> Iterator[tuple]:
         elif kind == 0xD7:
             number = int.from_bytes(data, "big")
         elif kind == 0x86:
-            tracks[number] = data.rstrip(b"\0").decode("latin-1")
+            tracks[number] = data.rstrip(b"\0").decode("latin-1"), tracks.get(number, ("", 0))[1]
+        elif kind == 0x23E383:
+            tracks[number] = tracks.get(number, ("", 0))[0], int.from_bytes(data, "big")
         elif kind == 0xE7:
             cluster = int.from_bytes(data, "big")
         elif kind == 0xA3:
@@ -325,16 +355,132 @@ def matroska_packets(raw: bytes) -> Iterator[tuple]:
         yield from _frames(*group, scale, tracks)
 
 
-def _frames(block: bytes, cluster: int, key: bool | None, scale: int, tracks: dict[int, str]) -> Iterator[tuple]:
+def _frames(block: bytes, cluster: int, key: bool | None, scale: int, tracks: dict[int, tuple[str, int]]) -> Iterator[tuple]:
     track, at = element_size(block, 0)
     time, flags = struct.unpack_from(">hB", block, at)
     key = bool(flags & 0x80) if key is None else key
-    codec = tracks.get(track, "")
-    for frame in lacing(block, at + 3, flags >> 1 & 3):
-        t = (cluster + time) * scale // 1000
+    codec, duration = tracks.get(track, ("", 0))
+    for i, frame in enumerate(lacing(block, at + 3, flags >> 1 & 3)):
+        t = ((cluster + time) * scale + i * duration) // 1000
         yield track, _CODECS.get(codec, codec), 1_000_000, t, t, key, 0, frame
 
 
+# AVI
+def _riff(raw: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(id, start, end) of the chunks of a range; the id of a list is its kind."""
+    while start + 8 <= end:
+        name, size = struct.unpack_from("<4sI", raw, start)
+        stop = min(end, start + 8 + size)
+        listed = name in (b"LIST", b"RIFF")
+        yield (raw[start + 8 : start + 12] if listed else name), start + (12 if listed else 8), stop
+        start += 8 + size + (size & 1)
+
+
+_AVI_CODECS = {b"H264": "h264", b"h264": "h264", b"avc1": "h264", b"MJPG": "mjpeg", 0x55: "mp3", 0xFF: "aac", 1: "pcm"}
+
+
+def avi_packets(raw: bytes) -> Iterator[tuple]:
+    """Chunks in file order, timed by their stream's rate: a tick a chunk, or a tick a block of bytes where the stream has a sample size.
+
+    Key chunks are those that the index marks; without an index those of other
+    streams than video, and H.264 chunks with an IDR unit.
+    """
+    streams, keys, movi, index = [], set(), None, None
+    for kind, a, b in _riff(raw, 0, len(raw)):
+        for name, c, d in _riff(raw, a, b) if kind == b"AVI " else ():
+            if name == b"hdrl":
+                for sub, e, f in _riff(raw, c, d):
+                    if sub == b"strl":
+                        own = {n: raw[x:y] for n, x, y in _riff(raw, e, f)}
+                        fourcc, handler = own[b"strh"][:4], own[b"strh"][4:8]
+                        scale, rate, start = struct.unpack_from("<III", own[b"strh"], 20)
+                        size = struct.unpack_from("<I", own[b"strh"], 44)[0]
+                        code = struct.unpack_from("<H", own[b"strf"])[0] if fourcc == b"auds" else handler
+                        streams.append({"video": fourcc == b"vids", "codec": _AVI_CODECS.get(code, str(code)), "scale": scale, "rate": rate, "size": size, "at": start})
+            elif name == b"movi":
+                movi = c, d
+            elif name == b"idx1":
+                index = c, d
+    if movi is None:
+        return
+    if index is not None:
+        entries = list(struct.iter_unpack("<4sIII", raw[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]))
+        base = 0 if entries and entries[0][2] >= movi[0] else movi[0] - 4
+        keys = {base + at + 8 for _, flags, at, _ in entries if flags & 0x10}
+    todo = [movi]
+    while todo:
+        a, b = todo.pop()
+        for name, c, d in _riff(raw, a, b):
+            if name == b"rec ":
+                todo.append((d, b))
+                todo.append((c, d))
+                break
+            if not name[:2].isdigit() or int(name[:2]) >= len(streams):
+                continue
+            n = int(name[:2])
+            s = streams[n]
+            payload = raw[c:d]
+            key = c in keys if index is not None else not s["video"] or any(u[0] & 31 == 5 for u in bits.nal_units(payload))
+            t = s["at"] * s["scale"] * 1_000_000 // s["rate"]
+            s["at"] += len(payload) // s["size"] if s["size"] else 1
+            yield n, s["codec"], 1_000_000, t, t, key, 0, payload
+
+
+# Fragmented MP4
+def fragment_packets(raw: bytes) -> Iterator[tuple]:
+    """Samples of all movie fragments, with the tracks of the movie box."""
+    names = {"avc1": "h264", "mp4a": "aac", "hvc1": "h265"}
+    known = {}
+    for kind, a, b in boxes(raw, *(find_box(raw, "moov") or (0, 0))):
+        if kind == b"trak":
+            tkhd, mdhd, stsd = find_box(raw, "tkhd", a, b), find_box(raw, "mdia/mdhd", a, b), find_box(raw, "mdia/minf/stbl/stsd", a, b)
+            ident = struct.unpack_from(">I", raw, tkhd[0] + (20 if raw[tkhd[0]] == 1 else 12))[0]
+            scale = struct.unpack_from(">I", raw, mdhd[0] + (20 if raw[mdhd[0]] == 1 else 12))[0]
+            codec = raw[stsd[0] + 12 : stsd[0] + 16].decode("latin-1")
+            known[ident] = len(known), names.get(codec, codec), scale
+    for kind, a, b in boxes(raw):
+        if kind != b"moof":
+            continue
+        for part, c, d in boxes(raw, a, b):
+            if part == b"traf":
+                yield from _fragment(raw, a - 8, c, d, known)
+
+
+def _fragment(raw: bytes, base: int, a: int, b: int, known: dict[int, tuple]) -> Iterator[tuple]:
+    track, standard = None, [0, 0, 0]  # duration, size, flags
+    dts = 0
+    for kind, c, d in boxes(raw, a, b):
+        flags = int.from_bytes(raw[c + 1 : c + 4], "big")
+        if kind == b"tfhd":
+            track, at = struct.unpack_from(">I", raw, c + 4)[0], c + 8
+            if flags & 1:
+                base, at = struct.unpack_from(">Q", raw, at)[0], at + 8
+            at += 4 if flags & 2 else 0
+            for i, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    standard[i], at = struct.unpack_from(">I", raw, at)[0], at + 4
+        elif kind == b"tfdt":
+            dts = struct.unpack_from(">Q" if raw[c] else ">I", raw, c + 4)[0]
+        elif kind == b"trun" and track in known:
+            count, at, place, first = struct.unpack_from(">I", raw, c + 4)[0], c + 8, base, None
+            if flags & 1:
+                place, at = base + struct.unpack_from(">i", raw, at)[0], at + 4
+            if flags & 4:
+                first, at = struct.unpack_from(">I", raw, at)[0], at + 4
+            for i in range(count):
+                own, shift = list(standard), 0
+                for j, bit in enumerate((0x100, 0x200, 0x400)):
+                    if flags & bit:
+                        own[j], at = struct.unpack_from(">I", raw, at)[0], at + 4
+                if flags & 0x800:
+                    shift, at = struct.unpack_from(">i" if raw[c] else ">I", raw, at)[0], at + 4
+                if i == 0 and first is not None:
+                    own[2] = first
+                number, codec, scale = known[track]
+                yield number, codec, scale, dts + shift, dts, not own[2] & 0x10000, 0, raw[place : place + own[1]]
+                dts, place = dts + own[0], place + own[1]
+
+
 def read_packets(raw: bytes) -> list[tuple]:
     """All packets of a file, by its magic bytes."""
     if raw[:3] == b"FLV":
@@ -344,9 +490,13 @@ def read_packets(raw: bytes) -> list[tuple]:
     if raw[:4] == b"\x1a\x45\xdf\xa3":
         head, at = element_size(raw, 4)
         return list(matroska_packets(raw[at + (head or 0) :]))
+    if raw[:4] == b"RIFF" and raw[8:12] == b"AVI ":
+        return list(avi_packets(raw))
+    if raw[4:8] == b"ftyp" and find_box(raw, "moof"):
+        return list(fragment_packets(raw))
     if raw[4:8] == b"ftyp":
         return list(mp4_packets(raw))
-    raise ValueError("neither FLV, Ogg, Matroska nor MP4")
+    raise ValueError("neither FLV, Ogg, Matroska, AVI nor MP4")
 
 
 def packets(files: DataFrame) -> DataFrame:

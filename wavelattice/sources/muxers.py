@@ -1,4 +1,4 @@
-"""Containers written from packets: MP4 with its sample tables, MPEG-TS segments, RTMP chunks.
+"""Containers written from packets: MP4 whole and in fragments, Matroska, AVI, MPEG-TS segments, RTMP chunks.
 
 ``write_files`` makes one file for each source of a packet table; a task holds
 the packets of the source it writes.
@@ -70,6 +70,129 @@ def mp4(tracks: list[dict]) -> bytes:
     return head + index(len(head) + len(index(0)) + 8) + box(b"mdat", data)
 
 
+# Fragmented MP4
+def fmp4_init(tracks: list[dict]) -> bytes:
+    """The segment that describes tracks (codec, timescale), without samples."""
+    out, extends = full_box(b"mvhd", _ints(0, 0, 1000, 0, 0x10000), bytes(76), _ints(len(tracks) + 1)), b""
+    for n, t in enumerate(tracks, 1):
+        empty = [full_box(k, _ints(0)) for k in (b"stts", b"stsc", b"stco")] + [full_box(b"stsz", _ints(0, 0))]
+        table = box(b"stbl", full_box(b"stsd", _ints(1), box(t["codec"].encode(), bytes(8))), *empty)
+        media = box(b"mdia", full_box(b"mdhd", _ints(0, 0, t["timescale"], 0, 0x55C40000)), box(b"minf", table))
+        out += box(b"trak", full_box(b"tkhd", _ints(0, 0, n, 0, 0), bytes(60)), media)
+        extends += full_box(b"trex", _ints(n, 1, 0, 0, 0))
+    return box(b"ftyp", b"iso5", bytes(4), b"iso5iso6mp41") + box(b"moov", out, box(b"mvex", extends))
+
+
+def sample_durations(dts: list[int], next_dts: int | None = None) -> list[int]:
+    """Each sample lasts until the next one's decode time; the last as long as the one before it where nothing follows."""
+    steps = [b - a for a, b in zip(dts, dts[1:], strict=False)]
+    last = next_dts - dts[-1] if next_dts is not None else steps[-1] if steps else 1
+    return [*steps, last]
+
+
+def fmp4_segment(sequence: int, tracks: list[tuple[int, list[tuple[int, int, bool, bytes]], int | None]]) -> bytes:
+    """One movie fragment of (track number from 1, packets of (pts, dts, is_keyframe, payload), next dts)."""
+
+    def head(start: int) -> bytes:
+        parts, at = full_box(b"mfhd", _ints(sequence)), start
+        for number, packets, after in tracks:
+            rows = b""
+            for (pts, dts, key, payload), length in zip(packets, sample_durations([p[1] for p in packets], after), strict=True):
+                rows += struct.pack(">IIIi", length, len(payload), 0x02000000 if key else 0x01010000, pts - dts)
+            run = box(b"trun", b"\x01\0\x0f\x01", struct.pack(">Ii", len(packets), at), rows)
+            at += sum(len(p[3]) for p in packets)
+            parts += box(b"traf", box(b"tfhd", b"\0\x02\0\0", _ints(number)), box(b"tfdt", b"\x01\0\0\0", struct.pack(">Q", packets[0][1])), run)
+        return box(b"moof", parts)
+
+    tracks = [t for t in tracks if t[1]]
+    return head(len(head(0)) + 8) + box(b"mdat", *(p[3] for _, packets, _ in tracks for p in packets))
+
+
+# Matroska
+def _size(n: int, width: int | None = None) -> bytes:
+    width = width or next(w for w in range(1, 9) if n < (1 << 7 * w) - 1)
+    return (1 << 7 * width | n).to_bytes(width, "big")
+
+
+def element(ident: int, *parts: bytes | int | float | str) -> bytes:
+    """An element of bytes, unsigned numbers, floats or text."""
+    body = b""
+    for p in parts:
+        if isinstance(p, int):
+            p = p.to_bytes(max(1, (p.bit_length() + 7) // 8), "big")
+        elif isinstance(p, float):
+            p = struct.pack(">d", p)
+        body += p.encode() if isinstance(p, str) else p
+    return ident.to_bytes((ident.bit_length() + 7) // 8, "big") + _size(len(body)) + body
+
+
+# Codec ids, and the span that a block's 16-bit time allows in a cluster.
+MATROSKA_CODECS = {"h264": "V_MPEG4/ISO/AVC", "h265": "V_MPEGH/ISO/HEVC", "aac": "A_AAC", "opus": "A_OPUS", "mp3": "A_MPEG/L3"}
+CLUSTER_MS = 30_000
+
+
+def matroska(tracks: dict[int, str], packets: list[tuple[int, int, bool, bytes]], seekable: bool = True) -> bytes:
+    """A file of tracks (number: codec) and packets (track, pts in ms, is_keyframe, payload) in their order.
+
+    A cluster ends after CLUSTER_MS, or where a time would lie too far from its
+    start. With cues for key packets and known sizes if seekable, else as a
+    live stream: unknown sizes, no cues.
+    """
+    entries = b""
+    for number, codec in tracks.items():
+        video = codec in ("h264", "h265")
+        detail = element(0xE0, element(0xB0, 16), element(0xBA, 16)) if video else element(0xE1, element(0xB5, 48000.0), element(0x9F, 2))
+        entries += element(0xAE, element(0xD7, number), element(0x73C5, number), element(0x83, 1 if video else 2), element(0x86, MATROSKA_CODECS[codec]), detail)
+    end = max((p[1] for p in packets), default=0)
+    info = element(0x1549A966, element(0x2AD7B1, 1_000_000), element(0x4D80, "muxer"), element(0x5741, "muxer"), *([element(0x4489, float(end))] if seekable else []))
+    body, cues = info + element(0x1654AE6B, entries), b""
+    groups: list[tuple[int, list]] = []
+    for p in packets:
+        if not groups or not -32768 <= p[1] - groups[-1][0] <= CLUSTER_MS:
+            groups.append((max(p[1], 0), []))
+        groups[-1][1].append(p)
+    for start, own in groups:
+        at, blocks = len(body), b""
+        for track, pts, key, payload in own:
+            if key and track == next(iter(tracks)):
+                cues += element(0xBB, element(0xB3, max(pts, 0)), element(0xB7, element(0xF7, track), element(0xF1, at)))
+            blocks += element(0xA3, _size(track) + struct.pack(">hB", pts - start, 0x80 if key else 0), payload)
+        cluster = element(0xE7, start) + blocks
+        body += element(0x1F43B675, cluster) if seekable else b"\x1f\x43\xb6\x75\x01" + b"\xff" * 7 + cluster
+    if seekable and cues:
+        body += element(0x1C53BB6B, cues)
+    head = element(0x1A45DFA3, element(0x4286, 1), element(0x42F7, 1), element(0x42F2, 4), element(0x42F3, 8), element(0x4282, "matroska"), element(0x4287, 4), element(0x4285, 2))
+    return head + b"\x18\x53\x80\x67" + (_size(len(body), 8) if seekable else b"\x01" + b"\xff" * 7) + body
+
+
+# AVI
+def _riff_chunk(name: bytes, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+
+
+# What a stream's header says of a codec.
+AVI_HANDLERS = {"h264": (b"vids", b"H264", 0), "mp3": (b"auds", bytes(4), 0x55), "aac": (b"auds", bytes(4), 0xFF)}
+
+
+def avi(streams: list[tuple[str, int, int]], packets: list[tuple[int, bool, bytes]]) -> bytes:
+    """A file of streams (codec, rate, scale; a packet lasts scale / rate seconds) and packets (stream, is_keyframe, payload) with an index."""
+    counts = [sum(p[0] == i for p in packets) for i in range(len(streams))]
+    listed = b""
+    for (codec, rate, scale), n in zip(streams, counts, strict=True):
+        kind, handler, tag = AVI_HANDLERS[codec]
+        head = kind + handler + struct.pack("<IHHIIIIIIIIHHHH", 0, 0, 0, 0, scale, rate, 0, n, 0, 0xFFFFFFFF, 0, 0, 0, 0, 0)
+        form = struct.pack("<IiiHH4sIiiII", 40, 16, 16, 1, 24, handler, 0, 0, 0, 0, 0) if kind == b"vids" else struct.pack("<HHIIHHH", tag, 2, 48000, 16000, 1, 0, 0)
+        listed += _riff_chunk(b"LIST", b"strl", _riff_chunk(b"strh", head), _riff_chunk(b"strf", form))
+    main = struct.pack("<10I4I", streams[0][2] * 1_000_000 // streams[0][1], 0, 0, 0x10, counts[0], 0, len(streams), 0, 16, 16, 0, 0, 0, 0)
+    data, index = b"movi", b""
+    for stream, key, payload in packets:
+        name = b"%02d" % stream + (b"dc" if AVI_HANDLERS[streams[stream][0]][0] == b"vids" else b"wb")
+        index += name + struct.pack("<III", 0x10 if key else 0, len(data), len(payload))
+        data += _riff_chunk(name, payload)
+    return _riff_chunk(b"RIFF", b"AVI ", _riff_chunk(b"LIST", b"hdrl", _riff_chunk(b"avih", main), listed), _riff_chunk(b"LIST", data), _riff_chunk(b"idx1", index))
+
+
 def _ts_packets(pid: int, payload: bytes, counter: dict[int, int], pcr: int | None = None) -> bytes:
     """188-byte packets of one unit."""
     out, first = b"", True

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 
 from wavelattice.sources import adpcm, g711
+from wavelattice.sources.sniff import id3v2, id3v2_bytes
 
 BLOCK_FRAMES = 4096
+WHOLE = ("ima", "ms", "yamaha", "ima4")  # formats whose frames depend on those before
 SCHEMA = "clip_id string, channels int, sample_rate int, bits int, block_no long, start_frame long, pcm array<int>"
 
 
@@ -32,7 +34,7 @@ SCHEMA = "clip_id string, channels int, sample_rate int, bits int, block_no long
 class Layout:
     """Where a file's samples lie and how they are coded."""
 
-    kind: str  # s, u, f, alaw, mulaw, ima, ms, yamaha
+    kind: str  # s, u, f, alaw, mulaw, ima, ms, yamaha, ima4
     big_endian: bool
     channels: int
     rate: int
@@ -43,6 +45,7 @@ class Layout:
     block_frames: int = 0
     total: int = -1
     tags: tuple = ()
+    coefficients: tuple = ()
 
     @property
     def width(self) -> int:
@@ -50,6 +53,8 @@ class Layout:
 
     @property
     def frames(self) -> int:
+        if self.kind == "ima4":
+            return self.size // (adpcm.IMA4_BYTES * self.channels) * adpcm.IMA4_FRAMES
         if self.kind in ("ima", "ms"):
             whole = -(-self.size // self.block) * self.block_frames
             return min(whole, self.total) if self.total >= 0 else whole
@@ -59,7 +64,7 @@ class Layout:
 
     @property
     def out_bits(self) -> int:
-        return {"f": 32, "u": 8}.get(self.kind, 16 if self.kind in ("alaw", "mulaw", "ima", "ms", "yamaha") else self.bits)
+        return {"f": 32, "u": 8}.get(self.kind, 16 if self.kind in ("alaw", "mulaw", *WHOLE) else self.bits)
 
 
 def _chunks(f, start: int, end: int, order: str) -> Iterator[tuple[bytes, int, int]]:
@@ -95,7 +100,10 @@ def _wav(f, end: int) -> Layout:
     if tag not in kinds:
         raise ValueError(f"format tag {tag} is not supported")
     per_block = struct.unpack("<H", fmt[18:20])[0] if tag in (2, 0x11) and len(fmt) >= 20 else 0
-    return Layout(kinds[tag], False, channels, rate, bits, data[0], data[1], align, per_block, total, tuple(tags))
+    pairs = ()
+    if tag == 2 and len(fmt) >= 22:
+        pairs = tuple(struct.iter_unpack("<hh", fmt[22 : 22 + 4 * min(struct.unpack_from("<H", fmt, 20)[0], (len(fmt) - 22) // 4)]))
+    return Layout(kinds[tag], False, channels, rate, bits, data[0], data[1], align, per_block, total, tuple(tags), pairs)
 
 
 def _au(f, end: int) -> Layout:
@@ -134,11 +142,13 @@ def _aiff(f, end: int) -> Layout:
             data = at + 8 + skip, size - 8 - skip
         elif name in (b"NAME", b"AUTH", b"(c) ", b"ANNO"):
             tags.append((name.decode().strip(), f.read(size).rstrip(b"\0").decode("utf-8", "replace")))
+        elif name == b"ID3 ":
+            tags += id3v2(f.read(size)).items()
     if common is None or data is None:
         raise ValueError("no COMM or SSND chunk")
     channels, _, bits = struct.unpack(">HIH", common[:8])
     form = common[18:22] if compressed else b"NONE"
-    kinds = {b"NONE": ("s", True, bits), b"twos": ("s", True, bits), b"sowt": ("s", False, bits), b"fl32": ("f", True, 32), b"FL32": ("f", True, 32), b"fl64": ("f", True, 64), b"alaw": ("alaw", True, 8), b"ulaw": ("mulaw", True, 8)}
+    kinds = {b"NONE": ("s", True, bits), b"twos": ("s", True, bits), b"sowt": ("s", False, bits), b"fl32": ("f", True, 32), b"FL32": ("f", True, 32), b"fl64": ("f", True, 64), b"alaw": ("alaw", True, 8), b"ulaw": ("mulaw", True, 8), b"ima4": ("ima4", True, 8)}
     if form not in kinds:
         raise ValueError(f"compression {form!r} is not supported")
     kind, big, width = kinds[form]
@@ -170,7 +180,7 @@ def decode(raw: bytes, x: Layout) -> np.ndarray:
     elif x.kind == "f":
         v = np.nan_to_num(np.frombuffer(raw, f"{order}f{x.bits // 8}").astype(np.float64), nan=0.0, posinf=1.0, neginf=-1.0)
         out = np.trunc(np.clip(v, -1, 1) * 2147483647.0).astype(np.int32)
-    elif x.kind in ("ima", "ms", "yamaha"):
+    elif x.kind in WHOLE:
         return adpcm.decode(raw, x.kind, x.channels, x.block, x.block_frames)
     elif x.bits == 24:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3)[:, :: -1 if x.big_endian else 1].astype(np.int32)
@@ -200,7 +210,7 @@ class PcmReader(DataSourceReader):
         for path in self.paths:
             with open(path, "rb") as f:
                 x = layout(f)
-            if x.kind in ("ima", "ms", "yamaha"):
+            if x.kind in WHOLE:
                 out.append(_Part(path, 0, x.frames))
             else:
                 out += [_Part(path, a, min(self.per_part, x.frames - a)) for a in range(0, x.frames, self.per_part)]
@@ -212,7 +222,7 @@ class PcmReader(DataSourceReader):
         with open(part.path, "rb") as f:
             x = layout(f)
             name = os.path.basename(part.path)
-            if x.kind in ("ima", "ms", "yamaha"):
+            if x.kind in WHOLE:
                 f.seek(x.start)
                 samples = decode(f.read(x.size), x)[: x.frames]
                 source = lambda a, n: samples[a : a + n]
@@ -274,36 +284,87 @@ class PcmSource(DataSource):
         return PcmWriter(self.options["path"].removeprefix("file://"))
 
 
-def wav_bytes(pcm: np.ndarray, channels: int, rate: int, bits: int, tag: int = 1) -> bytes:
-    """A WAV file of interleaved samples; tag 3 takes floats, 6 and 7 code 16-bit samples by G.711."""
-    if tag == 3:
-        data, bits = np.asarray(pcm, "<f4").tobytes(), 32
-    elif tag in (6, 7):
-        data, bits = g711.encode(np.asarray(pcm), tag == 6).tobytes(), 8
-    elif bits == 8:
-        data = (np.asarray(pcm) + 128).astype(np.uint8).tobytes()
-    elif bits == 24:
-        data = np.asarray(pcm, "<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _signed(pcm: np.ndarray, bits: int, order: str) -> bytes:
+    """Samples in whole bytes."""
+    if bits == 24:
+        cut = slice(1, 4) if order == ">" else slice(0, 3)
+        return np.asarray(pcm, f"{order}i4").view(np.uint8).reshape(-1, 4)[:, cut].tobytes()
+    return np.asarray(pcm).astype(f"{order}i{bits // 8}").tobytes()
+
+
+# Format tags of the coded forms of WAV.
+WAV_TAGS = {"ima": 0x11, "ms": 2, "yamaha": 0x20}
+
+
+def info_list(tags: dict[str, str]) -> bytes:
+    """A LIST chunk of INFO entries by their four-letter ids; empty without tags."""
+    entries = b""
+    for key, value in tags.items():
+        text = value.encode() + b"\0"
+        entries += struct.pack("<4sI", key.encode("latin-1"), len(text)) + text + b"\0" * (len(text) & 1)
+    return struct.pack("<4sI", b"LIST", len(entries) + 4) + b"INFO" + entries if tags else b""
+
+
+def wav_bytes(pcm: np.ndarray, channels: int, rate: int, bits: int, tag: int = 1, tags: dict[str, str] | None = None) -> bytes:
+    """A WAV file of interleaved samples; tag 3 takes floats, 6 and 7 code 16-bit samples by G.711, 2, 0x11 and 0x20 by ADPCM."""
+    extra, fact, frames = b"", b"", len(pcm) // channels
+    if tag in WAV_TAGS.values():
+        kind = next(k for k, t in WAV_TAGS.items() if t == tag)
+        rows = np.asarray(pcm).reshape(-1, channels)
+        data, bits, width = adpcm.encode(rows, kind), 4, 4 if kind == "yamaha" else adpcm.BLOCK_BYTES
+        per = 0 if kind == "yamaha" else adpcm.frames_per_block(kind, channels)
+        extra = struct.pack("<H", per) if per else b""
+        if kind == "ms":
+            extra += struct.pack("<H", len(adpcm.MS_COEFFICIENTS)) + b"".join(struct.pack("<hh", *p) for p in adpcm.MS_COEFFICIENTS)
+        extra = struct.pack("<H", len(extra)) + extra
+        fact, speed = struct.pack("<4sII", b"fact", 4, frames), rate * width // per if per else rate * channels // 2
     else:
-        data = np.asarray(pcm).astype(f"<i{bits // 8}").tobytes()
-    width = channels * bits // 8
-    head = struct.pack("<4sIHHIIHH", b"fmt ", 16, tag, channels, rate, rate * width, width, bits)
-    body = b"WAVE" + head + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+        if tag == 3:
+            data, bits = np.asarray(pcm, "<f4").tobytes(), 32
+        elif tag in (6, 7):
+            data, bits = g711.encode(np.asarray(pcm), tag == 6).tobytes(), 8
+        elif bits == 8:
+            data = (np.asarray(pcm) + 128).astype(np.uint8).tobytes()
+        else:
+            data = _signed(pcm, bits, "<")
+        width = channels * bits // 8
+        speed = rate * width
+    head = struct.pack("<4sIHHIIHH", b"fmt ", 16 + len(extra), tag, channels, rate, speed, width, bits) + extra
+    body = b"WAVE" + head + fact + info_list(tags or {}) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def au_bytes(pcm: np.ndarray, channels: int, rate: int, bits: int, note: str = "") -> bytes:
-    """An AU file of big-endian samples with an annotation."""
+def au_bytes(pcm: np.ndarray, channels: int, rate: int, bits: int, note: str = "", form: str = "s") -> bytes:
+    """An AU file of big-endian integers, floats (f) or G.711 codes (alaw, mulaw) with an annotation."""
     text = note.encode() + b"\0" * (8 - len(note.encode()) % 8)
-    data = np.asarray(pcm, ">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() if bits == 24 else np.asarray(pcm).astype(f">i{bits // 8}").tobytes()
-    return struct.pack(">4s5I", b".snd", 24 + len(text), len(data), {8: 2, 16: 3, 24: 4, 32: 5}[bits], rate, channels) + text + data
-
-
-def aiff_bytes(pcm: np.ndarray, channels: int, rate: int, bits: int) -> bytes:
-    data = np.asarray(pcm, ">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() if bits == 24 else np.asarray(pcm).astype(f">i{bits // 8}").tobytes()
-    common = struct.pack(">HIH", channels, len(pcm) // channels, bits) + to_extended(float(rate))
+    if form == "f":
+        data, code = np.asarray(pcm, ">f4").tobytes(), 6
+    elif form in ("alaw", "mulaw"):
+        data, code = g711.encode(np.asarray(pcm), form == "alaw").tobytes(), 27 if form == "alaw" else 1
+    else:
+        data, code = _signed(pcm, bits, ">"), {8: 2, 16: 3, 24: 4, 32: 5}[bits]
+    return struct.pack(">4s5I", b".snd", 24 + len(text), len(data), code, rate, channels) + text + data
+
+
+def aiff_bytes(pcm: np.ndarray, channels: int, rate: int, bits: int, form: str = "NONE", tags: dict[str, str] | None = None) -> bytes:
+    """An AIFF file, or AIFC where a form is named: sowt, fl32, alaw, ulaw or ima4; tags as an ID3 chunk."""
+    frames = len(pcm) // channels
+    if form in ("alaw", "ulaw"):
+        data, bits = g711.encode(np.asarray(pcm), form == "alaw").tobytes(), 16
+    elif form == "fl32":
+        data, bits = np.asarray(pcm, ">f4").tobytes(), 32
+    elif form == "ima4":
+        data, bits = adpcm.ima4_encode(np.asarray(pcm).reshape(-1, channels)), 4
+        frames = len(data) // (adpcm.IMA4_BYTES * channels)
+    else:
+        data = _signed(pcm, bits, "<" if form == "sowt" else ">")
+    common = struct.pack(">HIH", channels, frames, bits) + to_extended(float(rate))
+    if form != "NONE":
+        common += form.encode() + b"\0\0"
     sound = struct.pack(">II", 0, 0) + data
-    body = b"AIFF" + struct.pack(">4sI", b"COMM", len(common)) + common + struct.pack(">4sI", b"SSND", len(sound)) + sound + b"\0" * (len(sound) & 1)
+    chunks = [(b"COMM", common), (b"SSND", sound)] + ([(b"ID3 ", id3v2_bytes(tags))] if tags else [])
+    body = b"AIFF" if form == "NONE" else b"AIFC" + struct.pack(">4sII", b"FVER", 4, 0xA2805140)
+    body += b"".join(struct.pack(">4sI", n, len(c)) + c + b"\0" * (len(c) & 1) for n, c in chunks)
     return b"FORM" + struct.pack(">I", len(body)) + body
 
 
