@@ -108,7 +108,7 @@ def active_intervals(points: DataFrame, intervals: DataFrame, bucket: int, keep:
 
 def keyframe_seek(packets: DataFrame, targets: DataFrame) -> DataFrame:
     """For each track's target the last key packet at or before it, else the first packet."""
-    both = packets.join(F.broadcast(targets), "track_id")
+    both = packets.join(targets, "track_id")
     before = F.max(F.when(F.col("is_keyframe") & (F.col("pts") <= F.col("target")), F.col("pts")))
     return both.groupBy("track_id", "target").agg(F.coalesce(before, F.min("pts")).alias("start_pts"))
 

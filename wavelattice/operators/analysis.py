@@ -31,6 +31,11 @@ def levels(samples: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def max_absolute(samples: DataFrame, bits: int) -> DataFrame:
+    """Largest absolute sample of each clip, and how many lie beyond full scale."""
+    return samples.groupBy("clip_id").agg(F.max(_size()).alias("peak"), F.count_if(_size() > native_range(bits)[1]).alias("n_clipped"))
+
+
 def waveform(samples: DataFrame, bits: int, windows: int = 200) -> DataFrame:
     """Peak of each window of max(1, frames div windows) frames; the tail counts as one."""
     frames = samples.groupBy("clip_id").agg((F.max("frame") + 1).alias("n"))

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wavelattice.operators.pointwise import conversion_matrix
+
 
 def planes(row) -> list[np.ndarray]:
     w, h = int(row.width), int(row.height)
@@ -131,3 +133,101 @@ def fade(frames: DataFrame, start: int, length: int, out: bool, colour: tuple[in
         return [(c.astype(np.int64) * (256 - w) + k * w + 128 >> 8).astype(np.uint8) for c, k in zip(p, colour, strict=True)]
 
     return apply(frames, one)
+
+
+def pixels(frames: DataFrame, plane: str = "y") -> DataFrame:
+    """One row (frame_no, x, y, value) for each pixel of a plane."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                c = planes(row)["yuv".index(plane)]
+                y, x = np.indices(c.shape, np.int32)
+                yield pd.DataFrame({"frame_no": row.frame_no, "x": x.reshape(-1), "y": y.reshape(-1), "value": c.reshape(-1).astype(np.int32)})
+
+    return frames.mapInPandas(run, "frame_no long, x int, y int, value int")
+
+
+def _byte(x: np.ndarray) -> np.ndarray:
+    """Rounded half away from zero, within a byte."""
+    return np.clip(np.floor(np.abs(x) + 0.5) * np.sign(x), 0, 255).astype(np.uint8)
+
+
+def _spread(c: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """A chroma plane at the size of the luma plane, each value over its 2 by 2 pixels."""
+    return np.repeat(np.repeat(c, 2, axis=0), 2, axis=1)[: shape[0], : shape[1]]
+
+
+def _cell_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the 2 by 2 cells of a plane, whose last row and column may be single."""
+    h, w = x.shape
+    even = np.pad(x, ((0, h % 2), (0, w % 2)))
+    return even.reshape((h + 1) // 2, 2, (w + 1) // 2, 2).sum(axis=(1, 3))
+
+
+def colour_convert(frames: DataFrame, source: tuple[str, bool], target: tuple[str, bool]) -> DataFrame:
+    """Frames from one (matrix, full range) to another; chroma is converted with the mean luma of its pixels."""
+    m = conversion_matrix(source[0], target[0])
+    luma_in, zero_in, chroma_in = (255.0, 0, 255.0) if source[1] else (219.0, 16, 224.0)
+    luma_out, zero_out, chroma_out = (255.0, 0, 255.0) if target[1] else (219.0, 16, 224.0)
+
+    def one(p: list[np.ndarray], _) -> list[np.ndarray]:
+        y, u, v = (c.astype(np.int64) for c in p)
+        cb, cr = (u - 128) / chroma_in, (v - 128) / chroma_in
+        full = [(y - zero_in) / luma_in, _spread(cb, y.shape), _spread(cr, y.shape)]
+        count = _cell_sums(np.ones_like(y))
+        mean = ((_cell_sums(y) + count // 2) // count - zero_in) / luma_in
+        out = [_byte(zero_out + luma_out * (m[0][0] * full[0] + m[0][1] * full[1] + m[0][2] * full[2]))]
+        return out + [_byte(128 + chroma_out * (m[k][0] * mean + m[k][1] * cb + m[k][2] * cr)) for k in (1, 2)]
+
+    return frames if source == target else apply(frames, one)
+
+
+def composite(p: list[np.ndarray], x: int, y: int, layer: list[np.ndarray], alpha: np.ndarray) -> list[np.ndarray]:
+    """Planes with a layer (y, u and v for each of its pixels) laid over them at a corner; chroma is weighted over its pixels."""
+    h, w = p[0].shape
+    top, left, bottom, right = max(y, 0), max(x, 0), min(y + alpha.shape[0], h), min(x + alpha.shape[1], w)
+    if top >= bottom or left >= right:
+        return p
+    cut = (slice(top - y, bottom - y), slice(left - x, right - x))
+    place = (slice(top, bottom), slice(left, right))
+    a = np.zeros((h, w), np.int64)
+    a[place] = alpha[cut]
+    out = []
+    for k, c in enumerate(p):
+        own = np.zeros((h, w), np.int64)
+        own[place] = layer[k][cut]
+        if k == 0:
+            out.append(((c.astype(np.int64) * (255 - a) + own * a + 127) // 255).astype(np.uint8))
+            continue
+        weight, total = 255 * _cell_sums(np.ones((h, w), np.int64)), _cell_sums(a)
+        mixed = (c.astype(np.int64) * (weight - total) + _cell_sums(own * a) + weight // 2) // weight
+        out.append(np.where(total > 0, mixed, c).astype(np.uint8))
+    return out
+
+
+def blend_mask(frames: DataFrame, mask: np.ndarray, x: int, y: int, colour: tuple[int, int, int], alpha: int = 255) -> DataFrame:
+    """A colour (y, u, v) laid over frames where a coverage mask says so."""
+    cover = (mask.astype(np.int64) * alpha + 127) // 255
+    layer = [np.full(mask.shape, c, np.int64) for c in colour]
+    return frames if alpha == 0 or not mask.size else apply(frames, lambda p, _: composite(p, x, y, layer, cover))
+
+
+def fill_rectangle(frames: DataFrame, x: int, y: int, width: int, height: int, colour: tuple[int, int, int], alpha: int = 255, start: int | None = None, end: int | None = None) -> DataFrame:
+    """A box of one colour laid over frames, from ``start`` to ``end`` of ts_ticks where given."""
+    if width <= 0 or height <= 0 or not alpha:
+        return frames
+    layer, cover = [np.full((height, width), c, np.int64) for c in colour], np.full((height, width), alpha, np.int64)
+
+    def one(p: list[np.ndarray], row) -> list[np.ndarray]:
+        late = start is not None and row.ts_ticks < start or end is not None and row.ts_ticks >= end
+        return p if late else composite(p, x, y, layer, cover)
+
+    return apply(frames, one)
+
+
+def pipeline(frames: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Frames through transforms, one after the other."""
+    for step in steps:
+        frames = step(frames)
+    return frames

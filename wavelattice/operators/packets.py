@@ -347,7 +347,7 @@ def timeline(scenes: DataFrame, rate_num: int, rate_den: int, ticks_per_s: int)
 
 def first_at_or_after(frames: DataFrame, targets: DataFrame) -> DataFrame:
     """For each clip's target time the first frame at or after it, else its last frame."""
-    both = frames.join(F.broadcast(targets), "clip_id")
+    both = frames.join(targets, "clip_id")
     after = F.min_by("frame_no", F.when(F.col("ts") >= F.col("target"), F.col("ts")))
     return both.groupBy("clip_id", "target").agg(F.coalesce(after, F.max_by("frame_no", "ts")).alias("frame_no"))
 
@@ -366,3 +366,13 @@ def from_frames(frames: DataFrame, rate: int, timescale: int) -> DataFrame:
     before = F.coalesce(F.sum("sample_count").over(w), F.lit(0))
     pts = rescale(before, rate, timescale)
     return frames.withColumn("pts", pts).withColumn("dts", F.col("pts")).withColumn("is_keyframe", F.lit(True))
+
+
+def find_track(packets: DataFrame, tracks: DataFrame, key: str = "track_id") -> DataFrame:
+    """Packets with the description of their track; a packet of an unknown track is left out."""
+    return packets.join(tracks, key)
+
+
+def file_fields(packets: DataFrame) -> DataFrame:
+    """Packets, key packets and presentation end of each track."""
+    return packets.groupBy("source_id", "track_id").agg(F.count("*").alias("n_packets"), F.count_if("is_keyframe").alias("n_keyframes"), F.max(F.col("pts") + F.col("duration")).alias("end"))

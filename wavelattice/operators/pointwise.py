@@ -146,7 +146,7 @@ def mulaw_expand(code: Column) -> Column:
 
 def rgb_to_ycbcr(r: Column, g: Column, b: Column, matrix: str = "bt601", full: bool = False) -> list[Column]:
     """Y, Cb and Cr of 8-bit RGB, rounded half away from zero and clamped."""
-    kr, kb = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722)}[matrix]
+    kr, kb = LUMA[matrix]
     r, g, b = (c.cast("double") / 255.0 for c in (r, g, b))
     y = kr * r + (1 - kr - kb) * g + kb * b
     cb, cr = (b - y) / (2 * (1 - kb)), (r - y) / (2 * (1 - kr))
@@ -155,7 +155,7 @@ def rgb_to_ycbcr(r: Column, g: Column, b: Column, matrix: str = "bt601", full: b
 
 
 def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, matrix: str = "bt601", full: bool = False) -> list[Column]:
-    kr, kb = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722)}[matrix]
+    kr, kb = LUMA[matrix]
     luma = y.cast("double") / 255.0 if full else (y.cast("double") - 16) / 219.0
     scale = 255.0 if full else 224.0
     b = luma + (cb.cast("double") - 128) / scale * (2 * (1 - kb))
@@ -164,6 +164,27 @@ def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, matrix: str = "bt601", full:
     return [F.greatest(F.least(F.round(c * 255.0, 0), F.lit(255.0)), F.lit(0.0)).cast("int") for c in (r, g, b)]
 
 
+# Weights of red and blue in luma.
+LUMA = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722)}
+
+
+def conversion_matrix(source: str, target: str) -> list[list[float]]:
+    """The 3 by 3 matrix from luma, blue and red difference (unscaled) of one standard to another's."""
+    (kr, kb), (to_r, to_b) = LUMA[source], LUMA[target]
+    columns = []
+    for luma, cb, cr in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)):
+        r, b = luma + 2 * (1 - kr) * cr, luma + 2 * (1 - kb) * cb
+        g = (luma - kr * r - kb * b) / (1 - kr - kb)
+        y = to_r * r + (1 - to_r - to_b) * g + to_b * b
+        columns.append((y, (b - y) / (2 * (1 - to_b)), (r - y) / (2 * (1 - to_r))))
+    return [list(row) for row in zip(*columns, strict=True)]
+
+
+def convert_matrix(y: Column, cb: Column, cr: Column, source: str, target: str) -> list[Column]:
+    """Unscaled luma and colour differences in another standard's matrix."""
+    return [y * row[0] + cb * row[1] + cr * row[2] for row in conversion_matrix(source, target)]
+
+
 def plain_subtitle(text: Column) -> Column:
     """Subtitle text without override tags, its escapes resolved."""
     out = F.regexp_replace(text, r"\{[^}]*\}", "")

@@ -6,6 +6,7 @@ and all operators of a chain reuse that order.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelattice.operators.format import native_range
 from wavelattice.operators.pointwise import rounded, truncated
 
 
@@ -20,10 +22,19 @@ def by_clip(samples: DataFrame) -> Window:
     return Window.partitionBy(*[k for k in ("clip_id", "channel") if k in samples.columns]).orderBy("frame")
 
 
+SHORT_KERNEL = 32
+
+
 def fir(samples: DataFrame, taps: list[float], bits: int) -> DataFrame:
-    """Convolution with a short kernel, history zero; taps in order of their sum."""
+    """Convolution with a kernel, history zero, rounded half to even.
+
+    Kernels of up to SHORT_KERNEL taps are a sum of lags in the order of the
+    taps; longer ones are convolved clip by clip.
+    """
     if not taps:
         raise ValueError("a kernel needs a tap")
+    if len(taps) > SHORT_KERNEL:
+        return _long_fir(samples, np.asarray(taps, np.float64), bits)
     w = by_clip(samples)
     total = None
     for k, tap in enumerate(taps):
@@ -32,6 +43,20 @@ def fir(samples: DataFrame, taps: list[float], bits: int) -> DataFrame:
     return samples.withColumn("sample", rounded(total, bits))
 
 
+def _long_fir(samples: DataFrame, taps: np.ndarray, bits: int) -> DataFrame:
+    lo, hi = native_range(bits)
+    by = [k for k in ("clip_id", "channel") if k in samples.columns]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        y = np.convolve(pdf["sample"].to_numpy(np.float64), taps)[: len(pdf)]
+        pdf["sample"] = np.clip(np.rint(np.nan_to_num(y)), lo, hi).astype(np.int32)
+        return pdf
+
+    rows = samples.select(*by, "frame", "sample")
+    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+
+
 def sliding(samples: DataFrame, before: int, after: int, kind: str) -> DataFrame:
     """Smallest or largest sample from ``before`` frames back to ``after`` ahead."""
     if before < 0 or after < 0:
@@ -48,6 +73,7 @@ def echo_dry(samples: DataFrame, delay: int, wet: float, bits: int) -> DataFrame
     return samples.withColumn("sample", truncated(F.col("sample").cast("double") + late.cast("double") * wet, bits))
 
 
+@functools.lru_cache(maxsize=8)
 def kaiser_kernel(ratio: float, half_width: int = 32, phases: int = 1024) -> tuple[np.ndarray, int]:
     """Normalised rows of a windowed sinc for each phase, and its half width at this ratio."""
     cutoff = min(1.0, ratio)
@@ -119,17 +145,40 @@ def true_peak(samples: DataFrame, half_width: int = 24) -> DataFrame:
     return by_channel.applyInPandas(run, "clip_id string, peak_db double").groupBy("clip_id").agg(F.max("peak_db").alias("peak_db"))
 
 
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    """sum x[t] cos(pi / n (t + 1/2 + n/2)(k + 1/2)) over t, for the n first k, by one Fourier transform of 2n values."""
+    shift, t = 0.5 + n / 2, np.arange(2 * n)
+    spectrum = np.fft.fft(x * np.exp(-1j * np.pi * t / (2 * n)))[:n]
+    return (spectrum * np.exp(-1j * np.pi * shift * (np.arange(n) + 0.5) / n)).real
+
+
+def _unturned(c: np.ndarray, n: int) -> np.ndarray:
+    """sum c[k] cos(pi / n (t + 1/2 + n/2)(k + 1/2)) over k, for 2n t."""
+    shift, k = 0.5 + n / 2, np.arange(n)
+    spectrum = np.fft.fft(np.concatenate([c * np.exp(-1j * np.pi * shift * k / n), np.zeros(n)]))
+    return (spectrum * np.exp(-1j * np.pi * (np.arange(2 * n) + shift) / (2 * n))).real
+
+
 def mdct(clips: DataFrame, column: str) -> DataFrame:
-    """Forward MDCT of an array column of 2N values: N coefficients, by numpy's matrix product."""
+    """Forward MDCT of an array column of 2N values: N coefficients."""
 
     @F.pandas_udf("array<double>")
     def transform(s: pd.Series) -> pd.Series:
-        def one(v) -> list[float]:
-            x = np.asarray(v, np.float64)
-            n = len(x) // 2
-            k, t = np.arange(n)[:, None], np.arange(2 * n)[None, :]
-            return (np.cos(np.pi / n * (t + 0.5 + n / 2) * (k + 0.5)) @ x).tolist()
+        def one(v) -> np.ndarray:
+            if len(v) % 2:
+                raise ValueError("the number of values must be even")
+            return _turned(np.asarray(v, np.float64), len(v) // 2)
 
         return s.map(one)
 
     return clips.withColumn("mdct", transform(column))
+
+
+def imdct(clips: DataFrame, column: str) -> DataFrame:
+    """Inverse MDCT of an array column of N coefficients: 2N values, divided by N; overlapped halves add up to the input."""
+
+    @F.pandas_udf("array<double>")
+    def transform(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: _unturned(np.asarray(v, np.float64), len(v)) / max(len(v), 1))
+
+    return clips.withColumn("imdct", transform(column))

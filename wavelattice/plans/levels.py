@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wavelattice.operators import analysis
 from wavelattice.plans.registry import query
 from wavelattice.plans.tables import samples, samples_sql
 
@@ -12,13 +13,4 @@ from wavelattice.plans.tables import samples, samples_sql
     round(sqrt(sum(CAST(sample AS DOUBLE) * sample) / count(*)) / 32768, 6) AS rms FROM s GROUP BY clip_id""",
 )
 def probe_levels(spark, sf_dir):
-    x = F.col("sample").cast("double")
-    return (
-        samples(spark, sf_dir)
-        .groupBy("clip_id")
-        .agg(
-            F.count("*").alias("total_frames"),
-            (F.max(F.abs(F.col("sample").cast("long"))) / F.lit(32768.0)).alias("peak"),
-            F.round(F.sqrt(F.sum(x * x) / F.count("*")) / 32768, 6).alias("rms"),
-        )
-    )
+    return analysis.levels(samples(spark, sf_dir), 16).withColumn("rms", F.round("rms", 6))

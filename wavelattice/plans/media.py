@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wavelattice.operators import align, packets as pk
+from wavelattice.operators import align, analysis, packets as pk
 from wavelattice.operators import pointwise as pw
 from wavelattice.plans.registry import query
 from wavelattice.plans.streams import PR, _SEG, hls_segment
@@ -66,9 +66,10 @@ def master_playlist(spark, sf_dir):
     g AS (SELECT track_id, i, dts AS start FROM k WHERE i = 1 UNION ALL
       SELECT k.track_id, k.i, CASE WHEN k.dts - g.start >= 86400000000 THEN k.dts ELSE g.start END FROM g JOIN k ON k.track_id = g.track_id AND k.i = g.i + 1),
     c AS (SELECT track_id, start, count(*) AS n_samples FROM g GROUP BY ALL)
-    SELECT 'all' AS source_id, track_id, start, n_samples, CAST(row_number() OVER (ORDER BY start, track_id) - 1 AS BIGINT) AS position FROM c""")
+    SELECT CAST(track_id % 16 AS VARCHAR) AS source_id, track_id, start, n_samples, CAST(row_number() OVER (PARTITION BY track_id % 16 ORDER BY start, track_id) - 1 AS BIGINT) AS position FROM c""")
 def chunk_layout(spark, sf_dir):
-    return pk.chunk_layout(packets(spark, sf_dir), 86_400_000_000, ("dts", "event_id"))
+    p = packets(spark, sf_dir).withColumn("source_id", (F.col("track_id") % 16).cast("string"))
+    return pk.chunk_layout(p, 86_400_000_000, ("dts", "event_id"))
 
 
 @query("transport_order", f"""{P} SELECT event_id, dts // 3600000000 AS segment, CAST(row_number() OVER (PARTITION BY dts // 3600000000 ORDER BY dts, event_id) - 1 AS BIGINT) AS place FROM p""")
@@ -118,8 +119,7 @@ def silence(spark, sf_dir):
 
 @query("max_absolute", f"WITH {samples_sql()} SELECT clip_id, max(abs(CAST(sample AS BIGINT))) AS peak, count(*) FILTER (WHERE abs(sample) > 32767) AS n_clipped FROM s GROUP BY clip_id")
 def max_absolute(spark, sf_dir):
-    size = F.abs(F.col("sample").cast("long"))
-    return samples(spark, sf_dir).groupBy("clip_id").agg(F.max(size).alias("peak"), F.count_if(size > 32767).alias("n_clipped"))
+    return analysis.max_absolute(samples(spark, sf_dir), 16)
 
 
 # A plane of 40 columns from part, a smaller image from supplier.

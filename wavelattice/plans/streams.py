@@ -58,12 +58,12 @@ def packet_interleave(spark, sf_dir):
     return pk.interleaved(_two_tracks(spark, sf_dir), tracks).select("source_id", "turn", F.col("position").cast("long").alias("position"))
 
 
-@query("flv_unwrap", f"""{P}, r AS (SELECT event_id, dts, (dts * 41) % 4294967296 AS raw FROM p),
-    d AS (SELECT event_id, raw, lag(raw) OVER (ORDER BY dts, event_id) AS before, dts FROM r),
-    x AS (SELECT event_id, dts, coalesce(((raw - before + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, raw) AS d FROM d)
-    SELECT event_id, CAST(sum(d) OVER (ORDER BY dts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS time FROM x""")
+@query("flv_unwrap", f"""{P}, r AS (SELECT event_id, track_id, dts, (dts * 41) % 4294967296 AS raw FROM p),
+    d AS (SELECT event_id, track_id, raw, lag(raw) OVER (PARTITION BY track_id ORDER BY dts, event_id) AS before, dts FROM r),
+    x AS (SELECT event_id, track_id, dts, coalesce(((raw - before + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, raw) AS d FROM d)
+    SELECT event_id, CAST(sum(d) OVER (PARTITION BY track_id ORDER BY dts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS time FROM x""")
 def flv_unwrap(spark, sf_dir):
-    p = packets(spark, sf_dir).withColumn("raw", F.col("dts") * 41 % (1 << 32))
+    p = packets(spark, sf_dir).withColumn("source_id", F.col("track_id").cast("string")).withColumn("raw", F.col("dts") * 41 % (1 << 32))
     return pk.unwrap32(p, "raw", ["dts", "event_id"]).select("event_id", "time")
 
 
@@ -187,9 +187,9 @@ def order_validation(spark, sf_dir):
 
 @query("track_lookup", """SELECT n_nationkey AS track_id, n_name AS name, r_name AS kind FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def track_lookup(spark, sf_dir):
-    tracks = read(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("kind"))
-    n = read(spark, sf_dir, "nation")
-    return n.join(F.broadcast(tracks), n.n_regionkey == tracks.r_regionkey).select(F.col("n_nationkey").alias("track_id"), F.col("n_name").alias("name"), "kind")
+    tracks = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("kind"))
+    found = pk.find_track(read(spark, sf_dir, "nation"), tracks, "n_regionkey")
+    return found.select(F.col("n_nationkey").alias("track_id"), F.col("n_name").alias("name"), "kind")
 
 
 @query("codecs_string", """WITH k AS (SELECT DISTINCT n_regionkey AS source_id, CASE WHEN n_nationkey % 3 = 0 THEN 'avc1' ELSE 'mp4a' END AS codec FROM nation)
@@ -201,11 +201,11 @@ def codecs_string(spark, sf_dir):
     return pk.codecs_string(tracks)
 
 
-@query("sample_times", """WITH r AS (SELECT CAST(p_size AS INTEGER) AS track_id, p_partkey AS entry, p_partkey % 5 AS n_samples, p_partkey % 11 + 1 AS delta FROM part WHERE p_partkey < 500),
+@query("sample_times", """WITH r AS (SELECT CAST(p_size AS INTEGER) AS track_id, p_partkey AS entry, p_partkey % 5 AS n_samples, p_partkey % 11 + 1 AS delta FROM part),
     b AS (SELECT *, coalesce(sum(n_samples) OVER w, 0) AS s, coalesce(sum(n_samples * delta) OVER w, 0) AS t FROM r WINDOW w AS (PARTITION BY track_id ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT track_id, CAST(s + k AS BIGINT) AS sample_no, CAST(t + k * delta AS BIGINT) AS dts, delta AS duration FROM (SELECT *, unnest(range(n_samples)) AS k FROM b)""")
 def sample_times(spark, sf_dir):
-    runs = read(spark, sf_dir, "part").where("p_partkey < 500").select(
+    runs = read(spark, sf_dir, "part").select(
         F.col("p_size").alias("track_id"), F.col("p_partkey").alias("entry"), (F.col("p_partkey") % 5).alias("n_samples"), (F.col("p_partkey") % 11 + 1).alias("delta")
     )
     return pk.sample_times(runs)
