@@ -22,6 +22,13 @@ def cut(samples: DataFrame, start_s: int, end_s: int, rate: int) -> DataFrame:
     return samples.where((F.col("frame") >= first) & (F.col("frame") < last)).withColumn("frame", F.col("frame") - first)
 
 
+def block_slices(samples: DataFrame, block: int, start: int, end: int) -> DataFrame:
+    """The frames [start, end) by the block they lie in, with their place in the slice of that block."""
+    part = samples.where((F.col("frame") >= start) & (F.col("frame") < end))
+    number = F.floor(F.col("frame") / block)
+    return part.withColumn("block", number.cast("long")).withColumn("place", (F.col("frame") - F.greatest(number * block, F.lit(start))).cast("long"))
+
+
 def concat(clips: list[DataFrame], clip_id: str) -> DataFrame:
     """One clip of all, in order; each starts where the one before ends."""
     if len(clips) < 2:

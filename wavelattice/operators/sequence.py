@@ -121,6 +121,32 @@ def resample(samples: DataFrame, source_rate: int, target_rate: int, half_width:
     return samples.groupBy(*by).applyInPandas(run, schema)
 
 
+SPEECH_RATE = 16_000
+
+
+def resample_float(values: DataFrame, source_rate: int, target_rate: int, half_width: int = 32) -> DataFrame:
+    """Float clips (clip_id, frame, value, with or without channel) at another rate."""
+    if source_rate == target_rate:
+        return values
+    ratio = target_rate / source_rate
+    by = [k for k in ("clip_id", "channel") if k in values.columns]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = resampled(pdf.sort_values("frame")["value"].to_numpy(np.float64), ratio, half_width, accumulate=False)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "frame": np.arange(len(y)), "value": y.astype(np.float32)})[[*by, "frame", "value"]]
+
+    schema = ", ".join([f"{k} {'string' if k == 'clip_id' else 'int'}" for k in by] + ["frame long", "value float"])
+    return values.groupBy(*by).applyInPandas(run, schema)
+
+
+def downmix_for_speech(values: DataFrame, channels: int, rate: int) -> DataFrame:
+    """The mean of all channels at 16 kHz."""
+    mono = values
+    if channels > 1:
+        mono = values.groupBy("clip_id", "frame").agg((F.sum(F.col("value").cast("double")) / channels).cast("float").alias("value"))
+    return resample_float(mono, rate, SPEECH_RATE)
+
+
 def oversampling_rows(half_width: int = 24) -> np.ndarray:
     """Taps of the four phases of the true-peak oversampler, in single precision."""
     x = np.arange(2 * half_width)[None, :] - half_width + 1 - (np.arange(4) / 4)[:, None]

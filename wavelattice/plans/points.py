@@ -42,11 +42,6 @@ def bit_depth_widen(spark, sf_dir):
     return samples(spark, sf_dir).withColumn("sample", pw.rescale_bits(F.col("sample"), 16, 24))
 
 
-@query("pcm_to_float", f"{S} SELECT clip_id, frame, round(CAST(sample AS DOUBLE) / 32767, 6) AS value FROM s")
-def pcm_to_float(spark, sf_dir):
-    return samples(spark, sf_dir).select("clip_id", "frame", F.round(F.col("sample").cast("double") / 32767, 6).alias("value"))
-
-
 _E = """WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS frame FROM embeddings)"""
 
 

@@ -169,21 +169,6 @@ def loudness_meter(spark, sf_dir):
     return analysis.integrated_loudness(samples(spark, sf_dir, "event_type"), 4000, 16, partial=False).withColumn("lufs", F.round("lufs", 4))
 
 
-@query("loudness_normalize")
-def loudness_normalize(spark, sf_dir):
-    return analysis.loudness_normalize(samples(spark, sf_dir, "event_type"), -16.0, 4000, 16)
-
-
-@query("resample_up")
-def resample_up(spark, sf_dir):
-    return sequence.resample(samples(spark, sf_dir), 8000, 11025)
-
-
-@query("resample_down")
-def resample_down(spark, sf_dir):
-    return sequence.resample(samples(spark, sf_dir, "event_type"), 48000, 16000)
-
-
 def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("clip_id"), F.posexplode("embedding").alias("frame", "sample"))
 
@@ -206,13 +191,6 @@ def mdct(spark, sf_dir):
     return out.select("vec_id", F.posexplode("mdct").alias("k", "c")).withColumn("c", F.round("c", 6))
 
 
-@query("sidechain_duck")
-def sidechain_duck(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    key = v.withColumn("sample", F.col("sample") * 4)
-    return folds.duck(v, key, RATE, folds.DuckSettings(attack_ms=0.5, release_ms=5)).withColumn("sample", F.round(F.col("sample").cast("double"), 5))
-
-
 @query("sample_and_hold", """SELECT e.user_id, epoch_us(e.ts) AS t, c.event_id AS held FROM (SELECT user_id, ts FROM events WHERE event_type = 'click') e
     ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') c ON e.user_id = c.user_id AND e.ts >= c.ts""")
 def sample_and_hold(spark, sf_dir):
