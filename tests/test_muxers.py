@@ -56,3 +56,24 @@ def test_mp3_headers(spark, tmp_path):
     (tmp_path / "b.mp3").write_bytes(b"?")
     got = {r.clip_id: r.frames for r in mp3_probe.probe_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
     assert got == {"a.mp3": 3, "b.mp3": None}
+
+
+def test_hls_files_in_a_sink(spark, tmp_path):
+    from wavelattice.streaming import sinks
+
+    rows = [(s, t, k * 9000, k * 9000, t == 0 and k % 5 == 0, bytes([k]) * 50) for s in ("a", "b") for k in range(40) for t in (0, 1)]
+    packets = spark.createDataFrame(rows, "source_id string, track_id int, pts long, dts long, is_keyframe boolean, payload binary")
+    written = sinks.write_hls(packets, sinks.FolderSink(str(tmp_path)), {0: "h264", 1: "aac"}, 0, 1.0).collect()
+    for source in ("a", "b"):
+        text = (tmp_path / source / "index.m3u8").read_text()
+        names = [r.name for r in written if r.source_id == source and r.name.endswith(".ts")]
+        assert [line for line in text.splitlines() if line.endswith(".ts")] == sorted(names) and text.endswith("#EXT-X-ENDLIST\n") and len(names) == 4
+        for r in written:
+            if r.source_id == source:
+                raw = (tmp_path / source / r.name).read_bytes()
+                assert len(raw) == r.size and (r.name == "index.m3u8" or len(raw) % 188 == 0)
+    memory, calls = sinks.MemorySink(), []
+    for sink in (memory, sinks.CallSink(lambda name, content: calls.append((name, content)))):
+        sink.write("x", b"1")
+        sink.write("x", b"2")
+    assert memory.files == {"x": b"2"} and calls == [("x", b"1"), ("x", b"2")]

@@ -41,3 +41,35 @@ def test_segments_in_micro_batches(spark, tmp_path):
     for r in all_:
         last[r.source_id] = max(last.get(r.source_id, 0), r.sequence)
     assert got == sorted((r.source_id, r.sequence, r.start_pts, r.duration_s) for r in all_ if r.sequence < last[r.source_id])
+
+
+def test_an_idle_source_ends_with_its_last_segment(spark, tmp_path):
+    import time
+
+    rows = _captures(spark).select("source_id", F.col("ts_us").alias("pts"), "event_id", (F.col("event_id") % 5 == 0).alias("is_keyframe"))
+    out = stateful.segments(_stream(spark, rows, tmp_path / "in", 1), 5.0, 1_000_000, idle_ms=500)
+    q = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    batch = rows.withColumn("track_id", F.lit(0)).withColumn("dts", F.col("pts"))
+    want = {(r.source_id, r.sequence, r.start_pts) for r in pk.segments(batch, 0, 5.0, 1_000_000, ("dts", "event_id"), 1).collect()}
+    got, until = set(), time.time() + 90
+    while got != want and time.time() < until:
+        time.sleep(1)
+        got = {(r.source_id, r.sequence, r.start_pts) for r in spark.table("idle").collect()}
+    q.stop()
+    assert got == want
+
+
+def test_level_windows_drop_late_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("s", f"2024-01-01 {h:02d}:{m:02d}:00", v) for h, m, v in ((0, 1, 5), (0, 9, -7), (0, 11, 3), (5, 0, 1), (9, 0, 1))], "source_id string, at string, sample int")
+    rows = rows.withColumn("ts", F.to_timestamp("at")).withColumn("event_id", F.monotonically_increasing_id()).drop("at")
+    folder = tmp_path / "in"
+    rows.coalesce(1).write.mode("append").parquet(str(folder))
+    late = spark.createDataFrame([("s", "2024-01-01 00:02:00", 99), ("s", "2024-01-01 12:00:00", 2)], "source_id string, at string, sample int")
+    stream = stateful.level_windows(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder)))
+    for _ in range(2):
+        sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        q = sink.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        late.withColumn("ts", F.to_timestamp("at")).withColumn("event_id", F.lit(100).cast("long")).drop("at").select(*rows.columns).coalesce(1).write.mode("append").parquet(str(folder))
+    got = {(str(r.start), r.peak, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got >= {("2024-01-01 00:00:00", 7, 2), ("2024-01-01 00:10:00", 3, 1)} and all(peak != 99 for _, peak, _ in got)

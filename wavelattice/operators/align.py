@@ -113,6 +113,16 @@ def active_intervals(points: DataFrame, intervals: DataFrame, bucket: int, keep:
     return near.where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))).select(*points.columns, *keep)
 
 
+def kerning(glyphs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Glyphs (line, place, glyph, advance) with the adjustment for the pair with their next one, and where they start."""
+    w = Window.partitionBy("line").orderBy("place")
+    follow = glyphs.withColumn("right", F.lead("glyph").over(w))
+    kern = pairs.select(F.col("left").alias("glyph"), "right", F.col("adjust"))
+    moved = follow.join(kern, ["glyph", "right"], "left").withColumn("adjust", F.coalesce("adjust", F.lit(0)))
+    x = F.coalesce(F.sum(F.col("advance") + F.col("adjust")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return moved.select("line", "place", "glyph", "adjust", x.alias("x"))
+
+
 def keyframe_seek(packets: DataFrame, targets: DataFrame) -> DataFrame:
     """For each track's target the last key packet at or before it, else the first packet."""
     both = packets.join(targets, "track_id")

@@ -376,3 +376,16 @@ def find_track(packets: DataFrame, tracks: DataFrame, key: str = "track_id") ->
 def file_fields(packets: DataFrame) -> DataFrame:
     """Packets, key packets and presentation end of each track."""
     return packets.groupBy("source_id", "track_id").agg(F.count("*").alias("n_packets"), F.count_if("is_keyframe").alias("n_keyframes"), F.max(F.col("pts") + F.col("duration")).alias("end"))
+
+
+def join_files(packets: DataFrame, order: str) -> DataFrame:
+    """Packets of several files (value of ``order`` in each source) as one: each file starts where the one before it ends.
+
+    A file ends at the latest of its packets' pts + duration; the start is
+    taken from all its tracks alike, so that they stay together.
+    """
+    sizes = packets.groupBy("source_id", order).agg(F.max(F.col("pts") + F.col("duration")).alias("length"))
+    w = Window.partitionBy("source_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source_id", order, F.coalesce(F.sum("length").over(w), F.lit(0)).alias("start"))
+    out = packets.join(starts, ["source_id", order])
+    return out.withColumn("pts", F.col("pts") + F.col("start")).withColumn("dts", F.col("dts") + F.col("start")).drop("start")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("levels", "points", "sequences", "streams", "media", "scalars", "pictures", "roundtrips")
+MODULES = ("levels", "points", "sequences", "streams", "media", "scalars", "pictures", "roundtrips", "records")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

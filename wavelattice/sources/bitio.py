@@ -75,3 +75,38 @@ class BitTap:
                 return count
             count += 1
         return count
+
+
+class Huffman:
+    """A prefix code: words of bits for symbols, highest bit first."""
+
+    def __init__(self, words: dict[int, tuple[int, int]]):
+        """``words`` gives each symbol's (code, length)."""
+        self.words = words
+        self.symbols = {(n, code): s for s, (code, n) in words.items()}
+        if len(self.symbols) < len(words):
+            raise ValueError("two symbols have one word")
+
+    @classmethod
+    def canonical(cls, counts: bytes, symbols: bytes) -> Huffman:
+        """The code with so many words of 1, 2, 3, ... bits, given to the symbols in order."""
+        words, code, at = {}, 0, 0
+        for n, count in enumerate(counts, 1):
+            if code + count > 1 << n:
+                raise ValueError("there are more words than bits allow")
+            for s in symbols[at : at + count]:
+                words[s] = code, n
+                code += 1
+            at, code = at + count, code << 1
+        return cls(words)
+
+    def put(self, out: BitSink, symbol: int) -> None:
+        out.put(*self.words[symbol])
+
+    def take(self, bits: BitTap) -> int:
+        code = 0
+        for n in range(1, 33):
+            code = code << 1 | bits.take(1)
+            if (n, code) in self.symbols:
+                return self.symbols[n, code]
+        raise ValueError("no symbol has this word")

@@ -240,7 +240,36 @@ def mp4_tracks(raw: bytes) -> list[dict]:
         edits = find_box(raw, "edts/elst", a, b)
         media = edit_shift(_table(raw, edits, ">QqI" if edits and raw[edits[0]] == 1 else ">IiI"), movie, timescale)
         codec = raw[stsd[0] + 12 : stsd[0] + 16].decode("latin-1") if stsd else ""
-        out.append({"codec": codec, "timescale": timescale, "offsets": offsets, "sizes": sizes, "dts": dts[:-1], "shift": shift, "sync": sync, "start": media})
+        out.append({"codec": codec, "timescale": timescale, "offsets": offsets, "sizes": sizes, "dts": dts[:-1], "end": dts[-1], "shift": shift, "sync": sync, "start": media})
+    return out
+
+
+def mp4_probe(raw: bytes) -> dict:
+    """Duration, picture size, codec, frames, frame rate, rotation, and whether there is audio."""
+    moov = find_box(raw, "moov")
+    mvhd = moov and find_box(raw, "mvhd", *moov)
+    if not mvhd:
+        raise ValueError("no movie header")
+    long = raw[mvhd[0]] == 1
+    scale, duration = struct.unpack_from(">IQ" if long else ">II", raw, mvhd[0] + (20 if long else 12))
+    out = {"duration_s": duration / scale if scale else 0.0, "width": None, "height": None, "codec": None, "frames": None, "frame_rate": None, "rotation": None, "has_audio": False}
+    tracks = iter(mp4_tracks(raw))
+    for kind, a, b in boxes(raw, *moov):
+        if kind != b"trak" or not find_box(raw, "mdia/minf/stbl", a, b) or not find_box(raw, "mdia/mdhd", a, b):
+            continue
+        track, tkhd, hdlr = next(tracks), find_box(raw, "tkhd", a, b), find_box(raw, "mdia/hdlr", a, b)
+        handler = raw[hdlr[0] + 8 : hdlr[0] + 12] if hdlr else b""
+        out["has_audio"] |= handler == b"soun"
+        if tkhd and tkhd[1] - tkhd[0] >= 84:
+            at = tkhd[0] + (88 if raw[tkhd[0]] == 1 else 76)
+            width, height = (v >> 16 for v in struct.unpack_from(">ii", raw, at))
+            if width > 0 and height > 0 and out["width"] is None:
+                out |= {"width": width, "height": height, "codec": track["codec"]}
+            if handler == b"vide" and out["frames"] is None:
+                c, s = struct.unpack_from(">ii", raw, at - 36)
+                total = track["end"]
+                out |= {"frames": len(track["sizes"]), "frame_rate": len(track["sizes"]) * track["timescale"] / total if total else None}
+                out["rotation"] = {(1, 0): 0, (0, 1): 90, (-1, 0): 180, (0, -1): 270}.get((c >> 16, s >> 16))
     return out
 
 

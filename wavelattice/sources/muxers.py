@@ -39,12 +39,28 @@ def _run_lengths(values: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+MOVIE_SCALE = 1000
+# Sines of the quarter turns in 16.16.
+_TURNS = {0: (1, 0), 90: (0, 1), 180: (-1, 0), 270: (0, -1)}
+
+
+def track_header(number: int, duration: int, width: int = 0, height: int = 0, rotation: int = 0) -> bytes:
+    """A tkhd box with a picture's size and turn."""
+    c, s = (v << 16 for v in _TURNS[rotation])
+    matrix = struct.pack(">9i", c, s, 0, -s, c, 0, 0, 0, 1 << 30)
+    return full_box(b"tkhd", _ints(0, 0, number, 0, duration), bytes(16), matrix, _ints(width << 16, height << 16))
+
+
 def mp4(tracks: list[dict]) -> bytes:
-    """A file with its index in front, of tracks (codec, timescale, packets of (pts, dts, is_keyframe, payload))."""
+    """A file with its index in front, of tracks (codec, timescale, packets of (pts, dts, is_keyframe, payload)).
+
+    A track may have width, height and rotation, and edits (duration in
+    milliseconds, media start or -1 for an empty edit).
+    """
     head = box(b"ftyp", b"isom", bytes(4), b"isom")
 
     def index(base: int) -> bytes:
-        out, at = b"", base
+        out, at, longest = b"", base, 0
         for n, t in enumerate(tracks, 1):
             p = t["packets"]
             dts = [x[1] for x in p]
@@ -62,9 +78,14 @@ def mp4(tracks: list[dict]) -> bytes:
                 full_box(b"stco", _ints(1, at)),
             ]
             at += sum(len(x[3]) for x in p)
-            mdhd = full_box(b"mdhd", _ints(0, 0, t["timescale"], sum(steps)))
-            out += box(b"trak", full_box(b"tkhd", _ints(0, 0, n, 0, 0)), box(b"mdia", mdhd, box(b"minf", box(b"stbl", *tables))))
-        return box(b"moov", out)
+            length = sum(steps) * MOVIE_SCALE // t["timescale"]
+            longest = max(longest, length)
+            handler = full_box(b"hdlr", _ints(0), b"vide" if t.get("width") else b"soun", bytes(13))
+            media = box(b"mdia", full_box(b"mdhd", _ints(0, 0, t["timescale"], sum(steps), 0x55C40000)), handler, box(b"minf", box(b"stbl", *tables)))
+            edits = b"".join(struct.pack(">IiI", d, start, 0x10000) for d, start in t.get("edits", ()))
+            listed = [box(b"edts", full_box(b"elst", _ints(len(t["edits"])), edits))] if edits else []
+            out += box(b"trak", track_header(n, length, *(t.get(k, 0) for k in ("width", "height", "rotation"))), *listed, media)
+        return box(b"moov", full_box(b"mvhd", _ints(0, 0, MOVIE_SCALE, longest, 0x10000), bytes(76), _ints(len(tracks) + 1)), out)
 
     data = b"".join(x[3] for t in tracks for x in t["packets"])
     return head + index(len(head) + len(index(0)) + 8) + box(b"mdat", data)
@@ -199,7 +220,7 @@ def _ts_packets(pid: int, payload: bytes, counter: dict[int, int], pcr: int | No
     while payload or first:
         field = b""
         if first and pcr is not None:
-            field = b"\x10" + (pcr << 15 | 0x7E00).to_bytes(6, "big")
+            field = b"\x10" + (pcr % (1 << 33) << 15 | 0x7E00).to_bytes(6, "big")
         room = 184 - (len(field) + 1 if field else 0)
         take = payload[:room]
         payload = payload[len(take) :]

@@ -49,11 +49,20 @@ def fill_gaps(captures: DataFrame, rate: int, threshold_s: float = 0.1) -> DataF
     )
 
 
-def segments(packets: DataFrame, target_s: float, timescale: int) -> DataFrame:
-    """Closed segments of streamed packets (source_id, pts, event_id, is_keyframe); the one in work stays in state."""
+def segments(packets: DataFrame, target_s: float, timescale: int, idle_ms: int | None = None) -> DataFrame:
+    """Closed segments of streamed packets (source_id, pts, event_id, is_keyframe); the one in work stays in state.
+
+    A source without packets for ``idle_ms`` is taken to have ended: its last
+    segment is closed at its last packet and its state is given up.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, start, last, last_id, dropped = state.get if state.exists else (1, -1, -1, -1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if start >= 0 and last > start:
+                yield pd.DataFrame([(key[0], number, start, (last - start) / timescale)], columns=["source_id", "sequence", "start_pts", "duration_s"])
+            return
         rows = pd.concat(list(batches)).sort_values(["pts", "event_id"])
         out = []
         for pts, i, is_key in zip(rows["pts"].tolist(), rows["event_id"].tolist(), rows["is_keyframe"].tolist(), strict=True):
@@ -68,6 +77,8 @@ def segments(packets: DataFrame, target_s: float, timescale: int) -> DataFrame:
                 out.append((key[0], number, start, (pts - start) / timescale))
                 number, start = number + 1, pts
         state.update((number, start, last, last_id, dropped))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source_id", "sequence", "start_pts", "duration_s"])
 
     return packets.groupBy("source_id").applyInPandasWithState(
@@ -75,7 +86,7 @@ def segments(packets: DataFrame, target_s: float, timescale: int) -> DataFrame:
         "source_id string, sequence long, start_pts long, duration_s double",
         "number long, start long, last long, last_id long, dropped long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
