@@ -551,6 +551,53 @@ def test_held_out_accuracy_and_calibration(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_features_by_plain_loops(spark):
+    """Context sums and pooled features, token by token."""
+    texts = ["Hello, World 42!", "hello world", "", "a", "Ünïcode ABC abc 7,5 -- x" * 3, "one two one two"]
+    places, signs = quality.index_vectors()
+
+    def words(text):
+        out = []
+        for token in re.findall(r"[A-Za-z\u0080-\uffff]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0d\u0080-\uffff]+", text):
+            raw = np.frombuffer(token.encode(), np.uint8)
+            bucket, shape, _ = quality.tokens(raw, np.array([0, len(raw)]))
+            kind = 0 if token[0].isalpha() or token[0] > "\x7f" else 1 if token[0].isdigit() else 2
+            caps = [c for c in token if "A" <= c <= "Z"]
+            size = len(token.encode())
+            style = 0 if not caps else 1 if len(caps) == 1 and token[0] == caps[0] else 3 if len(caps) == size else 2
+            assert shape.tolist() == [kind * 32 + style * 8 + min(size, 8) - 1], token
+            out.append((int(bucket[0]), int(shape[0])))
+        return out
+
+    context = np.zeros((quality.BUCKETS, quality.DIMS))
+    for text in texts:
+        w = words(text)
+        for (a, sa), (b, sb) in zip(w, w[1:]):
+            for x, y in ((a, b), (b, a), (sa, sb), (sb, sa)):
+                context[x, places[y]] += signs[y]
+    context -= context.mean(axis=0)
+    norm = np.linalg.norm(context, axis=1, keepdims=True)
+    context = context / np.where(norm > 0, norm, 1)
+    vectors = quality.word_vectors(frame(spark, list(enumerate(texts))).select("text"))
+    assert np.abs(vectors[:, quality.DIMS :] - context).max() < 1e-5
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = quality.pooled(*quality.tokens(raw, np.array([0, len(raw)])), vectors)[0]
+        w = words(text)
+        means = [np.mean([vectors[x[k]] for x in w], axis=0) if w else np.zeros(2 * quality.DIMS) for k in (0, 1)]
+        extra = [len({x[0] for x in w}) / max(len(w), 1), np.log1p(len(w)), np.linalg.norm(means[0][: quality.DIMS]), np.linalg.norm(means[1][: quality.DIMS])]
+        assert np.abs(got - np.concatenate([*means, extra])).max() < 1e-5, text
+
+
+def test_a_network_by_plain_loops():
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng.normal(size=4), rng.random(4) + 0.5, rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=3), 0.2, 1.7)
+    for x in rng.normal(size=(20, 4)):
+        hidden = [max(0.0, sum((x[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(4)) + net.b1[j]) for j in range(3)]
+        want = 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature))
+        assert abs(net.probabilities(x[None])[0] - want) < 1e-12
+
+
 def test_quality_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(frame(spark, [(1, "a"), (None, None)]), labels).collect()} == {0.5}

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -25,3 +26,31 @@ def test_stages_take_effect_and_keep_the_columns(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_run_with_nulls_empty_and_long_texts_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40)), i, "x") for i in range(40)]
+    rows += [(100, None, 1, "x"), (101, "", 1, "x"), (None, "A text without id that nobody else has, told once and only here.", 2, "x"), (None, None, 3, "x")]
+    rows += [(7, rows[7][1], 7, "x"), (200, rows[3][1].upper(), 1, "x"), (201, "long words and a few more of them " * 30_000, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, size string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[5][1]), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = read
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = store.materialise(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == read.columns
+    ids = [r.doc_id for r in kept.collect()]
+    # One of the two equal rows stays, of the shouted copy the larger id; the passage of the benchmark goes; one empty text stays.
+    assert sorted(i for i in ids if i is not None) == sorted({*range(40), 101, 200, 201} - {3, 5}) and ids.count(None) == 1
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(ids) and sum(p.length for p in pieces if p.doc_id == 201) > 200_000
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
