@@ -189,3 +189,51 @@ def test_wavpack_terms_of_both_kinds_and_long_codes():
     out = BitSink(lsb=True)
     wavpack.put_words(out, residuals, 2, words())
     assert wavpack.take_words(BitTap(out.bytes(), lsb=True), len(residuals), 2, words()) == residuals
+
+
+def test_matroska_rebuilds_decode_times_and_spreads_laced_frames():
+    times = [0, 120, 40, 80, 240, 160, 200, 280]
+    raw = muxers.matroska({1: "h264", 2: "opus"}, [(1, t, t == 0, b"v") for t in times] + [(2, 20 * k, True, b"a") for k in range(4)])
+    got = containers.read_packets(raw)
+    video = [(r[3] // 1000, r[4] // 1000) for r in got if r[0] == 1]
+    assert [p for p, _ in video] == times and [d for _, d in video] == sorted(d for _, d in video) and all(d <= p for p, d in video)
+    assert all(r[3] == r[4] for r in got if r[0] == 2)
+    frames = [b"x", b"yy", b"zzz"]
+    laced = bytes([0x82, 0, 5, 0x82, 2, 1, 2]) + b"".join(frames)
+    entry = muxers.element(0xAE, muxers.element(0xD7, 2), muxers.element(0x86, "A_OPUS"), muxers.element(0x23E383, 20_000_000))
+    body = muxers.element(0x1549A966, muxers.element(0x2AD7B1, 1_000_000)) + muxers.element(0x1654AE6B, entry) + muxers.element(0x1F43B675, muxers.element(0xE7, 100), muxers.element(0xA3, laced))
+    got = containers.read_packets(muxers.element(0x1A45DFA3, muxers.element(0x4282, "webm")) + muxers.element(0x18538067, body))
+    assert [(r[3] // 1000, r[7]) for r in got] == [(105, b"x"), (125, b"yy"), (145, b"zzz")]
+
+
+def test_incremental_encoders_give_the_bytes_of_whole_files():
+    from wavelattice.sources import clips, flac
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2000, 2000, (10_000, 2))
+    stream, raw = clips.FlacStream(44100, 2), b""
+    for a in range(0, len(x), 777):
+        raw += stream.push(x[a : a + 777])
+    raw += stream.finish()
+    assert raw[42:] == flac.encode(x, 44100, 16)[42:]
+    assert (flac.decode(raw, check=False)[1] == x).all()
+    stream, raw = clips.PacketStream(tta.encode_frame, 2, tta.frame_length(8000)), b""
+    for a in range(0, len(x), 777):
+        raw += stream.push(x[a : a + 777])
+    size = tta.frame_length(8000)
+    assert raw + stream.finish() == b"".join(tta.encode_frame(x[a : a + size]) for a in range(0, len(x), size))
+
+
+def test_blocks_are_handed_to_a_call(spark, tmp_path):
+    from wavelattice.sources import clips, pcm
+
+    x = np.arange(10_000) % 3000
+    files = spark.createDataFrame([("a.wav", bytearray(pcm.wav_bytes(x, 1, 8000, 16)))], "path string, content binary")
+    folder = str(tmp_path)
+
+    def call(name, first, block):
+        np.save(f"{folder}/{name}-{first}.npy", block)
+
+    clips.for_each_block(files, call)
+    got = np.concatenate([np.load(f"{folder}/a.wav-{a}.npy") for a in range(0, 10_000, 4096)])
+    assert (got[:, 0] == x).all()

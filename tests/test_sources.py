@@ -24,7 +24,7 @@ def folder(tmp_path_factory):
 def test_read_all_formats_in_parts(spark, folder):
     d, clips = folder
     pcm.register(spark)
-    rows = spark.read.format("pcm").option("path", str(d)).option("blockframes", 512).option("partitionframes", 1024).load()
+    rows = spark.read.format("pcm").option("path", str(d)).option("blockframes", 512).option("partitionbytes", 4096).load()
     got = {}
     for r in sorted(rows.collect(), key=lambda r: (r.clip_id, r.block_no)):
         assert r.start_frame == r.block_no * 512

@@ -22,6 +22,12 @@ def cut(samples: DataFrame, start_s: int, end_s: int, rate: int) -> DataFrame:
     return samples.where((F.col("frame") >= first) & (F.col("frame") < last)).withColumn("frame", F.col("frame") - first)
 
 
+def silence(clips: DataFrame) -> DataFrame:
+    """Silent samples of clips (clip_id, n_frames); clips without frames give none."""
+    frames = F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1)
+    return clips.where("n_frames > 0").select("clip_id", F.explode(frames).alias("frame"), F.lit(0).alias("sample"))
+
+
 def block_slices(samples: DataFrame, block: int, start: int, end: int) -> DataFrame:
     """The frames [start, end) by the block they lie in, with their place in the slice of that block."""
     part = samples.where((F.col("frame") >= start) & (F.col("frame") < end))

@@ -52,6 +52,12 @@ def roundtrip_wav_float(spark, sf_dir):
     return _there_and_back(_clipped(samples(spark, sf_dir)), "wav-float")
 
 
+@query("clip_floats", f"""{_MONO} SELECT clip_id, frame, CAST(0 AS INTEGER) AS channel, round(CAST(CAST(v / 32767.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS value, CAST(44100 AS INTEGER) AS sample_rate FROM x""")
+def clip_floats(spark, sf_dir):
+    out = clips.decode_floats(clips.encode_files(_clipped(samples(spark, sf_dir)), "wav", 44100))
+    return out.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 # G.711: the nearest of 256 values, the smaller of two.
 _ALAW = """CASE WHEN (a & 128) <> 0 THEN 1 ELSE -1 END * CASE WHEN (a & 112) >> 4 = 0 THEN (2 * (a & 15) + 1) * 8 ELSE (2 * (a & 15) + 33) * (1 << (((a & 112) >> 4) + 2)) END"""
 _MULAW = """CASE WHEN (a & 128) <> 0 THEN 132 - ((((a & 15) << 3) + 132) << ((a & 112) >> 4)) ELSE ((((a & 15) << 3) + 132) << ((a & 112) >> 4)) - 132 END"""

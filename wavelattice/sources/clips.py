@@ -86,3 +86,73 @@ def decode_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * k), *map(pa.array, columns), pa.array([rate] * k, pa.int32()), pa.array([bits] * k, pa.int32())], names=names)
 
     return files.select("path", "content").mapInArrow(run, "clip_id string, frame long, channel int, sample int, sample_rate int, bits int")
+
+
+def decode_floats(files: DataFrame) -> DataFrame:
+    """Samples of all files as parts of full scale (value), with clip_id, frame, channel and sample_rate."""
+    full = F.pow(F.lit(2.0), F.col("bits") - 1) - 1
+    return decode_files(files).select("clip_id", "frame", "channel", (F.col("sample") / full).cast("float").alias("value"), "sample_rate")
+
+
+def for_each_block(files: DataFrame, call: Callable[[str, int, np.ndarray], None], block: int = 4096) -> None:
+    """Call ``call`` with name, first frame and samples (frames by channels) of every block, where the file lies."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            _, _, x = decode(bytes(r.content))
+            for a in range(0, len(x), block):
+                call(os.path.basename(r.path), a, x[a : a + block])
+
+    files.select("path", "content").foreachPartition(run)
+
+
+class Incremental:
+    """An encoder that takes samples as they come: ``push`` and ``finish`` give the bytes that are ready."""
+
+    def push(self, samples: np.ndarray) -> bytes:
+        raise NotImplementedError
+
+    def finish(self) -> bytes:
+        return b""
+
+
+class FlacStream(Incremental):
+    """A FLAC stream of unknown length: the header comes first, without total and digest, then each block once it is full."""
+
+    def __init__(self, rate: int, channels: int, bits: int = 16, block: int = 4096):
+        self.bits, self.block, self.number = bits, block, 0
+        self.head = flac.stream_header(rate, channels, bits, 0, bytes(16), block)
+        self.held = np.zeros((0, channels), np.int64)
+
+    def push(self, samples: np.ndarray) -> bytes:
+        self.held = np.concatenate([self.held, samples])
+        out, self.head = self.head, b""
+        while len(self.held) >= self.block:
+            out += self._one(self.block)
+        return out
+
+    def finish(self) -> bytes:
+        return self.head + (self._one(len(self.held)) if len(self.held) else b"")
+
+    def _one(self, n: int) -> bytes:
+        out = flac.encode_block(self.held[:n], self.bits, self.number)
+        self.held, self.number = self.held[n:], self.number + 1
+        return out
+
+
+class PacketStream(Incremental):
+    """Packets of a codec whose blocks stand alone (ALAC packets, TTA frames, WavPack blocks), each once it is full."""
+
+    def __init__(self, encode: Callable[[np.ndarray], bytes], channels: int, block: int):
+        self.encode, self.block, self.held = encode, block, np.zeros((0, channels), np.int64)
+
+    def push(self, samples: np.ndarray) -> bytes:
+        self.held = np.concatenate([self.held, samples])
+        out = b""
+        while len(self.held) >= self.block:
+            out += self.encode(self.held[: self.block])
+            self.held = self.held[self.block :]
+        return out
+
+    def finish(self) -> bytes:
+        return self.encode(self.held) if len(self.held) else b""

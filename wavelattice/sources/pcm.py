@@ -191,13 +191,22 @@ def decode(raw: bytes, x: Layout) -> np.ndarray:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int, frames: int):
-        self.path, self.first, self.frames = path, first, frames
+    """The ``index``-th of ``count`` equal runs of a file's blocks."""
+
+    def __init__(self, path: str, index: int, count: int):
+        self.path, self.index, self.count = path, index, count
+
+
+_BLOCKS = pa.schema(
+    [("clip_id", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int32()), ("bits", pa.int32()), ("block_no", pa.int64()), ("start_frame", pa.int64()), ("pcm", pa.list_(pa.int32()))]
+)
 
 
 class PcmReader(DataSourceReader):
-    def __init__(self, paths: list[str], block: int, per_part: int):
-        self.paths, self.block, self.per_part = paths, block, per_part
+    """The driver only asks for the files' sizes; headers are read by the tasks, blocks leave as Arrow batches."""
+
+    def __init__(self, paths: list[str], block: int, part_bytes: int):
+        self.paths, self.block, self.part_bytes = paths, block, part_bytes
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
@@ -208,21 +217,22 @@ class PcmReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in self.paths:
-            with open(path, "rb") as f:
-                x = layout(f)
-            if x.kind in WHOLE:
-                out.append(_Part(path, 0, x.frames))
-            else:
-                out += [_Part(path, a, min(self.per_part, x.frames - a)) for a in range(0, x.frames, self.per_part)]
-        return out or [_Part("", 0, 0)]
+            count = max(1, -(-os.path.getsize(path) // self.part_bytes))
+            out += [_Part(path, i, count) for i in range(count)]
+        return out or [_Part("", 0, 1)]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         with open(part.path, "rb") as f:
             x = layout(f)
             name = os.path.basename(part.path)
+            blocks = -(-x.frames // self.block)
+            first, last = blocks * part.index // part.count, blocks * (part.index + 1) // part.count
             if x.kind in WHOLE:
+                if part.index:
+                    return  # frames depend on those before, so the first task reads the file
+                first, last = 0, blocks
                 f.seek(x.start)
                 samples = decode(f.read(x.size), x)[: x.frames]
                 source = lambda a, n: samples[a : a + n]
@@ -232,9 +242,13 @@ class PcmReader(DataSourceReader):
                     f.seek(x.start + a * x.width)
                     return decode(f.read(n * x.width), x)
 
-            for a in range(part.first, part.first + part.frames, self.block):
-                rows = source(a, min(self.block, part.first + part.frames - a))
-                yield name, x.channels, x.rate, x.out_bits, a // self.block, a, rows.reshape(-1).tolist()
+            for k in range(first, last):
+                a = k * self.block
+                flat = source(a, min(self.block, x.frames - a)).reshape(-1)
+                values = [[name], [x.channels], [x.rate], [x.out_bits], [k], [a]]
+                columns = [pa.array(v, t.type) for v, t in zip(values, _BLOCKS, strict=False)]
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, schema=_BLOCKS)
 
 
 class PcmWriter(DataSourceWriter):
@@ -265,7 +279,7 @@ class PcmWriter(DataSourceWriter):
 
 
 class PcmSource(DataSource):
-    """Options: path (a file, folder or pattern), blockframes, partitionframes."""
+    """Options: path (a file, folder or pattern on a mount that driver and executors share), blockframes, partitionbytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -278,7 +292,7 @@ class PcmSource(DataSource):
         path = self.options["path"].removeprefix("file://")
         paths = sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path))
         block = int(self.options.get("blockframes", BLOCK_FRAMES))
-        return PcmReader(paths, block, block * max(1, int(self.options.get("partitionframes", 1 << 20)) // block))
+        return PcmReader(paths, block, max(1, int(self.options.get("partitionbytes", 16 << 20))))
 
     def writer(self, schema, overwrite: bool) -> PcmWriter:
         return PcmWriter(self.options["path"].removeprefix("file://"))
