@@ -73,3 +73,12 @@ def test_level_windows_drop_late_rows(spark, tmp_path):
         late.withColumn("ts", F.to_timestamp("at")).withColumn("event_id", F.lit(100).cast("long")).drop("at").select(*rows.columns).coalesce(1).write.mode("append").parquet(str(folder))
     got = {(str(r.start), r.peak, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got >= {("2024-01-01 00:00:00", 7, 2), ("2024-01-01 00:10:00", 3, 1)} and all(peak != 99 for _, peak, _ in got)
+
+
+def test_a_change_counts_only_against_the_same_track(spark):
+    rows = [("s", t, k * 500_000, k, k % 2 == 0 and t == 0, 5 if t == 0 else 9 + (k >= 9)) for k in range(16) for t in (0, 1)]
+    packets = spark.createDataFrame(rows, "source_id string, track_id int, pts long, event_id long, is_keyframe boolean, version int").withColumn("dts", F.col("pts"))
+    cut = lambda df: [(r.start_pts, r.duration_s, r.discontinuity) for r in pk.segments(df, 0, 3.0, 1_000_000, ("dts", "event_id", "track_id"), 1, breaks="version").orderBy("sequence").collect()]
+    assert cut(packets.where("event_id < 9")) == [(0, 3.0, False), (3_000_000, 1.5, False)]
+    # The audio's change at 4.5 s ends the segment; the next key picture starts a discontinuous one.
+    assert cut(packets) == [(0, 3.0, False), (3_000_000, 2.0, False), (5_000_000, 3.0, True)]

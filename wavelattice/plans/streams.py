@@ -150,6 +150,15 @@ def hls_config_change(spark, sf_dir):
     return pk.segments(_per_user(spark, sf_dir), 0, 432_000, 1_000_000, ("dts", "event_id"), 1, breaks="config_version").withColumn("duration_s", F.round("duration_s", 6))
 
 
+@query("hls_two_tracks", f"{PR}{_SEG} SELECT source_id, sequence, start_pts, round(duration_s, 6) AS duration_s, false AS discontinuity FROM o")
+def hls_two_tracks(spark, sf_dir):
+    """Video and audio whose versions differ but never change: the segments of the video alone, none discontinuous."""
+    video = _per_user(spark, sf_dir).withColumn("config_version", F.lit(5))
+    audio = video.withColumn("track_id", F.lit(1)).withColumn("config_version", F.lit(9)).withColumn("is_keyframe", F.lit(True))
+    out = pk.segments(video.unionByName(audio), 0, 432_000, 1_000_000, ("dts", "event_id", "track_id"), 1, breaks="config_version")
+    return out.withColumn("duration_s", F.round("duration_s", 6))
+
+
 @query("retain_newest", f"{PR}{_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sequence DESC) AS r FROM o) SELECT source_id, sequence FROM r WHERE r <= 2")
 def retain_newest(spark, sf_dir):
     return pk.retain_newest(hls_segment(spark, sf_dir), 2).select("source_id", "sequence")
