@@ -85,20 +85,18 @@ class ChunkEncoder:
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
         tail = chunk[len(core) :]
         if tail:
-            ids += self._whole([tail])[tail]
+            if tail not in self.cache:
+                self._keep(tail, self._whole([tail])[tail])
+            ids += self.cache[tail]
         return ids
 
     def _whole(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
 
-    def _keep(self, found: dict[bytes, bytes]) -> None:
-        short = {c: ids for c, ids in found.items() if len(c) <= LONG_CHUNK}
-        self.used += sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in short.items())
-        if self.used > self.limit:
-            self.cache.clear()
-            self.used = 0
-        self.cache |= short
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
+        self.cache[chunk] = ids
+        self.used += len(chunk) + len(ids) + ENTRY_BYTES
 
     def __call__(self, text: str) -> bytes:
         raw = text.encode()
@@ -111,19 +109,25 @@ class ChunkEncoder:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
             pass
-        found, slow = {}, []
-        for c in set(chunks):
-            ids = self.cache.get(c)
-            if ids is None and self.by_word:
-                ids = self._word(c)
+        if self.used > self.limit:
+            self.cache.clear()
+            self.used = 0
+        long_, slow = {}, []
+        for c in set(chunks).difference(self.cache):
+            ids = self._word(c) if self.by_word and len(c) <= LONG_CHUNK else None
             if ids is None:
                 slow.append(c)
             else:
-                found[c] = ids
+                self._keep(c, ids)
         if slow:
-            found |= self._whole(slow)
-        self._keep({c: ids for c, ids in found.items() if c not in self.cache})
-        return b"".join(map(found.__getitem__, chunks))
+            for c, ids in self._whole(slow).items():
+                if len(c) <= LONG_CHUNK:
+                    self._keep(c, ids)
+                else:
+                    long_[c] = ids
+        if long_:
+            return b"".join(long_[c] if c in long_ else self.cache[c] for c in chunks)
+        return b"".join(map(self.cache.__getitem__, chunks))
 
 
 @functools.lru_cache(maxsize=2)
