@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from wavelattice.llm import kernel
 from wavelattice.llm.components import connected
-from wavelattice.llm.store import join_groups, materialise, with_row_key
+from wavelattice.llm.store import discard, join_groups, materialise, with_row_key
 
 SYMBOLS, CHUNKS, PER_CHUNK = 40, 10, 4
 KEYS = SYMBOLS  # masked chunks of a signature
@@ -276,14 +276,16 @@ def _grid(rows: DataFrame, block: int, strays: int) -> DataFrame:
 
 def _links(places: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) within the groups of ``places`` (rep, group, left, component)."""
-    at = places.groupBy("rep").agg(F.collect_list(F.struct("group", "left", "component")).alias("places"))
-    at = materialise(at, "near-places")
-    rows = at.agg(F.sum(F.size("places"))).first()[0] or 0
-    at = F.broadcast(at) if rows <= BROADCAST_ROWS else at
+    stored = places.groupBy("rep").agg(F.collect_list(F.struct("group", "left", "component")).alias("places"))
+    stored = materialise(stored, "near-places")
+    rows = stored.agg(F.sum(F.size("places"))).first()[0] or 0
+    at = F.broadcast(stored) if rows <= BROADCAST_ROWS else stored
     sets = texts.join(at, texts.doc_id == at.rep).select("doc_id", "text", "places")
     sets = sets.mapInArrow(_with_sets(width), "group long, left boolean, component long, rep long, shingles binary")
     sets = sets.repartition("group").sortWithinPartitions("group", F.desc("left"))
-    return materialise(sets.mapInArrow(_check(percent), "a long, b long"), "near-links")
+    links = materialise(sets.mapInArrow(_check(percent), "a long, b long"), "near-links")
+    discard(stored)
+    return links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
@@ -317,24 +319,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in sig])
     reps = materialise(reps, "near-representatives")
+    n_reps = reps.count()
 
     # Keys that several representatives have, with the smallest of them.
     keyed = reps.select("rep", F.explode(_keys()).alias("key")).select("rep", "key.m", "key.v")
     firsts = keyed.groupBy("m", "v").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts, "near-pivots")
-    shared = materialise(join_groups(keyed, firsts, ["m", "v"], "n", KEYS * reps.count()), "near-shared")
+    shared = materialise(join_groups(keyed, firsts, ["m", "v"], "n", KEYS * n_reps), "near-shared")
 
     # Each representative and its smallest near pivot, in blocks of a pivot's members.
     signatures = reps.select("rep", F.struct(*sig).alias("sig"))
     stars = shared.where("rep != pivot").select("rep", "pivot").distinct()
-    stars = materialise(stars, "near-candidates")
-    pivots = stars.groupBy("pivot").agg(F.count("*").alias("n")).join(signatures.select(F.col("rep").alias("pivot"), F.col("sig").alias("sb")), "pivot")
-    stars = stars.join(signatures.withColumnRenamed("sig", "sa"), "rep")
-    stars = join_groups(stars, pivots, ["pivot"], "n", reps.count()).where(_distance("sa", "sb") <= MAX_DISTANCE)
+    candidates = materialise(stars, "near-candidates")
+    pivots = candidates.groupBy("pivot").agg(F.count("*").alias("n")).join(signatures.select(F.col("rep").alias("pivot"), F.col("sig").alias("sb")), "pivot")
+    stars = candidates.join(signatures.withColumnRenamed("sig", "sa"), "rep")
+    stars = join_groups(stars, pivots, ["pivot"], "n", candidates.count()).where(_distance("sa", "sb") <= MAX_DISTANCE)
     stars = materialise(stars.groupBy("rep").agg(F.min("pivot").alias("pivot")), "near-stars")
+    discard(candidates)
     block = F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("n") / PIVOT_BLOCK), F.lit(1)))
     sizes = stars.groupBy("pivot").agg(F.count("*").alias("n"))
-    right = join_groups(stars, sizes, ["pivot"], "n", reps.count()).select("rep", F.xxhash64("pivot", block).alias("group"), F.lit(False).alias("left"), F.col("rep").alias("component"), "pivot")
+    right = join_groups(stars, sizes, ["pivot"], "n", n_reps).select("rep", F.xxhash64("pivot", block).alias("group"), F.lit(False).alias("left"), F.col("rep").alias("component"), "pivot")
     left = right.select(F.col("pivot").alias("rep"), "group", F.lit(True).alias("left"), F.col("pivot").alias("component")).distinct()
     links = _links(right.drop("pivot").union(left), texts, width, percent)
     labels = connected(links)
@@ -342,14 +346,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Keys whose members are still in different components; strays are those outside the largest one.
     placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("m", "v", "rep", F.coalesce("label", "rep").alias("component"))
     placed = materialise(placed, "near-placed")
+    discard(shared, firsts)
     parts = placed.groupBy("m", "v", "component").agg(F.count("*").alias("count"))
     mixed = parts.groupBy("m", "v").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n")).where("x.count < n")
     mixed = materialise(mixed.select("m", "v", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray")), "near-mixed")
-    open_ = join_groups(placed, mixed, ["m", "v"], "n", KEYS * reps.count()).withColumn("stray", F.col("component") != F.col("main"))
+    open_ = join_groups(placed, mixed, ["m", "v"], "n", KEYS * n_reps).withColumn("stray", F.col("component") != F.col("main"))
     open_ = _grid(open_, KEY_BLOCK, STRAY_BLOCK)
     open_ = open_.select("rep", "component", "stray", F.xxhash64("m", "v", "s", "b").alias("group")).join(reps.select("rep", *sig), "rep")
     near = open_.repartition("group").sortWithinPartitions("group").mapInArrow(_nearby, "a long, b long")
-    clusters = connected(materialise(near, "near-forest"))
+    near = materialise(near, "near-forest")
+    discard(placed, mixed)
+    clusters = connected(near)
 
     # Strays of each cluster against all its members, block by block.
     members = clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
