@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelattice.llm import kernel
 from wavelattice.llm.store import discard, join_groups, materialise, with_row_key
 
 BLOCK_BYTES = 4096
@@ -113,13 +114,13 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk_bytes: int
     normalised texts are.
     """
     cut = docs.mapInArrow(
-        _split(block_bytes, chunk_bytes),
+        kernel.lean(_split(block_bytes, chunk_bytes)),
         "doc_id long, row long, sha string, chunk long, locals array<int>, fresh array<int>, blocks array<binary>",
     )
     cut = materialise(cut, "exact-blocks")
 
     blocks = cut.select("chunk", F.inline(F.arrays_zip("fresh", "blocks"))).repartition("blocks").sortWithinPartitions("blocks")
-    names = blocks.mapInArrow(_number(["blocks"], ["chunk", "fresh"]), "chunk long, fresh int, name long")
+    names = blocks.mapInArrow(kernel.lean(_number(["blocks"], ["chunk", "fresh"])), "chunk long, fresh int, name long")
     names = materialise(names.withColumnRenamed("fresh", "local"), "exact-names")
     placed = cut.select("row", "chunk", F.size("locals").alias("n"), F.posexplode("locals").alias("pos", "local"))
     placed = placed.join(names, ["chunk", "local"]).select("row", "n", "pos", "name")
@@ -140,7 +141,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk_bytes: int
         )
         pairs = materialise(pairs, "exact-pairs")
         named = pairs.groupBy("a", "b").agg(F.count("*").alias("size")).repartition("a", "b").sortWithinPartitions("a", "b")
-        named = materialise(named.mapInArrow(_number(["a", "b"], ["a", "b", "size"]), "a long, b long, size long, name long"), "exact-names")
+        named = materialise(named.mapInArrow(kernel.lean(_number(["a", "b"], ["a", "b", "size"])), "a long, b long, size long, name long"), "exact-names")
         placed = join_groups(pairs, named, ["a", "b"], "size", pairs.count())
         placed = materialise(placed.select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name"), "exact-level")
         discard(pairs, named)

@@ -10,8 +10,9 @@ polynomial has known collisions between long words; words of more than
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,36 @@ EXACT_CODES = _CODES
 _powers: dict[str, np.ndarray] = {}
 
 
+_caches: list[Callable[[], None]] = []
+
+
+def on_settle(clear: Callable[[], None]) -> None:
+    """Have ``clear`` called when another operator needs this worker's memory."""
+    _caches.append(clear)
+
+
+def _trim() -> None:
+    """Give memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` over Arrow batches in a worker that other operators used before: their caches go, free memory is given back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for clear in _caches:
+            clear()
+        _trim()
+        yield from f(batches)
+        _trim()
+
+    return run
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64, kept between calls."""
     key = str(base)

@@ -281,9 +281,9 @@ def _links(places: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     rows = stored.agg(F.sum(F.size("places"))).first()[0] or 0
     at = F.broadcast(stored) if rows <= BROADCAST_ROWS else stored
     sets = texts.join(at, texts.doc_id == at.rep).select("doc_id", "text", "places")
-    sets = sets.mapInArrow(_with_sets(width), "group long, left boolean, component long, rep long, shingles binary")
+    sets = sets.mapInArrow(kernel.lean(_with_sets(width)), "group long, left boolean, component long, rep long, shingles binary")
     sets = sets.repartition("group").sortWithinPartitions("group", F.desc("left"))
-    links = materialise(sets.mapInArrow(_check(percent), "a long, b long"), "near-links")
+    links = materialise(sets.mapInArrow(kernel.lean(_check(percent)), "a long, b long"), "near-links")
     discard(stored)
     return links
 
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"s{c} long" for c in range(CHUNKS))
-    signed = materialise(texts.mapInArrow(_sign(width), schema), "near-signatures")
+    signed = materialise(texts.mapInArrow(kernel.lean(_sign(width)), schema), "near-signatures")
 
     sig = [f"s{c}" for c in range(CHUNKS)]
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = join_groups(placed, mixed, ["m", "v"], "n", KEYS * n_reps).withColumn("stray", F.col("component") != F.col("main"))
     open_ = _grid(open_, KEY_BLOCK, STRAY_BLOCK)
     open_ = open_.select("rep", "component", "stray", F.xxhash64("m", "v", "s", "b").alias("group")).join(reps.select("rep", *sig), "rep")
-    near = open_.repartition("group").sortWithinPartitions("group").mapInArrow(_nearby, "a long, b long")
+    near = open_.repartition("group").sortWithinPartitions("group").mapInArrow(kernel.lean(_nearby), "a long, b long")
     near = materialise(near, "near-forest")
     discard(placed, mixed)
     clusters = connected(near)

@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelattice.llm import kernel
 from wavelattice.llm.store import materialise
 
 CAPACITY = 2048
@@ -135,6 +136,9 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+kernel.on_settle(_encoder.cache_clear)
+
+
 _PIECES = pa.schema(
     [("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )

@@ -121,7 +121,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Index and normalised context vectors of all buckets, from every text (one string column)."""
     schema = "block int, sums binary"
-    parts = texts.mapInArrow(_context, schema)
+    parts = texts.mapInArrow(kernel.lean(_context), schema)
     groups = 32
     sums = parts.repartition(groups, "block").mapInArrow(_add, schema).collect()
     context = np.zeros((32, BUCKETS * DIMS // 32))
@@ -263,7 +263,7 @@ class Classifier:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, held_out and score for rows (doc_id, held_out, text)."""
-        return docs.select("doc_id", "held_out", "text").mapInArrow(_probabilities(self.vectors, self.network), "doc_id long, held_out boolean, score double")
+        return docs.select("doc_id", "held_out", "text").mapInArrow(kernel.lean(_probabilities(self.vectors, self.network)), "doc_id long, held_out boolean, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Classifier:
@@ -273,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     clean = clean.where("label = other and label in (0, 1)").where(~held_out_fold("doc_id", 5)).select("doc_id", "label")
     sample = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     rows = docs.join(F.broadcast(sample), "doc_id").where("not held_out").select("label", "text")
-    got = rows.mapInArrow(_features(vectors), "label int, x binary").toArrow()
+    got = rows.mapInArrow(kernel.lean(_features(vectors)), "label int, x binary").toArrow()
     y = np.array(got.column("label").to_pylist(), np.float64)
     x = np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()], np.float64)
     # The rows' order depends on the files; the fit must not.
@@ -302,4 +302,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", th
                 p = model.network.probabilities(pooled(*parts, model.vectors).astype(np.float32).astype(np.float64))
                 yield batch.slice(first, end - first).filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.lean(run), docs.schema)
