@@ -66,3 +66,25 @@ def test_hot_groups_are_joined_whole(spark, monkeypatch):
     rows = [(i, "hot") for i in range(60)] + [(100 + i, long) for i in range(60)] + [(200 + i, f"{long}{i % 20}") for i in range(40)]
     got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4).collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == brute(rows) and len(got) == len(rows)
+
+
+def test_the_texts_that_stay_are_not_shuffled(spark, monkeypatch, tmp_path):
+    from wavelattice.llm import store
+
+    rows = [(i, f"text {i % 150} of this table", i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    last = {max(i for i in range(400) if i % 150 == k) for k in range(150)}
+    keyed, key = store.with_row_key(docs)
+    drop = keyed.where(~keyed.row.isin(last)).select(key)
+    # As on tables whose rows that stay are too many to be broadcast by their size.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for words in (store.BIT_WORDS, 0):
+            monkeypatch.setattr(store, "BIT_WORDS", words)
+            for out in (exact_dedup.keep_distinct(docs), store.pick_rows(keyed, key, drop, stay=False)):
+                assert sorted(r.row for r in out.collect()) == sorted(last)
+                plan = out._jdf.queryExecution().executedPlan().toString()
+                assert ("Exchange hashpartitioning" in plan) == (words == 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelattice.llm import kernel
-from wavelattice.llm.store import discard, join_groups, materialise, with_row_key
+from wavelattice.llm.store import discard, join_groups, materialise, pick_rows, with_row_key
 
 BLOCK_BYTES = 4096
 CHUNK_BYTES = 8 << 20
@@ -181,4 +181,4 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed, key = with_row_key(docs)
     stay = _ranked(keyed, id_col, text_col, F.col(key), **options).where(F.col("row") == F.col("best.row"))
     stay = materialise(stay.select(F.col("row").alias(key)), "exact-stay")
-    return keyed.join(stay, key, "left_semi").select(*docs.columns)
+    return pick_rows(keyed, key, stay, stay=True).select(*docs.columns)

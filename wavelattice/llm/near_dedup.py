@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from wavelattice.llm import kernel
 from wavelattice.llm.components import connected
-from wavelattice.llm.store import discard, join_groups, materialise, with_row_key
+from wavelattice.llm.store import discard, join_groups, materialise, pick_rows, with_row_key
 
 SYMBOLS, CHUNKS, PER_CHUNK = 40, 10, 4
 KEYS = SYMBOLS  # masked chunks of a signature
@@ -302,7 +302,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ids = several.join(keyed.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("id")), "row")
     best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias("row"))
     drop = materialise(several.join(best, "row", "left_anti").select(F.col("row").alias(key)), "near-dropped")
-    return keyed.join(drop, key, "left_anti").select(*docs.columns)
+    return pick_rows(keyed, key, drop, stay=False).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

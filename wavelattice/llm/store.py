@@ -15,6 +15,7 @@ _KEY = "spark.checkpoint.dir"
 HOT_KEYS = 20_000
 HOT_ROWS = 1024
 FILES = 20_000
+BIT_WORDS = 2_000_000
 
 _fallback: list[str] = []
 _paths: dict[str, None] = {}
@@ -125,6 +126,23 @@ def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
+def pick_rows(keyed: DataFrame, key: str, rows: DataFrame, stay: bool) -> DataFrame:
+    """The rows of ``keyed`` whose ``key`` is among those of ``rows`` (``stay``), or is not.
+
+    ``rows`` travels as words of 64 bits, a bit for each row, so the rows of
+    ``keyed`` stay where they are at any size of their texts. Beyond BIT_WORDS
+    words both sides are shuffled instead.
+    """
+    word, bits = unused(keyed, "_word"), unused(keyed, "_bits")
+    words = rows.select(F.shiftright(key, 6).alias(word), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias(bits))
+    words = materialise(words.groupBy(word).agg(F.bit_or(bits).alias(bits)), "row-bits")
+    if words.count() > BIT_WORDS:
+        return keyed.join(rows, key, "left_semi" if stay else "left_anti")
+    marked = keyed.withColumn(word, F.shiftright(key, 6)).join(F.broadcast(words), word, "inner" if stay else "left")
+    is_in = F.coalesce(F.getbit(bits, F.col(key).bitwiseAND(F.lit(63))) == 1, F.lit(False))
+    return marked.where(is_in if stay else ~is_in)
+
+
 def _scan_of(df: DataFrame) -> str:
     """The file format that ``df`` reads, where it is a table read from files and nothing else."""
     plan = df._jdf.queryExecution().analyzed()
