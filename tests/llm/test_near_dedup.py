@@ -60,6 +60,24 @@ def test_groups_of_near_copies_and_shared_passages(spark, monkeypatch, edit, blo
     check(spark, [(3 * i + 1, " ".join(d)) for i, d in enumerate(docs)])
 
 
+def test_rows_searched_for_a_large_near_group_do_not_grow_with_its_square(spark, monkeypatch):
+    made, grid = [], near_dedup._grid
+
+    def counted(rows, block, strays):
+        out = store.materialise(grid(rows, block, strays), "counted")
+        made.append((rows.columns, rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_grid", counted)
+    monkeypatch.setattr(near_dedup, "STRAY_BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    docs = [[w if rng.random() > 0.04 else f"w{rng.randrange(4000)}" for w in base] for _ in range(200)]
+    check(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])
+    columns, n, out = made[0]
+    assert {"m", "v"} <= set(columns) and out <= 2 * n
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a b c"), (5, "A b C"), (6, "a b c d"), (7, "x " * 5000), (8, "x " * 9), (9, "é A"), (10, "É a")]
     check(spark, rows)

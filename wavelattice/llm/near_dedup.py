@@ -12,9 +12,11 @@ Documents with equal sets share one representative, so copies never meet in a
 join. Representatives that share a key are not paired with each other. First
 each is checked against the smallest one of its keys that is near enough, its
 pivot, which joins most of a group of copies in a linear number of checks.
-What is left are pairs of near signatures in different components. Where keys
-still hold some, they are found within the task that holds the key and leave
-it as a spanning forest only; its trees are clusters. Each cluster's documents
+What is left are pairs of near signatures in different components. They are
+only in keys that hold several components. Near pivots, linked or not, make
+families; only keys that hold several families as well are searched, within
+the task that holds the key, and leave it as a spanning forest. Forest and
+families together make clusters. Each cluster's documents
 outside its largest component (strays) are then checked, in blocks, against
 all documents of the cluster, again within tasks that return links alone. So
 every pair of near signatures is either within one component or was checked,
@@ -258,6 +260,13 @@ def _check(percent: int) -> Callable:
     return run
 
 
+def _mixed(placed: DataFrame, part: str) -> DataFrame:
+    """Keys (m, v) whose rows are in several ``part``: the largest (main), the number of rows and of those outside it."""
+    parts = placed.groupBy("m", "v", part).agg(F.count("*").alias("count"))
+    mixed = parts.groupBy("m", "v").agg(F.max(F.struct("count", part)).alias("x"), F.sum("count").alias("n")).where("x.count < n")
+    return mixed.select("m", "v", F.col(f"x.{part}").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray"))
+
+
 def _grid(rows: DataFrame, block: int, strays: int) -> DataFrame:
     """The places (s, b) of rows (rep, n, n_stray, stray) in their group's grid of blocks of strays and of members.
 
@@ -343,26 +352,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(right.drop("pivot").union(left), texts, width, percent)
     labels = connected(links)
 
-    # Keys whose members are still in different components; strays are those outside the largest one.
+    # Keys whose members are still in different components.
     placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("m", "v", "rep", F.coalesce("label", "rep").alias("component"))
     placed = materialise(placed, "near-placed")
     discard(shared, firsts)
-    parts = placed.groupBy("m", "v", "component").agg(F.count("*").alias("count"))
-    mixed = parts.groupBy("m", "v").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n")).where("x.count < n")
-    mixed = materialise(mixed.select("m", "v", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray")), "near-mixed")
-    open_ = join_groups(placed, mixed, ["m", "v"], "n", KEYS * n_reps).withColumn("stray", F.col("component") != F.col("main"))
-    open_ = _grid(open_, KEY_BLOCK, STRAY_BLOCK)
-    open_ = open_.select("rep", "component", "stray", F.xxhash64("m", "v", "s", "b").alias("group")).join(reps.select("rep", *sig), "rep")
-    near = open_.repartition("group").sortWithinPartitions("group").mapInArrow(kernel.lean(_nearby), "a long, b long")
+    mixed = _mixed(placed, "component").select("m", "v", "n")
+    placed_open = materialise(join_groups(placed, mixed, ["m", "v"], "n", KEYS * n_reps).drop("n"), "near-open")
+    discard(placed)
+
+    # Near pivots make families; only keys of several families are searched, and strays are those outside the largest one.
+    families = connected(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    open_ = placed_open.join(families.withColumnRenamed("node", "rep"), "rep", "left").select("m", "v", "rep", "component", F.coalesce("label", "rep").alias("family"))
+    open_ = materialise(open_, "near-families")
+    discard(placed_open)
+    loose = materialise(open_.select("rep", "component", "family").distinct(), "near-loose")
+    mixed = materialise(_mixed(open_, "family"), "near-mixed")
+    split = join_groups(open_.drop("component"), mixed, ["m", "v"], "n", KEYS * n_reps).withColumn("stray", F.col("family") != F.col("main"))
+    split = _grid(split, KEY_BLOCK, STRAY_BLOCK)
+    split = split.select("rep", F.col("family").alias("component"), "stray", F.xxhash64("m", "v", "s", "b").alias("group")).join(reps.select("rep", *sig), "rep")
+    near = split.repartition("group").sortWithinPartitions("group").mapInArrow(kernel.lean(_nearby), "a long, b long")
     near = materialise(near, "near-forest")
-    discard(placed, mixed)
-    clusters = connected(near)
+    discard(open_, mixed)
+    clusters = connected(near.union(loose.select(F.col("rep").alias("a"), F.col("family").alias("b"))))
 
     # Strays of each cluster against all its members, block by block.
     members = clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
-    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("component"))
+    members = loose.join(members, "rep").select("rep", "cluster", "component")
     members = materialise(members, "near-members")
-    main = members.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n"))
+    main = members.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("x"), F.sum("count").alias("n")).where("x.count < n")
     main = main.select("cluster", F.col("x.component").alias("main"), "n", (F.col("n") - F.col("x.count")).alias("n_stray"))
     members = join_groups(members, main, ["cluster"], "n", members.count()).withColumn("stray", F.col("component") != F.col("main"))
     places = _grid(members, CLUSTER_BLOCK, STRAY_BLOCK).select("rep", F.xxhash64("cluster", "s", "b").alias("group"), F.col("stray").alias("left"), "component")
