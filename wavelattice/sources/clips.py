@@ -2,7 +2,7 @@
 
 ``encode_files`` gives rows (path, content) like format binaryFile, one file a
 clip; ``decode_files`` tells a file's format by its magic bytes and gives
-long-form samples. A task holds one clip at a time.
+long-form samples. A task holds one batch of rows or files, and one clip whole.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelattice.operators import groups
 from wavelattice.sources import alac, flac, pcm, tta, wavpack
 
+BATCH_FRAMES, FILE_BYTES = 1 << 16, 8 << 20  # what a batch of samples or of files holds before it leaves
+
 # Each takes samples (frames by channels), rate and bits.
 WRITERS: dict[str, Callable[[np.ndarray, int, int], bytes]] = {
     "wav": lambda x, rate, bits: pcm.wav_bytes(x.reshape(-1), x.shape[1], rate, bits),
@@ -61,29 +63,55 @@ def encode_files(samples: DataFrame, form: str, rate: int, bits: int = 16) -> Da
     write = WRITERS[form]
     rows = samples if "channel" in samples.columns else samples.withColumn("channel", F.lit(0))
 
-    def run(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values(["frame", "channel"])
-        x = clip["sample"].to_numpy(np.int64).reshape(-1, int(clip["channel"].max()) + 1)
-        return pd.DataFrame({"path": [f"{clip['clip_id'].iloc[0]}.{form}"], "content": [write(x, rate, bits)]})
-
-    return rows.select("clip_id", "frame", "channel", "sample").groupBy("clip_id").applyInPandas(run, "path string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done in groups.pieces(batches):
+            paths, contents, size = [], [], 0
+            for clip in done:
+                x, channel = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in clip]) for k in ("sample", "channel"))
+                paths.append(f"{clip[0].column('clip_id')[0].as_py()}.{form}")
+                contents.append(write(x.astype(np.int64).reshape(-1, int(channel.max()) + 1), rate, bits))
+                size += len(contents[-1])
+                if size >= FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return groups.placed(rows.select("clip_id", "frame", "channel", "sample"), "clip_id", "frame", "channel").mapInArrow(run, "path string, content binary")
 
 
 def decode_files(files: DataFrame) -> DataFrame:
     """clip_id (the file's name without its end), frame, channel, sample, sample_rate and bits of all files."""
     names = ["clip_id", "frame", "channel", "sample", "sample_rate", "bits"]
 
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        """Parts of files (name, rate, bits, first frame, samples) as one batch."""
+        clips, rates, widths, firsts, xs = zip(*parts, strict=True)
+        sizes = [x.size for x in xs]
+        columns = [
+            pa.array(clips, pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), sizes))),
+            np.concatenate([np.repeat(np.arange(a, a + len(x)), x.shape[1]) for a, x in zip(firsts, xs, strict=True)]),
+            np.concatenate([np.tile(np.arange(x.shape[1], dtype=np.int32), len(x)) for x in xs]),
+            np.concatenate([x.reshape(-1).astype(np.int32) for x in xs]),
+            np.repeat(np.array(rates, np.int32), sizes),
+            np.repeat(np.array(widths, np.int32), sizes),
+        ]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        parts, size = [], 0
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rate, bits, x = decode(content.as_py())
-                n, channels = x.shape
                 name = os.path.basename(path).rsplit(".", 1)[0]
-                for a in range(0, n, 1 << 16):
-                    part = x[a : a + (1 << 16)]
-                    k = part.size
-                    columns = [np.repeat(np.arange(a, a + len(part)), channels), np.tile(np.arange(channels, dtype=np.int32), len(part)), part.reshape(-1).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * k), *map(pa.array, columns), pa.array([rate] * k, pa.int32()), pa.array([bits] * k, pa.int32())], names=names)
+                for a in range(0, len(x), BATCH_FRAMES):
+                    parts.append((name, rate, bits, a, x[a : a + BATCH_FRAMES]))
+                    size += parts[-1][-1].size
+                    if size >= BATCH_FRAMES:
+                        yield batch(parts)
+                        parts, size = [], 0
+        if parts:
+            yield batch(parts)
 
     return files.select("path", "content").mapInArrow(run, "clip_id string, frame long, channel int, sample int, sample_rate int, bits int")
 
