@@ -35,6 +35,20 @@ def test_filling_up_an_ima_block_costs_no_steps(monkeypatch):
     assert _steps(monkeypatch, lambda: adpcm.encode(x, "ima")) < 300
 
 
+def test_filling_up_an_ms_block_costs_no_steps(monkeypatch):
+    for level in range(-9, 10):  # the remainder decides whether silence stands still or swings
+        x = np.r_[0, 0, np.arange(60) * 300, level].astype(np.int64).reshape(-1, 1)
+        silent = np.concatenate([x, np.zeros((2 * 2036 - len(x), 1), np.int64)])
+        state, codes = adpcm.MsState(adpcm.MS_COEFFICIENTS[0], 16, 0, 0), []
+        heard = [0, 0] + [(codes.append(state.code(v)), state.last)[1] for v in silent[2:2036, 0].tolist()]
+        raw = adpcm.encode(x, "ms")
+        assert raw[7:] == bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+        assert adpcm.decode(raw, "ms", 1, 1024, 2036)[:, 0].tolist() == heard
+        assert adpcm.encode(silent, "ms")[1025:1027] == state.delta.to_bytes(2, "little")
+        assert _steps(monkeypatch, lambda x=x: adpcm.encode(x, "ms"), "code", adpcm.MsState) < 300
+        assert _steps(monkeypatch, lambda raw=raw: adpcm.decode(raw, "ms", 1, 1024, 2036), "expand", adpcm.MsState) < 300
+
+
 def test_clips_cross_batches_and_take_no_call_each(spark):
     lengths = {f"c{k}": (1, 2, 7, 20, 3)[k % 5] for k in range(40)}
     rows = [(c, f, (f * 997 + len(c)) % 60000 - 30000) for c, n in lengths.items() for f in range(n)]
