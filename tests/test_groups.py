@@ -1,8 +1,12 @@
 """Many short groups: what they cost beyond their rows, and that batches may end anywhere in them."""
 
 import numpy as np
+import pytest
 
-from wavelattice.sources import adpcm, clips
+import __spark_entry__
+from wavelattice.sources import adpcm, bits, clips
+
+SF = "/root/testdata/sf0.001"
 
 
 def _steps(monkeypatch, run, name="ima_code", owner=adpcm):
@@ -63,3 +67,25 @@ def test_clips_cross_batches_and_take_no_call_each(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert sorted(got) == sorted(rows)
+
+
+@pytest.mark.parametrize("name", ["checksum_residues", "amf0_values", "roundtrip_flv"])
+def test_sources_cross_batches_and_take_no_call_each(spark, name):
+    df = __spark_entry__.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan
+    want, key = df.collect(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = __spark_entry__.queries()[name](spark, SF).collect()
+    finally:
+        spark.conf.set(key, kept)
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and want
+
+
+def test_checksums_of_32_bits_take_no_step_a_byte(monkeypatch):
+    for n in (0, 1, 2, 9, 300):
+        data = bytes(k * 37 % 256 for k in range(n))
+        assert bits.ogg_crc(data) == bits.crc(data, 0x04C11DB7, 32) and bits.ts_crc(data) == bits.crc(data, 0x04C11DB7, 32, 0xFFFFFFFF)
+    assert _steps(monkeypatch, lambda: (bits.ogg_crc(b"x" * 99), bits.ts_crc(b"x" * 99)), "crc", bits) == 0

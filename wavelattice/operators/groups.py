@@ -13,13 +13,18 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def in_order(key: str, *order: str) -> WindowSpec:
+    """The rows of a key in order, those without a value last."""
+    return Window.partitionBy(key).orderBy(*(F.col(o).asc_nulls_last() for o in order))
+
+
 def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows of a key behind one another and in order, with their place in it from 1."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return rows.withColumn("place", F.row_number().over(in_order(key, *order)))
 
 
 def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list[pa.RecordBatch]]]:

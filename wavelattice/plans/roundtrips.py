@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from wavelattice.operators import groups
 from wavelattice.plans.registry import query
 from wavelattice.plans.tables import micros, read, samples, samples_sql, stereo, stereo_sql
 from wavelattice.sources import adpcm, bits, clips, containers, flac, muxers, sniff
@@ -135,24 +136,19 @@ _PACKETS = """p AS (SELECT CAST(user_id AS VARCHAR) AS source_id, event_id, even
 
 
 def _packets(spark, sf_dir):
-    """source_id, event_id, track, ms, is_key and body of every event."""
+    """source_id, event_id, track, ms, is_key and body of every event, and its place in its source from 1."""
     ms = F.floor(micros("ts") / 1000).cast("long")
-    rows = read(spark, sf_dir, "events").select(
+    rows = read(spark, sf_dir, "events").where("user_id IS NOT NULL").select(
         F.col("user_id").cast("string").alias("source_id"), "event_id", (F.col("event_id") % 2).cast("int").alias("track"), ms.alias("ms"), (F.col("event_type") == "signup").alias("is_key"),
         F.concat("event_type", F.col("event_id").cast("string")).alias("body"),
     )
-    first = rows.groupBy("source_id").agg(F.min("ms").alias("first"))
-    return rows.join(first, "source_id").withColumn("ms", F.col("ms") - F.col("first")).drop("first")
+    rows = groups.placed(rows, "source_id", "ms", "event_id")
+    return rows.withColumn("ms", F.col("ms") - F.min("ms").over(groups.in_order("source_id", "ms", "event_id")))
 
 
 def _files(spark, sf_dir, write):
     """One file a source, made by ``write`` from its rows in order of time, as format binaryFile gives them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["ms", "event_id"]).itertuples(index=False))
-        return pd.DataFrame({"path": [pdf["source_id"].iloc[0]], "content": [write(rows)]})
-
-    return _packets(spark, sf_dir).groupBy("source_id").applyInPandas(run, "path string, content binary")
+    return groups.apply(_packets(spark, sf_dir), lambda rows: [(rows[0].source_id, write(rows))], "path string, content binary")
 
 
 def _read_back(files):
@@ -230,15 +226,10 @@ _container("roundtrip_ogg", _write_ogg, """, q AS (SELECT *, row_number() OVER (
 
 def _bytes_query(name: str, oracle: str, schema: str, run) -> None:
     """A query over the bodies of one source's packets at a time; ``run`` gives rows (event_id or place, ...)."""
-    columns = [f.split()[0] for f in schema.split(", ")]
 
     @query(name, f"WITH {_PACKETS}{oracle}")
     def make(spark, sf_dir):
-        def each(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = list(pdf.sort_values(["ms", "event_id"]).itertuples(index=False))
-            return pd.DataFrame([(rows[0].source_id, *x) for x in run(rows)], columns=["source_id", *columns])
-
-        return _packets(spark, sf_dir).groupBy("source_id").applyInPandas(each, f"source_id string, {schema}")
+        return groups.apply(_packets(spark, sf_dir), lambda rows: [(rows[0].source_id, *x) for x in run(rows)], f"source_id string, {schema}")
 
 
 _ORDERED = "row_number() OVER (PARTITION BY source_id ORDER BY ms, event_id) - 1"
